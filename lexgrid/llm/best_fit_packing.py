@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,52 +24,76 @@ from pyspark.sql import functions as F
 from lexgrid.llm.common import cut, table
 
 SEQUENCE, NEARLY, FAN_IN, CARRY = 2048, 2032, 16, 1024
-CACHED_WORDS = 600_000
+CACHED_CHUNKS = 400_000
+_SIGNS, _ID = ".,;:!?*#$%&()[]{}=+/~^_@-", attrgetter("id")
 _COLUMNS = ("bin", "final", "doc_id", "piece", "start", "length", "ids_crc32", "offset")
 _SCHEMA = "bin long, final boolean, doc_id long, piece int, start long, length long, ids_crc32 long, offset long"
 
 
-class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, remembering words.
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    The tokenizer never joins characters across white space, nor a letter with a following ``.,;:!?``, so
-    a text's ids are those of its space-separated chunks, and a chunk's those of its letters and its tail.
-    ASCII letters are lower-cased first, as the tokenizer does itself.
+
+class Encoder(dict):
+    """Ids of texts as little-endian 32-bit bytes; the dictionary remembers those of chunks.
+
+    The tokenizer never joins characters across white space, nor a letter with signs that follow it (an
+    apostrophe apart), so a text's ids are those of its space-separated chunks, and a chunk's those of its
+    letters and its tail. Latin letters alone are one word to the tokenizer: normalising them is
+    lower-casing, and their bytes go to the merges directly. All else goes through the whole tokenizer.
+    Chunks are kept in two generations: a full one stays until the next is full, then it is forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > CACHED_WORDS:
-            self.chunks, self.parts = {"": b""}, {"": b""}
-        split = {}
-        for c in chunks:
-            head = c.rstrip(".,;:!?")
-            if head and head != c and head[-1].isalpha():
-                tail = c[len(head) :]
-            else:
-                head, tail = c, ""
-            split[c] = (head.lower() if head.isascii() and head.isalpha() else head), tail
-        new = [p for p in {p for pair in split.values() for p in pair} if p not in self.parts]
-        for i in range(0, len(new), 10_000):
-            for p, e in zip(new[i : i + 10_000], self.tokenizer.encode_batch(new[i : i + 10_000], add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        self.chunks.update({c: self.parts[a] + self.parts[b] for c, (a, b) in split.items()})
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
+        self.tails: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, part: str) -> bytes:
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii():
+            return array("I", map(_ID, self.merge(word.lower()))).tobytes()
+        if max(word) < "\u0180" and "\u0130" not in word:
+            return array("I", map(_ID, self.merge(word.lower().encode().decode("latin-1").translate(self.letters)))).tobytes()
+        return self._whole(word)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self._word(chunk)
+        head = chunk.rstrip(_SIGNS)
+        if not head.isalpha():
+            return self._whole(chunk)
+        tail = chunk[len(head) :]
+        if tail not in self.tails:
+            if len(self.tails) >= CACHED_CHUNKS:
+                self.tails.clear()
+            self.tails[tail] = self._whole(tail)
+        return (self.get(head) or self._word(head)) + self.tails[tail]
+
+    def __missing__(self, chunk: str) -> bytes:
+        value = self.old.get(chunk)
+        if value is None:
+            value = self._chunk(chunk)
+        if len(self) >= CACHED_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+        self[chunk] = value
+        return value
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = {w for ws in words for w in ws if w not in self.chunks}
-        if missing:
-            self._learn(missing)
-            if any(w not in self.chunks for ws in words for w in ws):  # what was known before has been forgotten
-                self._learn({w for ws in words for w in ws})
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 @functools.lru_cache(1)
@@ -121,20 +148,23 @@ def _batch(rows, has_id):
 def _first(batches, path: str, size: int, nearly: int):
     """(doc_id, text) -> packed pieces of this partition."""
     encode, part = _encoder(path), TaskContext.get().partitionId()
-    cols: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "known")}
+    docs, sizes, sums = [], [], []
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            ids = batch.column(0)[at : at + 256].to_pylist()
-            texts = [t or "" for t in batch.column(1)[at : at + 256].to_pylist()]
-            for doc, data in zip(ids, encode(texts), strict=True):
+            docs.append(batch.column(0).slice(at, 256))
+            for data in encode([t or "" for t in batch.column(1).slice(at, 256).to_pylist()]):
                 data += b"\0\0\0\0"
-                for k, i in enumerate(range(0, len(data), 4 * size)):
-                    piece = data[i : i + 4 * size]
-                    for c, v in zip(cols, (doc or 0, k, i // 4, len(piece) // 4, zlib.crc32(piece), doc is not None), strict=True):
-                        cols[c].append(v)
-    if not cols["length"]:
+                sizes.append(len(data) // 4)
+                sums.extend(map(zlib.crc32, (data[i : i + 4 * size] for i in range(0, len(data), 4 * size))))
+    if not sizes:
         return
-    rows = {c: np.array(v, bool if c == "known" else np.int64) for c, v in cols.items()}
+    total = np.array(sizes, np.int64)
+    pieces = -(-total // size)
+    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    ids = pa.chunked_array(docs)
+    rows = {"piece": piece, "start": piece * size, "length": np.minimum(size, np.repeat(total, pieces) - piece * size), "ids_crc32": np.array(sums, np.int64)}
+    rows["doc_id"] = np.repeat(pc.fill_null(ids, 0).to_numpy(), pieces)
+    rows["known"] = np.repeat(pc.is_valid(ids).to_numpy(), pieces)
     rows["bin"] = best_fit(rows["length"], size) + (part << 40)
     rows = _settle(rows, False, size, nearly)
     yield _batch(rows, rows.pop("known"))
