@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -163,16 +164,19 @@ def document_quality(good: np.ndarray, lengths: np.ndarray, starts: np.ndarray)
     return np.log(q / (1 - q))
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 2, steps: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, transition and calibration. One class only gives a constant score."""
-    labels = np.array([y for _, y in sample], float)
+def fit(sample: Iterable[tuple[str, int]], rounds: int = 2, steps: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, transition and calibration; texts are kept as features only. One class only gives a constant score."""
+    labels, sizes, features, lengths = [], [], [np.zeros((0, len(BINS)), np.int16)], []
+    for text, y in sample:
+        lines = split_lines(text)
+        labels.append(y)
+        sizes.append(len(lines))
+        features.append(line_features(lines).astype(np.int16))
+        lengths.extend(map(len, lines))
+    labels, sizes, features, lengths = np.array(labels, float), np.array(sizes), np.concatenate(features), np.array(lengths)
     if not len(labels) or labels.min() == labels.max():
         return np.zeros((3, WIDTH + 1)), 0.0, fit_logistic(np.zeros((len(labels), 1)), labels)
-    texts = [split_lines(t) for t, _ in sample]
-    sizes = np.array([len(t) for t in texts])
-    features = np.concatenate([line_features(t) for t in texts])
-    lengths = np.array([len(line) for t in texts for line in t])
-    of = np.repeat(np.arange(len(texts)), sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)
     starts, ends = _bounds(sizes, STRETCH)
     whole = _bounds(sizes)
     share = labels.mean()
@@ -205,8 +209,8 @@ def _scorer(w, same, calibration):
 
 
 def _fitted(labelled: DataFrame, labels: DataFrame):
-    sample = labelled_sample(labelled, labels, "quality", FOLDS, HELD_OUT, SAMPLE_ROWS, SAMPLE_CHARS).select("text", "label").collect()
-    return functools.partial(_scorer, *fit([(r[0], r[1]) for r in sample]))
+    sample = labelled_sample(labelled, labels, "quality", FOLDS, HELD_OUT, SAMPLE_ROWS, SAMPLE_CHARS).select("text", "label")
+    return functools.partial(_scorer, *fit(sample.toLocalIterator()))
 
 
 def quality(documents: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -162,15 +163,18 @@ def _chance(k: int, n: int, base: float) -> float:
     return math.exp(-n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0)))
 
 
-def _evidence(sets: list[set[str]], labels: list[int], least: float = 0.3) -> dict[str, float]:
-    """Lower bounds of the features that are toxic beyond what chance gives among so many features."""
-    total, toxic = Counter(), Counter()
-    for s, y in zip(sets, labels, strict=True):
-        total.update(s)
-        if y:
-            toxic.update(s)
-    base, tried = max(1, sum(labels)) / max(2, len(labels)), sum(n > 1 for n in total.values())
-    return {f: b for f, k in toxic.items() if k > 1 and (b := _lower_bound(k, total[f])) >= least and _chance(k, total[f], base) * tried < 0.5}
+def _evidence(docs: list[np.ndarray], labels: np.ndarray, names: int, least: float = 0.3) -> np.ndarray:
+    """Lower bounds of the features that are toxic beyond what chance gives among so many features, 0 for others."""
+    flat = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=names)
+    total, toxic = flat(docs), flat([d for d, y in zip(docs, labels, strict=True) if y])
+    base, tried = max(1, labels.sum()) / max(2, len(labels)), (total > 1).sum()
+    out = np.zeros(names)
+    for f in np.nonzero(toxic > 1)[0]:
+        k, n = int(toxic[f]), int(total[f])
+        b = _lower_bound(k, n)
+        if b >= least and _chance(k, n, base) * tried < 0.5:
+            out[f] = b
+    return out
 
 
 def _summary(evidence: list[float], words: int) -> list[float]:
@@ -212,47 +216,64 @@ class _Scores(dict):
         return e
 
 
-def _originals(sets: list[set[str]], places: int = 6, shared: int = 2) -> list[int]:
-    """Indices of sets that do not share ``shared`` of ``places`` minimum hashes with an earlier one: copies are no independent witnesses."""
-    salts = np.random.default_rng(5).integers(1, 1 << 63, places, np.uint64) | np.uint64(1)
-    first: dict[tuple[int, int], list[int]] = {}
-    keep = []
-    for i, s in enumerate(sets):
-        if not s:
-            continue
-        h = mix(np.fromiter(map(zlib.crc32, map(str.encode, s)), np.uint64, len(s)))
-        keys = [(k, int((mix(h * salt)).min())) for k, salt in enumerate(salts)]
-        met = Counter(j for key in keys for j in first.get(key, ()))
-        if max(met.values(), default=0) >= shared:
-            continue
-        keep.append(i)
+class _Originals:
+    """Tells sets that share ``shared`` of ``places`` minimum hashes with an earlier one: copies are no independent witnesses."""
+
+    def __init__(self, places: int = 6, shared: int = 2):
+        self.salts, self.shared = np.random.default_rng(5).integers(1, 1 << 63, places, np.uint64) | np.uint64(1), shared
+        self.first: dict[tuple[int, int], list[int]] = {}
+        self.count = 0
+
+    def add(self, hashes: np.ndarray) -> bool:
+        keys = [(k, int((mix(hashes * salt)).min())) for k, salt in enumerate(self.salts)]
+        met = Counter(j for key in keys for j in self.first.get(key, ()))
+        if max(met.values(), default=0) >= self.shared:
+            return False
         for key in keys:
-            first.setdefault(key, []).append(i)
-    return keep
+            self.first.setdefault(key, []).append(self.count)
+        self.count += 1
+        return True
 
 
-def fit(sample: list[tuple[str, int]], model: np.ndarray) -> tuple[dict[str, float], np.ndarray]:
-    """Evidence of features, and weights of the regression, which is fitted across two halves of the originals."""
-    known: dict[str, str] = {}
-    words, sets = [], []
-    for text, _ in sample:
+def fit(sample: Iterable[tuple[str, int]], model: np.ndarray) -> tuple[dict[str, float], np.ndarray]:
+    """Evidence of features, and weights of the regression, which is fitted across two halves of the originals.
+
+    Texts are taken one at a time and kept as numbers of their words only.
+    """
+    names: dict[str, int] = {}
+    words: dict[str, int] = {}
+    raw: dict[str, int] = {}
+    of_word: list[np.ndarray] = []
+    hashes: list[int] = []
+    originals, docs, many, labels = _Originals(), [], [], []
+    for text, y in sample:
         tokens = text.split() + spaced(text)
-        own = set()
-        for t in set(tokens):
-            if t not in known:
-                known[t] = restore(t, model)
-            own.add(known[t])
-        own.discard("")
-        words.append((own, len(tokens)))
-        sets.append({f for w in own for f in _features(w)})
-    keep = _originals([own for own, _ in words])
-    words, sets, labels = [words[i] for i in keep], [sets[i] for i in keep], [sample[i][1] for i in keep]
-    x = np.zeros((len(keep), 4))
+        distinct = set(tokens)
+        for t in distinct:
+            if t in raw:
+                continue
+            w = restore(t, model)
+            if w and w not in words:
+                words[w] = len(of_word)
+                of_word.append(np.array([names.setdefault(f, len(names)) for f in _features(w)], np.int32))
+                hashes.append(zlib.crc32(w.encode("utf-8", "surrogatepass")))
+            raw[t] = words[w] if w else -1
+        own = np.unique(np.fromiter((raw[t] for t in distinct), np.int32))
+        own = own[own >= 0]
+        if len(own) and originals.add(mix(np.array([hashes[i] for i in own], np.uint64))):
+            docs.append(own)
+            many.append(len(tokens))
+            labels.append(y)
+    features = [np.unique(np.concatenate([of_word[i] for i in own])) for own in docs]
+    y = np.array(labels, np.int64)
+    x = np.zeros((len(docs), 4))
     for half in (0, 1):
-        other = _evidence(sets[1 - half :: 2], labels[1 - half :: 2])
-        for i in range(half, len(keep), 2):
-            x[i] = _summary([max(other.get(f, 0.0) for f in _features(w)) for w in words[i][0]], words[i][1])
-    return _evidence(sets, labels), fit_logistic(x, np.array(labels, float))
+        other = _evidence(features[1 - half :: 2], y[1 - half :: 2], len(names))
+        best = np.array([other[f].max() for f in of_word]) if of_word else np.zeros(0)
+        for i in range(half, len(docs), 2):
+            x[i] = _summary(best[docs[i]].tolist(), many[i])
+    final = _evidence(features, y, len(names))
+    return {f: float(final[i]) for f, i in names.items() if final[i] > 0}, fit_logistic(x, y.astype(float))
 
 
 def _scorer(model, evidence, weights):
@@ -281,8 +302,8 @@ def _scorer(model, evidence, weights):
 def _fitted(documents: DataFrame, labelled: DataFrame, labels: DataFrame):
     context = documents.sparkSession.sparkContext
     model = character_model(documents)
-    sample = labelled_sample(labelled, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_ROWS, SAMPLE_CHARS).select("text", "label").collect()
-    evidence, weights = fit([(r[0], r[1]) for r in sample], model)
+    sample = labelled_sample(labelled, labels, "toxic", FOLDS, HELD_OUT, SAMPLE_ROWS, SAMPLE_CHARS).select("text", "label")
+    evidence, weights = fit(sample.toLocalIterator(), model)
     return functools.partial(_scorer, context.broadcast(model), context.broadcast(evidence), weights)
 
 
