@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lexgrid.llm.common import cut, table
 
 SEQUENCE, NEARLY, FAN_IN, CARRY = 2048, 2032, 16, 1024
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 120_000
 _SIGNS, _ID = ".,;:!?*#$%&()[]{}=+/~^_@-", attrgetter("id")
 _COLUMNS = ("bin", "final", "doc_id", "piece", "start", "length", "ids_crc32", "offset")
 _SCHEMA = "bin long, final boolean, doc_id long, piece int, start long, length long, ids_crc32 long, offset long"

@@ -60,11 +60,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     return texts.join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id", F.xxhash64("text")).limit(rows)
 
 
+def _in_slices(score: Callable, texts: pa.Array, rows: int = 512) -> np.ndarray:
+    """Scores of a column, with few texts at a time as Python strings."""
+    return np.concatenate([np.zeros(0), *(score(texts.slice(at, rows).to_pylist()) for at in range(0, len(texts), rows))])
+
+
 def _scores(batches, make):
     score = None
     for batch in batches:
         score = score or make()
-        values = score(batch.column(1).to_pylist()) if batch.num_rows else []
+        values = _in_slices(score, batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values, pa.float64())], ["doc_id", "score"])
 
 
@@ -78,7 +83,7 @@ def _kept(batches, make, at, least, below):
     for batch in batches:
         score = score or make()
         if batch.num_rows:
-            s = score(batch.column(at).to_pylist())
+            s = _in_slices(score, batch.column(at))
             yield batch.filter(pa.array((s >= least) & (s < below)))
 
 
@@ -103,7 +108,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgotten all at once when there are many."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -204,7 +204,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 class _Scores(dict):
     """Evidence of raw tokens, remembered."""
 
-    def __init__(self, model: np.ndarray, evidence: dict[str, float], most: int = 400_000):
+    def __init__(self, model: np.ndarray, evidence: dict[str, float], most: int = 150_000):
         super().__init__()
         self.model, self.evidence, self.most = model, evidence, most
 
