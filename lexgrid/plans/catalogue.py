@@ -1,11 +1,19 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from lexgrid.plans import document_queries, retrieval_queries
 
-def oracle_sql():
-    return {}
+MODULES = [retrieval_queries, document_queries]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
