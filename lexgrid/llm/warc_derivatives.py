@@ -17,6 +17,7 @@ CRLF = "\r\n"
 #: Elements that end a line of text, and elements whose content is not text.
 LINES = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
 HIDDEN = ("head", "script", "style", "noscript", "template")
+_HIDDEN = "<(?:" + "|".join(rf"{name}(?:\s[^>]*)?>.*?</{name}" for name in HIDDEN) + r")\s*>"
 #: Named character references that are resolved; the ampersand comes last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
 
@@ -30,8 +31,7 @@ def _entities(text: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Visible text: comments, hidden elements and tags gone, block elements on lines of their own, white space narrowed."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for name in HIDDEN:
-        text = F.regexp_replace(text, rf"(?is)<{name}(\s[^>]*)?>.*?</{name}\s*>", " ")
+    text = F.regexp_replace(text, rf"(?is){_HIDDEN}", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"[\r\n\t ]+", " "), rf"(?i)</?({LINES})(\s[^>]*)?/?>", "\n")
     text = _entities(F.regexp_replace(text, r"</?[a-zA-Z!][^>]*>", ""))
     text = F.regexp_replace(text, r" *\n[\n ]*", "\n")
@@ -108,8 +108,7 @@ def _sql() -> str:
         return x
 
     text = "regexp_replace(payload, '<!--.*?-->', '', 'gs')"
-    for name in HIDDEN:
-        text = rf"regexp_replace({text}, '<{name}(\s[^>]*)?>.*?</{name}\s*>', ' ', 'gis')"
+    text = f"regexp_replace({text}, '{_HIDDEN}', ' ', 'gis')"
     text = rf"regexp_replace(regexp_replace({text}, '[\r\n\t ]+', ' ', 'g'), '</?({LINES})(\s[^>]*)?/?>', chr(10), 'gi')"
     text = entities(f"regexp_replace({text}, '</?[a-zA-Z!][^>]*>', '', 'g')")
     text = rf"regexp_replace(regexp_replace({text}, ' *\n[\n ]*', chr(10), 'g'), '^[\n ]+|[\n ]+$', '', 'g')"
