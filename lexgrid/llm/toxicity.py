@@ -146,7 +146,7 @@ def spaced(text: str) -> list[str]:
 
 def _features(word: str) -> list[str]:
     """A word and its beginnings, each a kind of its own."""
-    return [f"={word}"] + [word[:n] for n in (4, 5, 6) if len(word) > n]
+    return [f"={word}"] + [word[:n] for n in (3, 4, 5, 6, 7) if len(word) > n]
 
 
 def _lower_bound(k: float, n: float, z: float = 2.0) -> float:
@@ -163,7 +163,7 @@ def _chance(k: int, n: int, base: float) -> float:
     return math.exp(-n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0)))
 
 
-def _evidence(docs: list[np.ndarray], labels: np.ndarray, names: int, least: float = 0.3) -> np.ndarray:
+def _evidence(docs: list[np.ndarray], labels: np.ndarray, names: int, least: float = 0.35) -> np.ndarray:
     """Lower bounds of the features that are toxic beyond what chance gives among so many features, 0 for others."""
     flat = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=names)
     total, toxic = flat(docs), flat([d for d, y in zip(docs, labels, strict=True) if y])
@@ -178,9 +178,10 @@ def _evidence(docs: list[np.ndarray], labels: np.ndarray, names: int, least: flo
 
 
 def _summary(evidence: list[float], words: int) -> list[float]:
-    """Strongest evidence, how many distinct words are likelier toxic than not, and the length."""
-    strong = [e for e in evidence if e >= 0.5]
-    return [max(evidence, default=0.0), math.log1p(len(strong)), math.log1p(sum(strong)), math.log1p(words) / 10]
+    """Strongest evidence, how many distinct words are likelier toxic than not, what all evidence adds up to, and the length."""
+    found = [e for e in evidence if e > 0]
+    strong = [e for e in found if e >= 0.5]
+    return [max(found, default=0.0), math.log1p(len(strong)), math.log1p(sum(found)), math.log1p(sum(found) * 200 / (words + 50)), math.log1p(words) / 10]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
@@ -266,7 +267,7 @@ def fit(sample: Iterable[tuple[str, int]], model: np.ndarray) -> tuple[dict[str,
             labels.append(y)
     features = [np.unique(np.concatenate([of_word[i] for i in own])) for own in docs]
     y = np.array(labels, np.int64)
-    x = np.zeros((len(docs), 4))
+    x = np.zeros((len(docs), 5))
     for half in (0, 1):
         other = _evidence(features[1 - half :: 2], y[1 - half :: 2], len(names))
         best = np.array([other[f].max() for f in of_word]) if of_word else np.zeros(0)
@@ -289,10 +290,10 @@ def _scorer(model, evidence, weights):
                 tokens += closed
             found = list(map(scores.__getitem__, tokens))
             top = max(found, default=0.0)
-            strong = {}
-            if top >= 0.5:
-                strong = {restore(t, model): e for t, e in zip(tokens, found, strict=True) if e >= 0.5}
-            x = [*_summary(list(strong.values()) or [top], len(tokens)), 1.0]
+            held = {}
+            if top > 0:
+                held = {restore(t, model): e for t, e in zip(tokens, found, strict=True) if e > 0}
+            x = [*_summary(list(held.values()), len(tokens)), 1.0]
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(x, weights)))))))
         return np.array(out)
 
