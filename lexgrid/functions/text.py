@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ MAX_CHUNK, MIN_CHUNK = 2400, 120
 BLANK = r"[\s\u0085  -     　]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
@@ -81,18 +87,23 @@ def clause_pieces(text: Column, limit: int = MAX_CHUNK, least: int = MIN_CHUNK)
     An over-long sentence stays whole; a last piece shorter than ``least`` joins the one before. Null and
     blank texts have no pieces.
     """
-    body = strip(text)
 
     def block(b: Column) -> Column:
         cut = _packed(F.split(b, r"(?<=[.;:])\s+(?=[A-Z(])"), limit, " ")
-        return F.when(F.length(b) <= limit, F.array(b)).otherwise(F.array_append(cut["done"], cut["now"]))
-
-    packed = _packed(F.flatten(F.transform(sub_clauses(body), block)), limit, "\n")
-    done, last = packed["done"], packed["now"]
-    stub = (F.size(done) > 0) & (F.length(last) < least)
-    joined = F.array_append(F.slice(done, 1, F.size(done) - 1), F.concat(F.element_at(done, -1), F.lit("\n"), last))
-    pieces = F.when(stub, joined).otherwise(F.array_append(done, last))
-    return F.when(F.coalesce(body, F.lit("")) == "", F.array().cast("array<string>")).when(F.length(body) <= limit, F.array(body)).otherwise(pieces)
+        return F.when(F.length(b) <= limit, F.array(b)).otherwise(let(cut, lambda c: F.array_append(c["done"], c["now"])))
+
+    def ended(packed: Column) -> Column:
+        done, last = packed["done"], packed["now"]
+        stub = (F.size(done) > 0) & (F.length(last) < least)
+        joined = F.array_append(F.slice(done, 1, F.size(done) - 1), F.concat(F.element_at(done, -1), F.lit("\n"), last))
+        return F.when(stub, joined).otherwise(F.array_append(done, last))
+
+    def pieces(body: Column) -> Column:
+        parts = F.flatten(F.transform(sub_clauses(body), block))
+        nothing = F.array().cast("array<string>")
+        return F.when(F.coalesce(body, F.lit("")) == "", nothing).when(F.length(body) <= limit, F.array(body)).otherwise(let(_packed(parts, limit, "\n"), ended))
+
+    return let(strip(text), pieces)
 
 
 def any_of(conditions: list[Column]) -> Column:
