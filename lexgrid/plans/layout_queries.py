@@ -35,9 +35,9 @@ def q49_matrix_render(spark: SparkSession, d: str) -> DataFrame:
     """A permission matrix for every part brand: zones in columns, symbols where the brand has parts of that size."""
     ship(spark)
     zones = ["LC", "NC", "DC", "RC", "OC", "RLF"]
-    head = spark.createDataFrame([(z, 190.0 + 24 * i) for i, z in enumerate(zones)], "text string, x0 double")
+    head = F.array(*[F.struct(F.lit(z).alias("text"), F.lit(190.0 + 24 * i).alias("x0")) for i, z in enumerate(zones)])
     brands = table(spark, d, "part").groupBy("p_brand").agg(F.collect_set(F.col("p_size") % 6).alias("held")).select(F.xxhash64("p_brand").alias("document"), "p_brand", "held")
-    heads = brands.crossJoin(F.broadcast(head)).select("document", F.lit(0).alias("page"), "text", "x0", (F.col("x0") + 12).alias("x1"), F.lit(100.0).alias("top"), F.lit(True).alias("bold"))
+    heads = brands.select("document", F.inline(head)).select("document", F.lit(0).alias("page"), "text", "x0", (F.col("x0") + 12).alias("x1"), F.lit(100.0).alias("top"), F.lit(True).alias("bold"))
     label = brands.select("document", F.lit(0).alias("page"), F.col("p_brand").alias("text"), F.lit(60.0).alias("x0"), F.lit(120.0).alias("x1"), F.lit(120.0).alias("top"), F.lit(False).alias("bold"))
     cells = brands.select("document", F.explode("held").alias("h")).select("document", F.lit(0).alias("page"), F.when(F.col("h") % 2 == 0, "P").otherwise("SD").alias("text"), (F.lit(190.0) + 24 * F.col("h")).alias("x0"), (F.lit(202.0) + 24 * F.col("h")).alias("x1"), F.lit(121.0).alias("top"), F.lit(False).alias("bold"))
     return matrices(heads.unionByName(label).unionByName(cells), {"P": "Permitted", "SD": "Sign Districts"}).select("sentence")
