@@ -1,8 +1,4 @@
-"""Positioned words to lines, columns, matrices and clauses, one page or document to a group.
-
-What a page needs is a fold over its lines, what a document needs a state machine over its pages; both run
-as grouped Arrow functions whose groups are pages and documents, never more.
-"""
+"""Positioned words to lines, columns and matrices: what a page says, as a fold over its lines."""
 
 from __future__ import annotations
 
@@ -10,25 +6,27 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
 #: Fixed values of the layout, in points.
 LINE_TOLERANCE, GUTTER, BAND, SNAP, AGREE = 4.0, 30.0, (0.35, 0.70), 4.0, 2
 MATRIX_REACH, MATRIX_COLUMNS = 14.0, 5
+SUPERSCRIPT, RAISED_DIGITS = (0.8, 0.15), str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
 SYMBOLS = {"P", "SD", "DA", "SP", "C", "X", "A", "-", "•"}
 _ZONE, _LIST = re.compile(r"-?[A-Z]{1,5}(?:-\d+)?"), re.compile(r"[•\-–*]|\(?[a-z0-9]{1,3}[.)]")
 _AMENDMENT = re.compile(r"[A-Z]{1,3}-\d+(?:\.\d+)+")
+_ROW = re.compile(r"\d+\.\d+(?:\([0-9a-zA-Z]+\))+")
 
 
 @dataclass
 class Scheme:
-    """How a bylaw numbers clauses; ``titles``: headings carry their titles."""
+    """How a bylaw numbers clauses; ``titles``: headings carry their titles; ``named_rows``: so do rows of matrices."""
 
     clause: str
     parent: str
     titles: bool = True
     prefixed: bool = False
+    named_rows: bool = False
+    columns: int = MATRIX_COLUMNS
+    zone: re.Pattern = _ZONE
 
 
 #: Clause and parent headings by the name of the scheme.
@@ -38,8 +36,8 @@ SCHEMES = {
     "dotted2": Scheme(r"^(\d+\.\d+)\s+(.*)$", r"^(\d+)\s+([A-Z][A-Z0-9 &/,'’()\-\.]{3,})$"),
     "moncton": Scheme(r"^(\d{1,3}(?:\s?\.\s?\d+)?(?:\s?\(\d+\))?)\.?\s+(.*)$", r"(?i)^(?:Division|Section)\s+(\d+\.\d+)\s+(.+)$", titles=False),
     "saintjohn": Scheme(r"^([1-9]\d?\.\d+(?:\(\d+[a-z]?\))?)\s+([A-Z\[].*)$", r"^([1-9]\d?)\s+([A-Z][A-Za-z].{3,})$"),
-    "cbrm": Scheme(r"^(\d{1,2}\.\d{1,2})\.\s+(\S.*)$", r"^(\d{1,2})\.\d?\s+([A-Z][A-Z0-9 &/,'’()\-\.]{3,})$"),
-    "stjohns": Scheme(r"^(\d{1,2}(?:\.\d{1,2}){1,2}|\(\d{1,2}\))\s+(\S.*)$", r"^(?P<title>[A-Z][A-Z0-9 ,\-/&]*)\((?P<number>[A-Z0-9\-]{1,6})\)\s*ZONE$", prefixed=True),
+    "cbrm": Scheme(r"^(\d{1,2}\.\d{1,2})\.\s+(\S.*)$", r"^(\d{1,2})\.\d?\s+([A-Z][A-Z0-9 &/,'’()\-\.]{3,})$", named_rows=True, columns=3, zone=re.compile(r"-?[A-Z]{1,5}\d*(?:-\d+)?")),
+    "stjohns": Scheme(r"^(?:SECTION\s+(\d{1,2})\s*[-–]\s*(\S.*)|(\d{1,2}(?:\.\d{1,2}){1,2}|\(\d{1,2}\))\s+(\S.*))$", r"^(?P<title>[A-Z][A-Z0-9 ,\-/&]*)\((?P<number>[A-Z0-9\-]{1,6})\)\s*ZONE$", prefixed=True),
     "summerside": Scheme(r"^(\d{1,2}\.\d{1,2}|\d{1,2}\.)\s+(\S.*)$", r"(?i)^(?P<title>.{3,60}?\((?P<number>[A-Za-z0-9]{1,5})\)\s*Zone)$", titles=False),
 }
 
@@ -55,8 +53,21 @@ def cluster(words: list[dict], tolerance: float = LINE_TOLERANCE) -> list[list[d
     return [sorted(line, key=lambda w: w["x0"]) for line in out]
 
 
+def raised(word: dict, before: dict) -> bool:
+    """A word is set as superscript of the one before: clearly smaller, on a clearly higher baseline."""
+    size, other = (w["bottom"] - w["top"] if w.get("bottom") is not None else 0.0 for w in (word, before))
+    return 0 < size < other * SUPERSCRIPT[0] and word["bottom"] < before["bottom"] - other * SUPERSCRIPT[1]
+
+
 def text_of(line: list[dict]) -> str:
-    return " ".join(w["text"] for w in line)
+    """The words of a line, raised digits joined to what they belong to."""
+    out = ""
+    for before, w in zip([None, *line], line, strict=False):
+        if before and w["text"].isdigit() and raised(w, before):
+            out += w["text"].translate(RAISED_DIGITS)
+        else:
+            out += (" " if before else "") + w["text"]
+    return out
 
 
 def without_amendments(page: list[list[dict]]) -> tuple[list[list[dict]], list[str]]:
@@ -104,144 +115,47 @@ def linearise(page: list[list[dict]], width: float) -> list[str]:
     return out
 
 
-def matrix(page: list[list[dict]], legend: dict[str, str], columns: int = MATRIX_COLUMNS) -> list[str]:
-    """Sentences of a permission matrix: cells go to the nearest heading within MATRIX_REACH, ties to the left."""
+@dataclass
+class Matrix:
+    """Sentences of a matrix, the labels of its rows, and the lines of the page that are no part of it."""
+
+    sentences: list[str] = field(default_factory=list)
+    labels: list[str] = field(default_factory=list)
+    rest: list[list[dict]] = field(default_factory=list)
+
+
+def matrix(page: list[list[dict]], legend: dict[str, str], scheme: Scheme) -> Matrix:
+    """A permission matrix: zones above, symbols in rows; cells go to the nearest heading within MATRIX_REACH, ties to the left.
+
+    A row has a clause number for its label, with cells or without, or any label with cells where the
+    scheme has named rows. Lines in capitals between rows name the rows below. Without rows there is no matrix.
+    """
     centre = lambda w: (w["x0"] + w["x1"]) / 2
     heads: list[tuple[str, float]] = []
-    category, out = "", []
+    category, out = "", Matrix()
     for line in page:
-        codes: list[dict] = []
-        for w in reversed(line):
-            if not _ZONE.fullmatch(w["text"]):
-                break
-            codes.insert(0, w)
-        if len(codes) >= columns and not all(w["text"] in SYMBOLS for w in codes):
-            heads = [(w["text"], centre(w)) for w in codes]
-            continue
         if not heads:
+            start = next((i for i in range(len(line), 0, -1) if not scheme.zone.fullmatch(line[i - 1]["text"])), 0)
+            codes = line[start:]
+            if len(codes) >= scheme.columns and not all(w["text"] in SYMBOLS for w in codes):
+                heads = [(w["text"], centre(w)) for w in codes]
+            else:
+                out.rest.append(line)
             continue
-        cells = []
-        rest = list(line)
-        while rest and rest[-1]["text"] in SYMBOLS and rest[-1]["x0"] >= heads[0][1] - MATRIX_REACH:
-            cells.insert(0, rest.pop())
-        label = text_of(rest)
-        if not cells and label.isupper():
-            category = label
+        at = next((i for i in range(len(line), 0, -1) if line[i - 1]["text"] not in SYMBOLS), 0)
+        label, cells = text_of(line[:at]), line[at:]
+        if not (label and ((at == 1 and _ROW.fullmatch(label)) or (scheme.named_rows and cells))):
+            if (whole := text_of(line)).isupper() and len(whole) > 2:
+                category = whole
+            else:
+                out.rest.append(line)
             continue
         by: dict[str, list[str]] = {}
         for w in cells:
             name, x = min(heads, key=lambda h: abs(h[1] - centre(w)))
             if abs(x - centre(w)) <= MATRIX_REACH:
                 by.setdefault(w["text"], []).append(name)
-        said = "; ".join(f"{legend.get(s, s)}: {', '.join(z)}" for s, z in by.items()) or "no entry for any listed zone"
-        out.append(f"{category} {label}".strip() + f" - {said}.")
-    return out
-
-
-@dataclass
-class _Open:
-    number: str
-    title: str | None
-    page: int
-    parent: str | None
-    body: list[str] = field(default_factory=list)
-
-
-def assemble(pages: list[tuple[int, list[tuple[str, bool]]]], scheme: Scheme) -> list[dict]:
-    """Clauses of a document from its pages of (text, bold) lines; text before the first heading belongs to none."""
-    clause, parent_of = re.compile(scheme.clause), re.compile(scheme.parent)
-    quoted = re.compile(r"^[“”\"‘’]\s*([^.“”\"‘’]{1,70}?)\s*[“”\"‘’][^.“”\"]{0,44}?means\b")
-    guillemet = re.compile(r"^«\s*([^.«»]{1,90}?)\s*»\s+(?=[A-ZÀ-ÖØ-Þ0-9])")
-    out: list[dict] = []
-    now: _Open | None = None
-    parent, enclosing, pending, after_heading = None, "0", [], False
-
-    def flush():
-        nonlocal now
-        if now and (text := "\n".join(now.body).strip()):
-            out.append({"section_number": now.number, "section_title": now.title, "parent": now.parent, "page_number": now.page, "text": text})
-        now = None
-
-    for page, lines in pages:
-        for raw, bold in lines:
-            line = raw.strip()
-            if not line:
-                continue
-            found = clause.match(line) if bold or pending or (after_heading and not scheme.titles) else None
-            head = parent_of.match(line) if bold and not found else None
-            term = quoted.match(line) or guillemet.match(line)
-            if found:
-                flush()
-                number = re.sub(r"\s+", "", found[1])
-                number = f"{parent[0]}{number}" if scheme.prefixed and parent and number.startswith("(") else number
-                title = found[2].strip() if scheme.titles else " ".join(pending)
-                now = _Open(number, title or None, page, parent and " ".join(parent))
-                if not scheme.titles:
-                    now.body.append(found[2].strip())
-                enclosing, pending, after_heading = number, [], False
-            elif head:
-                flush()
-                groups = head.groupdict()
-                parent = (groups["number"], groups["title"].strip()) if groups else (head[1], head[2])
-                after_heading, pending = True, []
-            elif term:
-                flush()
-                now = _Open(enclosing, term[1].strip(), page, parent and " ".join(parent), [line])
-            elif not scheme.titles and bold and len(pending) < 2 and len(" ".join([*pending, line])) <= 140:
-                pending.append(line)
-            else:
-                if now:
-                    now.body += pending + [line]
-                pending, after_heading = [], False
-    flush()
-    return out
-
-
-_WORDS = ("page", "text", "x0", "x1", "top", "bold")
-
-
-def clauses(words: DataFrame, scheme: str = "paren", width: float = 612.0) -> DataFrame:
-    """words (document, page, text, x0, x1, top, bold) -> document, seq, section_number, section_title, parent, page_number, text.
-
-    Groups are documents. Unknown schemes are read as the default one; an empty table gives an empty result.
-    """
-    chosen = SCHEMES.get(scheme, SCHEMES["paren"])
-    names = ("section_number", "section_title", "parent", "page_number", "text")
-
-    def one(group: pa.Table) -> pa.Table:
-        rows = group.select(["document", *_WORDS]).to_pylist()
-        pages = []
-        for page in sorted({r["page"] for r in rows}):
-            kept, _ = without_amendments(cluster([r for r in rows if r["page"] == page]))
-            bold = {text_of(line): line[0]["bold"] for line in kept}
-            pages.append((page, [(t, bool(bold.get(t))) for t in linearise(kept, width)]))
-        found = assemble(pages, chosen)
-        kinds = {"page_number": pa.int32()}
-        cols = [pa.array([rows[0]["document"]] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), *(pa.array([f[n] for f in found], kinds.get(n, pa.string())) for n in names)]
-        return pa.Table.from_arrays(cols, ["document", "seq", *names])
-
-    return words.groupBy("document").applyInArrow(one, "document long, seq int, section_number string, section_title string, parent string, page_number int, text string")
-
-
-def page_lines(words: DataFrame, width: float = 612.0) -> DataFrame:
-    """words -> document, page, n, line: the lines of every page in reading order."""
-
-    def one(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        found = linearise(without_amendments(cluster(rows))[0], width)
-        k = len(found)
-        return pa.Table.from_arrays([pa.array([rows[0]["document"]] * k, pa.int64()), pa.array([rows[0]["page"]] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(found, pa.string())], ["document", "page", "n", "line"])
-
-    return words.select("document", *_WORDS).groupBy("document", "page").applyInArrow(one, "document long, page int, n int, line string")
-
-
-def matrices(words: DataFrame, legend: dict[str, str], columns: int = MATRIX_COLUMNS) -> DataFrame:
-    """words -> document, page, n, sentence of every permission matrix row."""
-
-    def one(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        found = matrix(cluster(rows), legend, columns)
-        k = len(found)
-        return pa.Table.from_arrays([pa.array([rows[0]["document"]] * k, pa.int64()), pa.array([rows[0]["page"]] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(found, pa.string())], ["document", "page", "n", "sentence"])
-
-    return words.select("document", *_WORDS).groupBy("document", "page").applyInArrow(one, "document long, page int, n int, sentence string")
+        said = "; ".join(f"{legend.get(c, c)}: {', '.join(z)}" for c, z in by.items()) or "no entry for any listed zone"
+        out.labels.append(line[0]["text"])
+        out.sentences.append(f"{category} {label}".strip() + f" - {said}.")
+    return out if out.sentences else Matrix(rest=page)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexgrid.functions.lexemes import squashed, text_rank
 from lexgrid.functions.text import names_section, similarity, trigrams
 from lexgrid.functions.vector import cosine
 
@@ -33,8 +34,18 @@ def tier_scores(content: Column, section: Column, question: str, hint: str | Non
     return F.greatest(*tiers, F.lit(None).cast("double"))
 
 
-def keyword_search(chunks: DataFrame, question: str, tenant: str, language: str | None = None, hint: str | None = None, count: int = COUNT) -> DataFrame:
-    hits = scoped(chunks, tenant, language).withColumn("rank", tier_scores(F.col("chunk_content"), F.col("section_number"), question, hint))
+def keyword_search(chunks: DataFrame, question: str, tenant: str, language: str | None = None, hint: str | None = None, count: int = COUNT, full_text: bool = False) -> DataFrame:
+    """The best chunks by their best tier; ``full_text`` adds the tier of cover density, squashed below 0.80.
+
+    The language decides the stemmer of that tier, French or else English; a column section_title counts
+    above the body. Blank questions leave the tiers of the hint.
+    """
+    hits = scoped(chunks, tenant, language)
+    rank = tier_scores(F.col("chunk_content"), F.col("section_number"), question, hint)
+    if full_text:
+        title = F.col("section_title") if "section_title" in chunks.columns else F.lit(None).cast("string")
+        rank = F.greatest(rank, squashed(text_rank(title, F.col("chunk_content"), question, language == "fr")))
+    hits = hits.withColumn("rank", rank)
     return hits.where(F.col("rank").isNotNull()).orderBy(F.col("rank").desc(), "section_number", "id").limit(count)
 
 

@@ -1,11 +1,11 @@
-"""Layout queries q48 to q50 over word tables laid out from the driver's documents."""
+"""Layout queries over word tables laid out from the driver's documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.operators.layout import clauses, matrices, page_lines
+from lexgrid.operators.assembly import bilingual_clauses, clauses, matrices, page_facts, page_lines
 from lexgrid.session import ship
 from lexgrid.sources.tables import table
 
@@ -40,12 +40,33 @@ def q49_matrix_render(spark: SparkSession, d: str) -> DataFrame:
     heads = brands.select("document", F.inline(head)).select("document", F.lit(0).alias("page"), "text", "x0", (F.col("x0") + 12).alias("x1"), F.lit(100.0).alias("top"), F.lit(True).alias("bold"))
     label = brands.select("document", F.lit(0).alias("page"), F.col("p_brand").alias("text"), F.lit(60.0).alias("x0"), F.lit(120.0).alias("x1"), F.lit(120.0).alias("top"), F.lit(False).alias("bold"))
     cells = brands.select("document", F.explode("held").alias("h")).select("document", F.lit(0).alias("page"), F.when(F.col("h") % 2 == 0, "P").otherwise("SD").alias("text"), (F.lit(190.0) + 24 * F.col("h")).alias("x0"), (F.lit(202.0) + 24 * F.col("h")).alias("x1"), F.lit(121.0).alias("top"), F.lit(False).alias("bold"))
-    return matrices(heads.unionByName(label).unionByName(cells), {"P": "Permitted", "SD": "Sign Districts"}).select("sentence")
+    return matrices(heads.unionByName(label).unionByName(cells), {"P": "Permitted", "SD": "Sign Districts"}, "cbrm").select("sentence")
 
 
 def q50_clause_assembly(spark: SparkSession, d: str) -> DataFrame:
     return clauses(_words(spark, d, numbered=True)).select("document", "seq", "section_number", "section_title", "page_number", F.sha2("text", 256).alias("digest"))
 
 
-QUERIES = [q48_near_column_linearise, q49_matrix_render, q50_clause_assembly]
+def q56_page_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds, headers and labels of pages; every page gets a running header and a label."""
+    words = _words(spark, d)
+    pages = words.select("document", "page").distinct()
+    word = lambda text, x, top: F.struct(F.lit(text).cast("string").alias("text") if isinstance(text, str) else text.alias("text"), F.lit(x).alias("x0"), F.lit(x + 30.0).alias("x1"), F.lit(top).alias("top"))
+    extra = F.array(word("Section", 60.0, -20.0), word((F.col("page") + 1).cast("string"), 110.0, -20.0), word("Rules", 160.0, -20.0), word(F.concat((F.col("document") % 9).cast("string"), F.lit("-"), F.col("page").cast("string")), 300.0, 700.0))
+    stamps = pages.select("document", "page", F.inline(extra)).select("document", "page", "text", "x0", "x1", "top", F.lit(True).alias("bold"))
+    return page_facts(words.unionByName(stamps)).drop("amendments")
+
+
+def q57_bilingual_clauses(spark: SparkSession, d: str) -> DataFrame:
+    """Every document beside itself: the first half of a line in one language's column, the other in the other's."""
+    ship(spark)
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    words = F.slice(F.filter(F.split("line", " "), lambda w: w != ""), 1, 8)
+    head = F.array(F.concat((F.col("n") % 40 + 100).cast("string"), F.lit(".1")))
+    side = lambda left, part: F.transform(F.concat(head, part), lambda w, k: F.struct(w.alias("text"), (F.lit(left) + k * 44.0).alias("x0"), (F.lit(left) + k * 44.0 + 38.0).alias("x1")))
+    both = lines.withColumn("words", words).select("document", (F.col("n") / 40).cast("int").alias("page"), (F.col("n") % 40 * 14.0).alias("top"), (F.col("n") % 2 == 0).alias("bold"), F.inline(F.concat(side(40.0, F.slice("words", 1, 4)), side(330.0, F.slice("words", 5, 4)))))
+    return bilingual_clauses(both).select("document", "language", "seq", "section_number", "page_number", F.sha2("text", 256).alias("digest"))
+
+
+QUERIES = [q56_page_facts, q57_bilingual_clauses, q48_near_column_linearise, q49_matrix_render, q50_clause_assembly]
 SQL: dict[str, str] = {}

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrid.functions.lexemes import squashed, text_rank
 from lexgrid.functions.text import names_section, section_hint, similarity, trigrams
 from lexgrid.functions.vector import cosine
 from lexgrid.operators.retrieval import fuse, keyword_search, match, ranked, scoped
+from lexgrid.session import ship
 from lexgrid.sources.tables import CHUNKS_SQL, chunks, table
 
 QUESTION = "what does section 8.3 say about the setbacks of the and that"
+WEB_QUESTION = 'reing thing or "attion" -blend or erble that'
 TENANT, LANGUAGE = "src3", "en"
 
 
@@ -86,6 +89,20 @@ SELECT id, contains(' ' || array_to_string(words, ' ') || ' ', ' and the ') AS p
 WHERE list_contains(words, 'the') AND list_contains(words, 'of') AND NOT list_contains(words, 'idiot')"""
 
 
+def q07_fulltext_stemmed_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Cover density over stems, titles above bodies: a title is what stands before the first full stop, if short."""
+    ship(spark)
+    title = F.nullif(F.regexp_extract("chunk_content", r"^([^.\n]{1,60})\.", 1), F.lit(""))
+    rank = text_rank(title, F.col("chunk_content"), WEB_QUESTION)
+    hits = chunks(spark, d).where(F.col("language") == LANGUAGE).withColumn("rank", rank).where(F.col("rank").isNotNull())
+    return hits.select("id", F.round("rank", 6).alias("rank"), F.round(squashed(F.col("rank")), 6).alias("score"))
+
+
+def q55_keyword_all_tiers(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return keyword_search(chunks(spark, d), WEB_QUESTION, TENANT, LANGUAGE, hint="8.3", count=20, full_text=True).select("id", "section_number", F.round("rank", 6).alias("rank"))
+
+
 def q08_section_hint(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "conversations").where(F.col("role") == "user")
     forms = F.array(F.lit("see 6.3(1)(a) there"), F.lit("part 4.2.1 and 5.1"), F.lit("in Section 7 and"), F.lit("ARTICLES 12"), F.lit("must be 3 metres"), F.lit("at 8.14"))
@@ -204,4 +221,4 @@ SELECT id, CAST(row_number() OVER (ORDER BY rank DESC, section_number, id) AS IN
 FROM k WHERE rank IS NOT NULL QUALIFY fused_rank <= 5"""
 
 SQL = {"q01_vector_topk": Q01, "q02_vector_threshold_counts": Q02, "q03_section_exact_prefix": Q03, "q04_trigram_similarity": Q04, "q05_keyword_tiers_nofts": Q05, "q06_fulltext_simple_match": Q06, "q08_section_hint": Q08, "q09_optional_language_filter": Q09, "q10_tenant_isolation_check": Q10, "q11_citation_join": Q11, "q12_rrf_two_lists": _rrf_sql(1, 1, 10), "q13_rrf_weighted": _rrf_sql(10, 1, 10), "q14_rrf_duplicate_merge": _rrf_sql(1, 1, 1000), "q15_hybrid_batch_topk": Q15, "q16_hybrid_degraded": Q16}
-QUERIES = [q01_vector_topk, q02_vector_threshold_counts, q03_section_exact_prefix, q04_trigram_similarity, q05_keyword_tiers_nofts, q06_fulltext_simple_match, q08_section_hint, q09_optional_language_filter, q10_tenant_isolation_check, q11_citation_join, q12_rrf_two_lists, q13_rrf_weighted, q14_rrf_duplicate_merge, q15_hybrid_batch_topk, q16_hybrid_degraded]
+QUERIES = [q07_fulltext_stemmed_rank, q55_keyword_all_tiers, q01_vector_topk, q02_vector_threshold_counts, q03_section_exact_prefix, q04_trigram_similarity, q05_keyword_tiers_nofts, q06_fulltext_simple_match, q08_section_hint, q09_optional_language_filter, q10_tenant_isolation_check, q11_citation_join, q12_rrf_two_lists, q13_rrf_weighted, q14_rrf_duplicate_merge, q15_hybrid_batch_topk, q16_hybrid_degraded]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from lexgrid.functions.answer import client_key, context, disclaimer, frames, has_disclaimer, logged
 from lexgrid.functions.text import clause_pieces, clean_text, definition_term, names_section, section_hint, similarity, token_estimate, trigrams
 from lexgrid.operators.checks import cascade, violations
-from lexgrid.operators.layout import SCHEMES, assemble, cluster, linearise, matrix, without_amendments
+from lexgrid.operators.assembly import Page, assemble, bilingual, bilingual_clauses, gutter_of, kind, page_facts, read_page
+from lexgrid.operators.layout import SCHEMES, cluster, linearise, matrix, text_of, without_amendments
 from lexgrid.operators.ordering import lines
 from lexgrid.operators.retrieval import fuse
 from lexgrid.operators.store import decision, insert_missing, orphans, pending, repeated_keys, replace_table, upsert
@@ -174,16 +175,84 @@ def test_matrix_cells_go_to_the_nearest_column():
     zones = ["LC", "NC", "DC", "RC", "OC", "RLF"]
     head = [word(z, 190 + 24 * i, 100) for i, z in enumerate(zones)]
     row = [word("6.4(2)(a)", 60, 120)] + [word("P", 192 + 24 * i, 120) for i in range(4)] + [word("SD", 190 + 24 * 5, 120)]
-    assert matrix([head, [word("SIGNS", 60, 110)], row, [word("blank", 60, 140)]], {"P": "Permitted"}) == ["SIGNS 6.4(2)(a) - Permitted: LC, NC, DC, RC; SD: RLF.", "SIGNS blank - no entry for any listed zone."]
+    assert matrix([head, [word("SIGNS", 60, 110)], row, [word("6.4(2)(b)", 60, 140)]], {"P": "Permitted"}, SCHEMES["paren"]).sentences == ["SIGNS 6.4(2)(a) - Permitted: LC, NC, DC, RC; SD: RLF.", "SIGNS 6.4(2)(b) - no entry for any listed zone."]
 
 
 def test_clauses():
-    pages = [(1, [("stray text", False), ("2.1 GENERAL RULES", True), ("2.1(1) Fences", True), ("A fence is low.", False), ("“ berm ” means a bank", False)]), (2, [("of earth.", False), ("2.1(2) Walls", True), ("2.1(3) not bold, so text", False)])]
+    pages = [Page(1, [("stray text", False), ("2.1 GENERAL RULES", True), ("2.1(1) Fences", True), ("A fence is low.", False), ("“ berm ” means a bank", False)]), Page(2, [("of earth.", False), ("2.1(2) Walls", True), ("2.1(3) not bold, so text", False)])]
     got = assemble(pages, SCHEMES["paren"])
     assert [(c["section_number"], c["section_title"], c["text"], c["page_number"], c["parent"]) for c in got] == [
         ("2.1(1)", "Fences", "A fence is low.", 1, "2.1 GENERAL RULES"),
-        ("2.1(1)", "berm", "“ berm ” means a bank\nof earth.", 1, "2.1 GENERAL RULES"),
+        ("2.1(1)", "berm", "“ berm ” means a bank\nof earth.", 1, None),
         ("2.1(2)", "Walls", "2.1(3) not bold, so text", 2, "2.1 GENERAL RULES"),
     ]
-    untitled = assemble([(1, [("Height of walls", True), ("82. 1 (1) No wall is high.", False)])], SCHEMES["moncton"])
+    untitled = assemble([Page(1, [("Height of walls", True), ("82. 1 (1) No wall is high.", False)])], SCHEMES["moncton"])
     assert [(c["section_number"], c["section_title"], c["text"]) for c in untitled] == [("82.1(1)", "Height of walls", "No wall is high.")]
+
+
+def test_numbers_of_section_chapters():
+    found = assemble([Page(1, [("SECTION 2 - Uses", True), ("Text.", False), ("MINI HOME PARK (MHP) ZONE", True), ("(1) PERMITTED USES", True), ("Homes.", False)])], SCHEMES["stjohns"])
+    assert [(c["section_number"], c["section_title"], c["parent"]) for c in found] == [("2", "Uses", None), ("MHP(1)", "PERMITTED USES", "MHP MINI HOME PARK")]
+
+
+def test_definitions_and_tables():
+    pages = [
+        Page(1, [("(7) Utility means a pipe", False), ("or wire.", False)], part="2", part_title="Définitions"),
+        Page(2, [("2.1(1) Scope", True), ("Everything.", False), ("Berm means a bank", True), ("a wall means nothing", False), ("« allée", False), ("privée » Voie étroite", False)]),
+        Page(3, [("cell 1", False), ("TABLE 12.1 - Yards", False)], label="2-3", standalone=True),
+        Page(4, [], table=["6.4(1) - P: LC."], table_number="6.4", table_title="ZONES"),
+        Page(5, [("tail", False)]),
+    ]
+    got = [(c["section_number"], c["section_title"], c["text"]) for c in assemble(pages, SCHEMES["paren"])]
+    assert got == [
+        ("2(7)", "Utility", "Utility means a pipe\nor wire."),
+        ("2.1(1)", "Scope", "Everything."),
+        ("2.1(1)", "Berm", "Berm means a bank\na wall means nothing"),
+        ("2.1(1)", "allée privée", "« allée privée » Voie étroite"),
+        ("Table 12.1", "Yards", "cell 1\nTABLE 12.1 - Yards"),
+        ("6.4", "ZONES", "6.4(1) - P: LC."),
+    ]
+
+
+def test_superscripts():
+    small = {"text": "2", "x0": 90.0, "x1": 93.0, "top": 99.0, "bottom": 104.0, "bold": False}
+    assert text_of([word("345", 60, 100), word("m", 84, 100), small]) == "345 m²"
+    assert text_of([word("case", 60, 100), word("2", 90, 100)]) == "case 2"
+
+
+def test_pages_have_headers_labels_and_kinds():
+    page = read_page([word("Section", 60, 20), word("8", 110, 20), word("Zones", 130, 20), word("Text", 60, 60), word("8-37", 300, 700)], 5, SCHEMES["paren"], 612)
+    assert (page.part, page.part_title, page.label, page.lines) == ("8", "Zones", "8-37", [("Text", False)])
+    lines = lambda *texts: Page(1, [(t, False) for t in texts])
+    assert kind(lines(*[f"Heading 2-{i}" for i in range(4)])) == "toc"
+    assert kind(lines(*[f"{i} Short heading" for i in range(12)])) == "contents"
+    assert kind(lines(*["word – mot"] * 12)) == "term_index"
+    assert kind(lines(*["General Rules 4"] * 8)) == "divider"
+    assert kind(lines("Amendment", "Published Date")) == "register"
+    assert kind(lines()) == kind(lines("A plain line of text.")) == "body"
+
+
+def bilingual_page(top=0.0):
+    out = []
+    for i in range(10):
+        for k in range(4):
+            out += [word(f"l{i}", 40 + 44 * k, top + 20 * i), word(f"r{i}", 330 + 44 * k, top + 20 * i)]
+    return out
+
+
+def test_bilingual_pages(spark):
+    words = bilingual_page()
+    assert gutter_of([words], 612) == 326
+    table = [word(f"c{k}", 40 + 60 * k, 10) for k in range(9)]
+    left, right = bilingual([(1, words), (2, table)], SCHEMES["moncton"], 612)
+    assert all(t.startswith("l") for t, _ in left[0].lines) and all(t.startswith("r") for t, _ in right[0].lines)
+    assert left[1].standalone and right[1].lines == left[1].lines
+    with pytest.raises(ValueError, match="gutter"):
+        bilingual([(1, [word("alone", 60, 10)])], SCHEMES["moncton"], 612)
+
+
+def test_words_without_text_or_place_are_left_out(spark):
+    ddl = "document long, page int, text string, x0 double, x1 double, top double, bold boolean, extra string"
+    rows = [(1, 1, None, 1.0, 2.0, 3.0, True, "x"), (1, 1, "a", None, 2.0, 3.0, True, "x"), (2, 1, "b", 1.0, 2.0, 3.0, None, "x")]
+    assert [r["document"] for r in page_facts(spark.createDataFrame(rows, ddl)).collect()] == [2]
+    assert page_facts(spark.createDataFrame([], ddl)).count() == bilingual_clauses(spark.createDataFrame(rows, ddl)).count() == 0
