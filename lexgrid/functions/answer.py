@@ -32,7 +32,7 @@ def disclaimer(language: Column, verified_on: Column) -> Column:
 
 
 def has_disclaimer(answer: Column) -> Column:
-    return F.contains(answer, F.lit("*Disclaimer:")) | F.contains(answer, F.lit("*Avis :"))
+    return F.contains(answer, F.lit("*Disclaimer:")) | F.contains(answer, F.lit("*Avis :")) | F.contains(answer, F.lit("*Avis:"))
 
 
 def context(passages: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexgrid.plans import document_queries, layout_queries, retrieval_queries, service_queries, stream_queries
+from lexgrid.plans import document_queries, layout_queries, retrieval_queries, run_queries, service_queries, stream_queries
 
-MODULES = [retrieval_queries, document_queries, service_queries, layout_queries, stream_queries]
+MODULES = [retrieval_queries, document_queries, service_queries, layout_queries, stream_queries, run_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
