@@ -257,6 +257,15 @@ def test_ring_walk_against_one_by_one():
     assert got == want
 
 
+def test_ring_deals_many_copies_of_one_row(spark):
+    rows = spark.range(0, 30_000, 1, 3).selectExpr("if(id < 25000, 1, id) AS doc_id", "if(id < 25000, 'same', 'x') AS text")
+    got = shard(rows, shards=7).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == 30_000 and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s])) for s in range(7))
+    assert Counter(r["doc_id"] for r in got)[1] == 25_000
+
+
 def test_ring_moves_few_rows_when_a_shard_is_added():
     counts = {p: 1 for p in range(0, 1 << 16, 7)}
     where = lambda n: {p: s for p, _, _, s, _ in walk(counts, n)}
