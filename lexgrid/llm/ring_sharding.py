@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lexgrid.llm.common import cut, table
 
 PLACES, NODES = 1 << 16, 128
-#: Copies of a row that are written out together; more are dealt over the tasks first.
+#: Ranks of equal rows that are made at once, so that many copies take no more memory than few.
 TOGETHER = 1 << 13
 
 
@@ -67,7 +67,7 @@ def shard(documents: DataFrame, shards: int = 40, nodes: int = NODES) -> DataFra
 
     The key of a row is its doc_id with the checksum of its text, so that rows which repeat or lack a
     doc_id spread over the ring. Equal rows may stand for each other and are counted before they move;
-    where they are many, their ranks leave in blocks of TOGETHER.
+    where they are many, their ranks are made in blocks of TOGETHER.
     Null texts weigh 16 bytes and have no checksum; empty ones have checksum 0. Columns other than doc_id
     and text are not read. An empty table gives an empty result.
     """
@@ -80,10 +80,8 @@ def shard(documents: DataFrame, shards: int = 40, nodes: int = NODES) -> DataFra
     before = Window.partitionBy("place").orderBy("hash", "doc_id", "digest", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = keys.withColumn("first", F.coalesce(F.sum("copies").over(before), F.lit(0)))
     last = F.col("first") + F.col("copies") - 1
-    few, many = ranked.where(F.col("copies") <= TOGETHER), ranked.where(F.col("copies") > TOGETHER)
-    blocks = many.withColumn("from", F.explode(F.sequence(F.col("first"), last, F.lit(TOGETHER).cast("long")))).repartition("hash", "from")
-    blocks = blocks.withColumns({"first": F.col("from"), "copies": F.least(last - F.col("from") + 1, F.lit(TOGETHER))}).drop("from")
-    each = few.unionByName(blocks).withColumn("rank", F.explode(F.sequence(F.col("first"), last)))
+    blocks = ranked.select("*", F.explode(F.sequence(F.col("first"), last, F.lit(TOGETHER).cast("long"))).alias("from"), last.alias("last"))
+    each = blocks.withColumn("rank", F.explode(F.sequence("from", F.least(F.col("from") + (TOGETHER - 1), F.col("last")))))
     found = each.join(F.broadcast(ranges), "place").where("rank >= low AND rank < high")
     return found.select("doc_id", "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - F.col("low")).alias("slot"))
 
