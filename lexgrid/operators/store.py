@@ -41,10 +41,23 @@ def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def replace_table(spark: SparkSession, rows: DataFrame, root: str, key: list[str]) -> str:
-    """Write the final set beside the old one, check it, and give the new folder, for the caller to record last."""
+def replace_table(spark: SparkSession, rows: DataFrame, root: str, key: list[str], folders: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> str:
+    """Write the final set beside the old one, check it, and give the new folder, for the caller to record last.
+
+    ``folders`` part the files by columns that every search names, ``order`` sorts within them, so that scans
+    skip by folder and by row group. Ranges of folders, order and key are dealt evenly, however much of the
+    rows one folder has. Read the folder with the schema of the rows, as folder names carry no types.
+    """
     path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    if not repeated_keys(spark.read.parquet(path), key).isEmpty():
+    by = list(dict.fromkeys([*folders, *order, *key]))
+    laid = rows.repartitionByRange(*by).sortWithinPartitions(*by) if folders or order else rows
+    laid.write.partitionBy(*folders).parquet(path)
+    if not repeated_keys(spark.read.schema(rows.schema).parquet(path), key).isEmpty():
         raise ValueError(f"{path}: keys repeat")
     return path
+
+
+def without_vectors(chunks: DataFrame, sources: DataFrame, element: str = "float") -> tuple[DataFrame, DataFrame]:
+    """A change of vector width: vectors of chunks and content hashes of sources are cleared, so that all is embedded anew."""
+    empty = F.lit(None).cast(f"array<{element}>")
+    return chunks.withColumn("embedding", empty), sources.withColumn("content_hash", F.lit(None).cast("string"))

@@ -1,4 +1,4 @@
-"""Queries q58 to q63: runs over sources, answers as events, readiness, embedding."""
+"""Queries q58 to q66: runs over sources, answers as events, readiness, embedding, the layout and migration of the store."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lexgrid.functions.answer import FALLBACK, UNVERIFIED, frames
 from lexgrid.operators.answering import CUT_SHORT, FAILURE, bodies, events, readiness
 from lexgrid.operators.ingest import HEAD, ROW, WIDTH, outcome, selected, summary
+from lexgrid.operators.store import replace_table, without_vectors
 from lexgrid.session import ship
 from lexgrid.sources.embedding import embed_documents, hashed
-from lexgrid.sources.tables import table
+from lexgrid.sources.tables import CHUNKS_SQL, chunks, table
+from lexgrid.streaming.streams import shared_folder
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -128,5 +130,29 @@ def q64_embed_documents(spark: SparkSession, d: str) -> DataFrame:
 
 Q64 = "SELECT lang, count(*) AS n, count(*) FILTER (WHERE trim(regexp_extract(text, '^([^\n]*)', 1)) <> '') AS embedded, count(*) FILTER (WHERE trim(regexp_extract(text, '^([^\n]*)', 1)) <> '') AS unit FROM documents GROUP BY 1"
 
-QUERIES = [q58_ingest_outcomes, q59_run_summary, q60_source_selection, q61_answer_events, q62_answer_frames, q63_readiness, q64_embed_documents]
-SQL = dict(zip([f.__name__ for f in QUERIES], [Q58, Q59, Q60, Q61, Q62, Q63, Q64], strict=True))
+
+def q65_store_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written by tenant and language, sorted by section, and read back for one of each."""
+    rows = chunks(spark, d)
+    path = replace_table(spark, rows, f"{shared_folder(spark)}/store", ["id"], ("municipality_id", "language"), ("section_number",))
+    read = spark.read.schema(rows.schema).parquet(path)
+    return read.where((F.col("municipality_id") == "src3") & (F.col("language") == "en") & F.col("section_number").between("2", "7")).select("id", "section_number", F.sha2("chunk_content", 256).alias("digest"))
+
+
+Q65 = f"WITH {CHUNKS_SQL} SELECT id, section_number, sha256(chunk_content) AS digest FROM chunks WHERE municipality_id = 'src3' AND language = 'en' AND section_number BETWEEN '2' AND '7'"
+
+
+def q66_width_migration(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and sources after a change of width: everything is there, nothing is embedded or known as ingested."""
+    rows = chunks(spark, d, vectors=True)
+    sources = rows.groupBy("municipality_id").agg(F.sha2(F.max("chunk_content"), 256).alias("content_hash"))
+    cleared, known = without_vectors(rows, sources)
+    counted = cleared.groupBy("municipality_id").agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded"))
+    hashes = known.groupBy("municipality_id").agg(F.count("content_hash").alias("ingested"))
+    return counted.join(hashes.withColumnRenamed("municipality_id", "m"), F.col("municipality_id").eqNullSafe(F.col("m"))).drop("m")
+
+
+Q66 = "SELECT source AS municipality_id, count(*) AS chunks, 0::BIGINT AS embedded, 0::BIGINT AS ingested FROM documents GROUP BY 1"
+
+QUERIES = [q58_ingest_outcomes, q59_run_summary, q60_source_selection, q61_answer_events, q62_answer_frames, q63_readiness, q64_embed_documents, q65_store_layout, q66_width_migration]
+SQL = dict(zip([f.__name__ for f in QUERIES], [Q58, Q59, Q60, Q61, Q62, Q63, Q64, Q65, Q66], strict=True))

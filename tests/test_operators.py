@@ -240,6 +240,13 @@ def bilingual_page(top=0.0):
     return out
 
 
+def test_legends_lose_banners_beside_them():
+    zones = ["LC", "NC", "DC", "RC", "OC"]
+    top = [word(t, 60 + 70 * i, 80) for i, t in enumerate(["P", "=", "Permitted", "LIMITED", "ZONES"])]
+    page = read_page([*top, *(word(z, 190 + 24 * i, 100) for i, z in enumerate(zones)), word("6.4(1)", 60, 120), word("P", 192, 120)], 1, SCHEMES["paren"], 612)
+    assert page.table == ["6.4(1) - Permitted: LC."] and page.table_number == "6.4"
+
+
 def test_bilingual_pages(spark):
     words = bilingual_page()
     assert gutter_of([words], 612) == 326

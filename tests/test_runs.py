@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from lexgrid.operators.answering import CUT_SHORT, bodies, events, readiness
 from lexgrid.operators.ingest import failures, selected, summary
+from lexgrid.operators.store import replace_table
+from lexgrid.settings import Settings, settings
 from lexgrid.sources.embedding import ATTEMPTS, WAITS, EmbeddingError, QuotaExhausted, Refused, aligned, embed_documents, embed_query, hashed, patient
 
 
@@ -83,3 +85,25 @@ def test_answers(spark):
     body = {r["request"]: r["body"] for r in bodies(e).collect()}
     assert body[5].split("\r\n\r\n")[1] == 'event: token\r\ndata: {"type":"token","data":"par\\n\\"t"}' and body[1].endswith('data: {"type":"done","data":null}\r\n\r\n')
     assert body[1].startswith('event: citations\r\ndata: {"type":"citations","data":["S"]}')
+
+
+def test_settings(spark):
+    assert settings(environ={}) == Settings() and settings(spark, {}).match_threshold == 0.3
+    got = settings(environ={"LEXGRID_STORE_URL": "https://store.example//", "LEXGRID_MATCH_THRESHOLD": "0.5", "LEXGRID_DEFAULT_LANGUAGE": ""})
+    assert (got.store_url, got.match_threshold, got.default_language) == ("https://store.example", 0.5, "en")
+    spark.conf.set("lexgrid.rate_limit_per_day", "7")
+    assert settings(spark, {"LEXGRID_RATE_LIMIT_PER_DAY": "9"}).rate_limit_per_day == 7
+    spark.conf.unset("lexgrid.rate_limit_per_day")
+    for wrong in ({"store_url": "http://x"}, {"embedding_dimensions": 512}, {"environment": "moon"}):
+        with pytest.raises(ValueError):
+            Settings(**wrong)
+
+
+def test_layout_keeps_types_and_nulls(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "001", "en", "2.1"), (2, None, "fr", "1.1"), (3, "001", "en", None)], "id long, municipality_id string, language string, section_number string")
+    path = replace_table(spark, rows, str(tmp_path), ["id"], ("municipality_id", "language"), ("section_number",))
+    read = spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+    assert sorted(read.collect()) == sorted(rows.collect())
+    assert "PartitionFilters: [isnotnull(municipality_id" in read.where("municipality_id = '001'")._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="repeat"):
+        replace_table(spark, rows.unionByName(rows), str(tmp_path), ["id"], ("language",))
