@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of every group of near copies."""
-    return keep_one(docs)
+    """One document, the one of smallest id, of every group of near copies at Jaccard 0.80 or more."""
+    return keep_one(docs, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

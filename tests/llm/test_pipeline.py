@@ -33,3 +33,12 @@ def test_stages(spark, tmp_path):
 def test_run_equals_the_stages(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
+
+
+def test_dedup_stage_drops_copies_from_jaccard_080_on(spark):
+    words = [f"w{i}" for i in range(104)]
+    copy = lambda n: " ".join(words[: 104 - n] + [f"x{i}" for i in range(n)])
+    # 100 shingles each; a tail of 10 other words leaves 90 of 110 in common (0.818), one of 12 words 88 of 112 (0.786)
+    docs = spark.createDataFrame([(1, copy(0)), (2, copy(10)), (10, "y " + copy(0).replace("w", "v")), (11, "y " + copy(12).replace("w", "v"))], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, SF).collect()} == {1, 10, 11}
+    assert near_duplicates(docs, percent=85).where("kept").count() == 4
