@@ -1,10 +1,10 @@
 """Hierarchical best-fit packing of tokenised documents into sequences of a fixed length.
 
 Every partition tokenises its documents, cuts those that are too long, and packs the pieces best-fit in
-decreasing length. Nearly full bins are final. Underfull bins go up a tree as single items: groups of
-FAN_IN neighbours repeat best-fit on whole bins, until one group is left. A group hands up at most CARRY
-bins, the emptiest; any others are final as they are, so no task holds more than FAN_IN * CARRY bins and
-no piece is lost.
+decreasing length. Nearly full bins are final. The pieces of all underfull bins are packed again together,
+whatever partitions they come from: they are counted by length, which is one of at most ``size`` levels,
+best-fit runs on the counts, and a piece finds its place by its rank among those of its length. There is no
+cap on what is carried, and what the driver holds is bounded by the levels.
 """
 
 from __future__ import annotations
@@ -18,16 +18,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexgrid.llm.common import cut, table
 
-SEQUENCE, NEARLY, FAN_IN, CARRY = 2048, 2032, 16, 1024
+SEQUENCE, NEARLY = 2048, 2032
+#: Sequences of pieces that are packed together are numbered from here on, above those of any partition.
+TOGETHER = 1 << 62
 CACHED_CHUNKS = 120_000
 _SIGNS, _ID = ".,;:!?*#$%&()[]{}=+/~^_@-", attrgetter("id")
-_COLUMNS = ("bin", "final", "doc_id", "piece", "start", "length", "ids_crc32", "offset")
-_SCHEMA = "bin long, final boolean, doc_id long, piece int, start long, length long, ids_crc32 long, offset long"
+_COLUMNS = ("bin", "final", "doc_id", "piece", "start", "length", "ids_crc32", "offset", "part", "rank")
+_SCHEMA = "bin long, final boolean, doc_id long, piece int, start long, length long, ids_crc32 long, offset long, part long, rank long"
+_PLACED = ("doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -123,19 +126,61 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
     return bins
 
 
-def _settle(rows: dict[str, np.ndarray], last: bool, size: int, nearly: int):
-    """Rows with their bins: offsets within bins, and which bins are final."""
+def best_fit_counts(counts: dict[int, int], size: int) -> np.ndarray:
+    """Best-fit decreasing over counts of lengths; as many bins as item by item.
+
+    Rows (length, rank, bin, each, used): from that rank on, items of that length go ``each`` at a time into
+    bins from ``bin`` on, which hold ``used`` before. Bins of one room are runs, and a length takes whole runs
+    but for its last, so there are a few rows a level however many items there are.
+    """
+    free: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+    mask = made = 0
+    out = []
+
+    def put(room: int, first: int, many: int) -> int:
+        if not room or not many:
+            return mask
+        free[room].append((first, many))
+        return mask | 1 << room
+
+    for length in sorted(counts, reverse=True):
+        n, rank = counts[length], 0
+        while n:
+            fits = mask >> length
+            if fits:
+                room = length + (fits & -fits).bit_length() - 1
+                first, many = free[room].pop()
+                if not free[room]:
+                    mask &= ~(1 << room)
+            else:
+                room, first, many = size, made, -(-n // (size // length))
+                made += many
+            each = room // length
+            out.append((length, rank, first, each, size - room))
+            full = min(many, n // each)
+            mask = put(room - each * length, first, full)
+            n, rank, first, many = n - full * each, rank + full * each, first + full, many - full
+            if n and many:
+                mask = put(room - n * length, first, 1)
+                n, first, many = 0, first + 1, many - 1
+            mask = put(room, first, many)
+    return np.array(sorted(out), np.int64).reshape(-1, 5)
+
+
+def _settle(rows: dict[str, np.ndarray], nearly: int):
+    """Rows with their bins: offsets within bins, which bins are final, ranks of the others' rows by length."""
     order = np.lexsort((rows["start"], rows["bin"]))
     rows = {k: v[order] for k, v in rows.items()}
     first = np.r_[0, np.nonzero(np.diff(rows["bin"]))[0] + 1]
     counts = np.diff(np.r_[first, len(order)])
     before = np.cumsum(rows["length"]) - rows["length"]
     rows["offset"] = before - np.repeat(before[first], counts)
-    fill = np.add.reduceat(rows["length"], first)
-    final = (fill >= nearly) | last
-    if (~final).sum() > CARRY:
-        final[np.argsort(fill, kind="stable")[CARRY:]] = True
-    rows["final"] = np.repeat(final, counts)
+    rows["final"] = np.repeat(np.add.reduceat(rows["length"], first) >= nearly, counts)
+    rest = np.nonzero(~rows["final"])[0]
+    rest = rest[np.argsort(rows["length"][rest], kind="stable")]
+    lengths = rows["length"][rest]
+    rows["rank"] = np.zeros(len(order), np.int64)
+    rows["rank"][rest] = np.arange(len(rest)) - np.searchsorted(lengths, lengths)
     return rows
 
 
@@ -166,30 +211,19 @@ def _first(batches, path: str, size: int, nearly: int):
     rows["doc_id"] = np.repeat(pc.fill_null(ids, 0).to_numpy(), pieces)
     rows["known"] = np.repeat(pc.is_valid(ids).to_numpy(), pieces)
     rows["bin"] = best_fit(rows["length"], size) + (part << 40)
-    rows = _settle(rows, False, size, nearly)
+    rows["part"] = np.full(len(piece), part, np.int64)
+    rows = _settle(rows, nearly)
     yield _batch(rows, rows.pop("known"))
 
 
-def _merge(group: pa.Table, last: bool, size: int, nearly: int) -> pa.Table:
-    """Underfull bins of one group, packed again as whole items."""
-    group = group.combine_chunks()
-    rows = {c: group.column(c).to_numpy() if c != "doc_id" else np.array([x or 0 for x in group.column(c).to_pylist()], np.int64) for c in _COLUMNS if c not in ("final", "offset")}
-    rows["known"] = ~group.column("doc_id").combine_chunks().is_null().to_numpy(zero_copy_only=False)
-    names, at = np.unique(rows["bin"], return_inverse=True)
-    fill = np.bincount(at, weights=rows["length"]).astype(np.int64)
-    bins = best_fit(fill, size)
-    lead = np.full(bins.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(lead, bins, names)
-    rows["bin"] = lead[bins][at]
-    rows = _settle(rows, last, size, nearly)
-    return pa.Table.from_batches([_batch(rows, rows.pop("known"))])
-
-
-def _merger(last: bool, size: int, nearly: int):
-    def merge(group: pa.Table) -> pa.Table:
-        return _merge(group, last, size, nearly)
-
-    return merge
+def _place(batches, plan: np.ndarray):
+    """(doc_id, piece, start, length, ids_crc32, rank) -> the same pieces with their bins and offsets."""
+    starts = (plan[:, 0] << 44) + plan[:, 1]
+    for batch in batches:
+        length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+        _, lead, first, each, used = plan[np.searchsorted(starts, (length << 44) + rank, side="right") - 1].T
+        at = rank - lead
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(TOGETHER + first + at // each), pa.array(used + at % each * length)], list(_PLACED))
 
 
 def pack(documents: DataFrame, tokenizer: str, size: int = SEQUENCE, nearly: int = NEARLY) -> DataFrame:
@@ -202,16 +236,15 @@ def pack(documents: DataFrame, tokenizer: str, size: int = SEQUENCE, nearly: int
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     level = cut(rows.mapInArrow(functools.partial(_first, path=tokenizer, size=size, nearly=nearly), _SCHEMA))
-    groups = (level.agg(F.max(F.shiftright("bin", 40))).first()[0] or 0) + 1
-    out, span = level.where("final"), 1
-    while True:
-        span, groups = span * FAN_IN, -(-groups // FAN_IN)
-        merge = _merger(groups == 1, size, nearly)
-        rest = level.where("NOT final").withColumn("group", F.floor(F.shiftright("bin", 40) / span).cast("long"))
-        level = cut(rest.groupBy("group").applyInArrow(merge, _SCHEMA))
-        out = out.unionByName(level.where("final"))
-        if groups == 1:
-            return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    rest = level.where("NOT final").drop("bin", "offset")
+    counts = cut(rest.groupBy("part", "length").agg(F.count("*").alias("n")))
+    plan = best_fit_counts(dict(counts.groupBy("length").agg(F.sum("n")).collect()), size)
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rest.join(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), ["part", "length"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
+    placed = ranked.mapInArrow(functools.partial(_place, plan=plan), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long")
+    out = level.where("final").select(*_PLACED).unionByName(placed)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
 
 
 def tokenizer_path() -> str:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexgrid.llm.best_fit_packing import Encoder, best_fit, pack, tokenizer_path
+from lexgrid.llm.best_fit_packing import Encoder, best_fit, best_fit_counts, pack, tokenizer_path
 from lexgrid.llm.common import WordHashes, shingle_set, table
 from lexgrid.llm.components import components
 from lexgrid.llm.licence_scan import model, scan
@@ -309,6 +309,29 @@ def test_packing_on_odd_rows(spark):
     assert pack(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_packing_joins_what_partitions_leave(spark):
+    """3,000 long texts in one partition and as many shorter ones in another: each finds a partner of the other kind."""
+    rows = spark.range(0, 6000, 1, 2).selectExpr("id AS doc_id", "repeat('the ', if(id < 3000, 1099, 899)) AS text")
+    got = pack(rows, tokenizer_path()).collect()
+    assert {(r["doc_id"], r["start"]) for r in got} == {(i, 0) for i in range(6000)}
+    assert {r["length"] for r in got} == {1100, 900}
+    assert check_sequences(got) == 3000
+
+
+def test_best_fit_on_counts_makes_as_many_bins():
+    rng = np.random.default_rng(1)
+    for size, high, n in ((10, 10, 50), (2048, 2048, 3000), (2048, 300, 3000), (2048, 40, 20_000), (100, 60, 1)):
+        lengths = rng.integers(1, high + 1, n)
+        plan = best_fit_counts(dict(Counter(lengths.tolist())), size)
+        seen, places = Counter(), []
+        for length in lengths.tolist():
+            rank, seen[length] = seen[length], seen[length] + 1
+            _, lead, first, each, used = max(r for r in plan.tolist() if r[0] == length and r[1] <= rank)
+            places.append((first + (rank - lead) // each, used + (rank - lead) % each * length, length))
+        bins = check_sequences([{"sequence_id": b, "offset": o, "length": n} for b, o, n in places], size)
+        assert bins == best_fit(lengths, size).max() + 1
+
+
 def test_encoder_is_exact():
     encode = Encoder(tokenizer_path())
     texts = ["<|endoftext|>x <|ENDOFTEXT|> İstanbul. ŉgo ΣΑΣ. don't DON'T. it's!? a\tb\r\nc  d é. éx café CAFÉ! ß ẞ 3rd 12,5.", "", "\n\n", "A" * 500 + ".", "한국어. Ĳ.ſt ǆ ***x*** x-y_z (a)[b]{c}"]
