@@ -33,14 +33,15 @@ CODES = {c: i + 1 for i, c in enumerate(_LETTERS)}
 SYMBOLS = 64
 #: Signs and the letters they stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "#": "h", "%": "x", "*": "aeiou"}
-#: Costs in nats: reading a sign as a letter, passing over a sign, a letter that repeats, each sign left unread at an edge.
-READ, WILD, SKIP, REPEAT = 1.0, 3.0, 8.0, 0.7
-_PLAIN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_RUN = re.compile(r"(.)\1\1")
+#: Costs in nats: reading a sign as a letter, passing over a sign, a letter that repeats, a double letter read as one.
+READ, WILD, SKIP, REPEAT, DOUBLE = 1.0, 3.0, 8.0, 0.7, 9.0
+_PLAIN = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"(.)\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _EDGE = re.compile(r"[.,;:!?\"'()\[\]{}<>|*#$%&=~^_/\\-]+$")
 _LEAD = re.compile(r"^[.,;:?\"'()\[\]{}<>|*#%&=~^_/\\-]+")
-_LINKS = re.compile(r"https?://|www\.|@[\w-]+\.\w|\d{4}")
+_LINKS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}")
+_NUMBER = re.compile(r"\d{4}")
 
 
 # --- the character model ---------------------------------------------------------------------------
@@ -89,40 +90,66 @@ def character_model(documents: DataFrame) -> np.ndarray:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Readings of each run of equal characters: (letters, cost), '' where it is passed over."""
-    out = []
+    """Readings of each run of equal characters: (letters, cost), '' where it is passed over, as no digit of a long number is."""
+    out, number = [], _NUMBER.search(token)
     for m in re.finditer(r"(.)\1*", token, re.S):
         c, n = m[1], len(m[0])
-        if c in CODES:
-            out.append([(c * k, REPEAT * (n != k)) for k in dict.fromkeys((1, 2, n)) if k <= n and (k == n or n > 2 or k == n)] or [(c, 0.0)])
+        if c in CODES or c.isalpha():
+            out.append([(c * k, (DOUBLE if n == 2 else REPEAT) * (n != k)) for k in dict.fromkeys((1, 2, n)) if k <= n])
         elif c in LEET:
             cost = WILD if len(LEET[c]) > 2 else READ
-            out.append([(x * k, cost + REPEAT * (n != k)) for x in LEET[c] for k in dict.fromkeys((1, min(n, 2)))] + [("", SKIP)])
+            once = DOUBLE if n == 2 and c.isdigit() else REPEAT
+            out.append([(x * k, cost + once * (n != k)) for x in LEET[c] for k in dict.fromkeys((1, min(n, 2)))] + ([] if number and c.isdigit() else [("", SKIP)]))
         else:
             out.append([("", 0.0)])
     return out
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a token, by Viterbi search over its lattice with two letters of context."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def _search(token: str, model: np.ndarray) -> tuple[float, str]:
+    """Cost and letters of the likeliest reading. A step holds a state for two letters of context, however long the token."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in states.items():
             for letters, price in readings:
                 x, y, total = a, b, cost + price
                 for c in letters:
-                    z = CODES[c]
+                    z = CODES.get(c, 0)
                     total += float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = total, text + letters
+                    after[x, y] = total, (path, letters) if letters else path
         states = after
-    return min((cost + float(model[a, b, 0]), text) for (a, b), (cost, text) in states.items())[1]
+    cost, path = min(((cost + float(model[a, b, 0]), path) for (a, b), (cost, path) in states.items()), key=lambda found: found[0])
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return cost, "".join(reversed(out))
+
+
+def decode(token: str, model: np.ndarray) -> str:
+    """The likeliest letters behind a token, by Viterbi search over its lattice with two letters of context."""
+    return _search(token, model)[1]
+
+
+def _as_it_stands(token: str, model: np.ndarray) -> float:
+    """Cost of a token whose digits are digits, any of ten, and whose signs are signs."""
+    x = y = 0
+    total = 0.0
+    for c in token:
+        z = CODES.get(c, 0)
+        total += float(model[x, y, z]) + math.log(10) * c.isdigit()
+        x, y = y, z
+    return total + float(model[x, y, 0])
 
 
 def restore(token: str, model: np.ndarray) -> str:
-    """A token as it was meant: plain words in lower case without the signs at their ends, others decoded."""
+    """A token as it was meant: plain words in lower case without the signs at their ends, others decoded.
+
+    Links, e-mail addresses and tokens without letters stay as they are. So do those with four digits in a
+    row where the model finds the number likelier than any word behind it.
+    """
     low = token.lower()
     if len(low) > 1 and low[-1].isalpha() and low[0].isalpha() and _PLAIN.fullmatch(low) and not _RUN.search(low):
         return low
@@ -131,9 +158,10 @@ def restore(token: str, model: np.ndarray) -> str:
         return ""
     if _PLAIN.fullmatch(core) and not _RUN.search(core):
         return core
-    if len(core) > 40 or not re.search(r"[^\W\d_]|[@$]", core) or _LINKS.search(core):
+    if not re.search(r"[^\W\d_]|[@$]", core) or _LINKS.fullmatch(core):
         return core
-    return decode(core, model)
+    cost, word = _search(core, model)
+    return core if _NUMBER.search(core) and _as_it_stands(core, model) <= cost else word
 
 
 def spaced(text: str) -> list[str]:

@@ -137,6 +137,15 @@ def test_restoring_obfuscated_words(spark):
         assert restore(dressed, lm) == word
 
 
+def test_restoring_digits_long_tokens_and_double_letters(spark):
+    lm = character_model(table(spark, "/root/testdata/sf0.1", "documents"))
+    stretched = "".join(c * 12 for c in "stupid")
+    for dressed, word in {"1053r": "loser", "1d10000t": "idiot", stretched: "stupid", "stuupid": "stupid", "st'upid": "stupid", "letter": "letter", "will": "will", "нн": "нн"}.items():
+        assert restore(dressed, lm) == word, dressed
+    for kept in ("https://example.com/l0ser", "jane.d0e@example.org", "2019-2020", "b1234567", "1990s", "3fa85f64-5717-4562"):
+        assert restore(kept, lm) == kept
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
