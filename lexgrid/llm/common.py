@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,32 +63,16 @@ def _in_slices(score: Callable, texts: pa.Array, rows: int = 512) -> np.ndarray:
     return np.concatenate([np.zeros(0), *(score(texts.slice(at, rows).to_pylist()) for at in range(0, len(texts), rows))])
 
 
-def _scores(batches, make):
-    score = None
-    for batch in batches:
-        score = score or make()
-        values = _in_slices(score, batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(values, pa.float64())], ["doc_id", "score"])
+def score_of(text: Column, make: Callable) -> Column:
+    """A score for every text; ``make`` gives each task a function from texts to scores. Only the texts go to Python."""
 
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = make()
+        for texts in batches:
+            yield pa.array(_in_slices(found, texts), pa.float64())
 
-def scored_rows(documents: DataFrame, make: Callable) -> DataFrame:
-    """doc_id and score of every row; ``make`` gives each task a function from texts to scores."""
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(functools.partial(_scores, make=make), "doc_id long, score double")
-
-
-def _kept(batches, make, at, least, below):
-    score = None
-    for batch in batches:
-        score = score or make()
-        if batch.num_rows:
-            s = _in_slices(score, batch.column(at))
-            yield batch.filter(pa.array((s >= least) & (s < below)))
-
-
-def keep_rows(documents: DataFrame, make: Callable, least: float = -math.inf, below: float = math.inf) -> DataFrame:
-    """The rows whose scores fall into the range, all columns as they are."""
-    at = documents.columns.index("text")
-    return documents.mapInArrow(functools.partial(_kept, make=make, at=at, least=least, below=below), documents.schema)
+    return score(text.cast("string"))
 
 
 # --- word shingles -------------------------------------------------------------------------------

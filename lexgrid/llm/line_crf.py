@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import fold_of, keep_rows, labelled_sample, scored_rows, table
+from lexgrid.llm.common import fold_of, labelled_sample, score_of, table
 from lexgrid.llm.toxicity import fit_logistic
 
 #: Bounds of the sample that the field is fitted on: rows, and characters of a text in it.
@@ -222,13 +222,13 @@ def quality(documents: DataFrame, labelled: DataFrame, labels: DataFrame) -> Dat
     their score. Without labels of both classes every score is the same. An empty table gives an empty
     result. Columns other than doc_id and text are not read.
     """
-    out = scored_rows(documents, _fitted(labelled, labels))
+    out = documents.select(F.col("doc_id").cast("long"), score_of(F.col("text"), _fitted(labelled, labels)).alias("score"))
     return out.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def without_bad(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns as they are, whose score reaches GOOD; fitted on labelled ones among them."""
-    return keep_rows(documents, _fitted(documents, labels), least=GOOD)
+    return documents.where(score_of(F.col("text"), _fitted(documents, labels)) >= GOOD)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,16 @@
 """Toxicity through a noisy channel: obfuscated words are restored before they are scored.
 
-The channel writes letters as look-alikes, parts them by spaces or signs, and repeats them. A word in
+The channel writes letters as look-alikes, parts them by white space or signs, and repeats them. A word in
 such dress becomes a lattice of readings, and Viterbi search under a character trigram model picks the
-likeliest. The model is counted over all documents; its size is fixed by the alphabet.
+likeliest. White space within a stretch of fragments is an edge like the others: it ends a word or was put
+into one. The model is counted over all documents; its size is fixed by the alphabet.
 
 Scores come from restored words: a word's evidence is the lower confidence bound of the share of toxic
 texts among the labelled ones that hold the word or its beginning. A logistic regression over the strongest
 evidence, the number of toxic words and the length gives the score.
+
+Only what some reading could turn into evidence is decoded when scoring: a token, or fragments in a row, whose
+letters with every run narrowed to one don't begin like a feature with evidence have no reading that does.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import fold_of, keep_rows, labelled_sample, mix, scored_rows, table
+from lexgrid.llm.common import fold_of, labelled_sample, mix, score_of, table
 
 #: Bounds of the sample that the classifier is fitted on: rows, and characters of a text in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 5000, 12_000
@@ -35,11 +39,14 @@ SYMBOLS = 64
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "#": "h", "%": "x", "*": "aeiou"}
 #: Costs in nats: reading a sign as a letter, passing over a sign, a letter that repeats, a double letter read as one.
 READ, WILD, SKIP, REPEAT, DOUBLE = 1.0, 3.0, 8.0, 0.7, 9.0
+#: The same for white space that was put into a word, between single characters and beside longer fragments, and for
+#: white space between single characters that ends a word nevertheless.
+LETTERS_APART, GROUPS_APART, END_APART = 0.3, 2.5, 1.5
+#: Tokens of at most so many characters belong to a stretch of fragments.
+FRAGMENT = 3
 _PLAIN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-_EDGE = re.compile(r"[.,;:!?\"'()\[\]{}<>|*#$%&=~^_/\\-]+$")
-_LEAD = re.compile(r"^[.,;:?\"'()\[\]{}<>|*#%&=~^_/\\-]+")
+_EDGES, _LEADS = ".,;:!?\"'()[]{}<>|*#$%&=~^_/\\-", ".,;:?\"'()[]{}<>|*#%&=~^_/\\-"
 _LINKS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}")
 _NUMBER = re.compile(r"\d{4}")
 
@@ -89,12 +96,18 @@ def character_model(documents: DataFrame) -> np.ndarray:
 # --- the channel -----------------------------------------------------------------------------------
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Readings of each run of equal characters: (letters, cost), '' where it is passed over, as no digit of a long number is."""
-    out, number = [], _NUMBER.search(token)
-    for m in re.finditer(r"(.)\1*", token, re.S):
+def lattice(stretch: str) -> list[list[tuple[str, float]]]:
+    """Readings of each run of equal characters: (letters, cost), '' where it is passed over, as no digit of a long number is.
+
+    White space, single blanks here, is the end of a word (' ') or passed over.
+    """
+    out, number = [], _NUMBER.search(stretch)
+    for m in re.finditer(r"(.)\1*", stretch, re.S):
         c, n = m[1], len(m[0])
-        if c in CODES or c.isalpha():
+        if c == " ":
+            apart = not stretch[max(0, m.start() - 2) : m.start() - 1].strip() and not stretch[m.end() + 1 : m.end() + 2].strip()
+            out.append([(" ", END_APART), ("", LETTERS_APART)] if apart else [(" ", 0.0), ("", GROUPS_APART)])
+        elif c in CODES or c.isalpha():
             out.append([(c * k, (DOUBLE if n == 2 else REPEAT) * (n != k)) for k in dict.fromkeys((1, 2, n)) if k <= n])
         elif c in LEET:
             cost = WILD if len(LEET[c]) > 2 else READ
@@ -105,10 +118,10 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def _search(token: str, model: np.ndarray) -> tuple[float, str]:
-    """Cost and letters of the likeliest reading. A step holds a state for two letters of context, however long the token."""
+def _search(stretch: str, model: np.ndarray) -> tuple[float, str]:
+    """Cost and letters of the likeliest reading. A step holds a state for two letters of context, however long the stretch."""
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for readings in lattice(token):
+    for readings in lattice(stretch):
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, path) in states.items():
             for letters, price in readings:
@@ -116,7 +129,7 @@ def _search(token: str, model: np.ndarray) -> tuple[float, str]:
                 for c in letters:
                     z = CODES.get(c, 0)
                     total += float(model[x, y, z])
-                    x, y = y, z
+                    x, y = (0, 0) if c == " " else (y, z)
                 if (x, y) not in after or total < after[x, y][0]:
                     after[x, y] = total, (path, letters) if letters else path
         states = after
@@ -128,9 +141,9 @@ def _search(token: str, model: np.ndarray) -> tuple[float, str]:
     return cost, "".join(reversed(out))
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a token, by Viterbi search over its lattice with two letters of context."""
-    return _search(token, model)[1]
+def decode(stretch: str, model: np.ndarray) -> str:
+    """The likeliest letters and word ends behind a stretch, by Viterbi search over its lattice with two letters of context."""
+    return _search(stretch, model)[1]
 
 
 def _as_it_stands(token: str, model: np.ndarray) -> float:
@@ -144,29 +157,48 @@ def _as_it_stands(token: str, model: np.ndarray) -> float:
     return total + float(model[x, y, 0])
 
 
+def core(token: str) -> str:
+    """A token in lower case without the signs at its ends; one that may stand for a letter stays in front."""
+    return token.lower().rstrip(_EDGES).lstrip(_LEADS)
+
+
 def restore(token: str, model: np.ndarray) -> str:
     """A token as it was meant: plain words in lower case without the signs at their ends, others decoded.
 
     Links, e-mail addresses and tokens without letters stay as they are. So do those with four digits in a
     row where the model finds the number likelier than any word behind it.
     """
-    low = token.lower()
-    if len(low) > 1 and low[-1].isalpha() and low[0].isalpha() and _PLAIN.fullmatch(low) and not _RUN.search(low):
+    low = core(token)
+    if not low or (low.isalpha() and not _RUN.search(low)):
         return low
-    core = _LEAD.sub("", _EDGE.sub("", low))
-    if not core:
-        return ""
-    if _PLAIN.fullmatch(core) and not _RUN.search(core):
-        return core
-    if not re.search(r"[^\W\d_]|[@$]", core) or _LINKS.fullmatch(core):
-        return core
-    cost, word = _search(core, model)
-    return core if _NUMBER.search(core) and _as_it_stands(core, model) <= cost else word
+    if not re.search(r"[^\W\d_]|[@$]", low) or _LINKS.fullmatch(low):
+        return low
+    cost, word = _search(low, model)
+    return low if _NUMBER.search(low) and _as_it_stands(low, model) <= cost else word
+
+
+def part(tokens: list[str], i: int) -> str:
+    """A token as a fragment: a sign between single characters may stand for a letter."""
+    t = tokens[i]
+    return core(t) or (t if t in LEET and 0 < i < len(tokens) - 1 and len(tokens[i - 1]) == len(tokens[i + 1]) == 1 else "")
+
+
+def restore_stretch(fragments: list[str], model: np.ndarray) -> list[str]:
+    """The words behind fragments in a row: the decoder chooses which of them belong together."""
+    return decode(" ".join(filter(None, (part(fragments, i) for i in range(len(fragments))))), model).split()
 
 
-def spaced(text: str) -> list[str]:
-    """Runs of three and more single characters, closed up."""
-    return [re.sub(r"[ \t]", "", m[0]) for m in _SPACED.finditer(text)]
+def spelled(tokens: list[str]) -> list[list[str]]:
+    """Runs of three and more single characters."""
+    out, run = [], []
+    for t in [*tokens, ""]:
+        if len(t) == 1 or (t and len(core(t)) == 1):
+            run.append(t)
+        else:
+            if len(run) > 2:
+                out.append(run)
+            run = []
+    return out
 
 
 # --- the classifier --------------------------------------------------------------------------------
@@ -230,20 +262,76 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     return w
 
 
-class _Scores(dict):
-    """Evidence of raw tokens, remembered."""
+def _narrow(letters: str) -> str:
+    return _RUN.sub(r"\1", letters)
+
+
+class Scores(dict):
+    """Evidence of lower-case tokens, remembered; -1 for those without that may be the beginning of a parted word.
+
+    Whatever is decoded keeps its letters but for the length of runs, so letters are compared with runs
+    narrowed to one: ``whole`` holds the features, ``heads`` their beginnings.
+    """
 
-    def __init__(self, model: np.ndarray, evidence: dict[str, float], most: int = 150_000):
+    def __init__(self, model: np.ndarray, evidence: dict[str, float], most: int = 100_000):
         super().__init__()
         self.model, self.evidence, self.most = model, evidence, most
+        self.whole = {_narrow(f.lstrip("=")) for f in evidence}
+        self.heads = {f[:n] for f in self.whole for n in range(len(f))}
+        self.lengths = sorted(set(map(len, self.whole)))
+
+    def of(self, word: str) -> float:
+        return max(map(self.evidence.get, _features(word), [0.0] * 6)) if word else 0.0
+
+    def grown(self, begun: set[str], fragment: str) -> tuple[set[str], bool]:
+        """What beginnings of features become by the readings of a fragment, and whether one becomes a feature."""
+        for readings in lattice(fragment):
+            longer = {_narrow(b + letters) for b in begun for letters, _ in readings}
+            if not longer.isdisjoint(self.whole):
+                return set(), True
+            begun = longer & self.heads
+        return begun, False
 
     def __missing__(self, token: str) -> float:
         if len(self) >= self.most:
             self.clear()
-        word = restore(token, self.model)
-        e = self[token] = max((self.evidence.get(f, 0.0) for f in _features(word)), default=0.0) if word else 0.0
+        low, e = core(token), 0.0
+        if low.isalpha():
+            flat = _narrow(low)
+            if any(flat[:n] in self.whole for n in self.lengths):
+                e = self.of(restore(low, self.model))
+            elif flat in self.heads:
+                e = -1.0
+        elif low:
+            e = self.of(restore(low, self.model)) or -1.0 * bool(self.grown({""}, low)[0] - {""})
+        self[token] = e
         return e
 
+    def parted(self, tokens: list[str], found: list[float]) -> list[str]:
+        """Words with evidence behind fragments of them: each stretch that may hold one is decoded once, whole.
+
+        A stretch begins where such a word may begin, or with the single characters before that, and takes in
+        the short fragments that follow.
+        """
+        out, done = [], 0
+        for i, e in enumerate(found):
+            if e >= 0 or i < done:
+                continue
+            begun, last, hit = self.grown({""}, core(tokens[i]))[0], i, False
+            while begun and not hit and last + 1 < len(tokens):
+                last += 1
+                begun, hit = self.grown(begun, part(tokens, last))
+            if not hit:
+                continue
+            first = i
+            while first > done and len(tokens[i]) == len(tokens[first - 1]) == 1:
+                first -= 1
+            while last + 1 < len(tokens) and len(core(tokens[last + 1])) <= FRAGMENT:
+                last += 1
+            done = last + 1
+            out += [w for w in restore_stretch(tokens[first:done], self.model) if self.of(w) > 0]
+        return out
+
 
 class _Originals:
     """Tells sets that share ``shared`` of ``places`` minimum hashes with an earlier one: copies are no independent witnesses."""
@@ -276,8 +364,10 @@ def fit(sample: Iterable[tuple[str, int]], model: np.ndarray) -> tuple[dict[str,
     hashes: list[int] = []
     originals, docs, many, labels = _Originals(), [], [], []
     for text, y in sample:
-        tokens = text.split() + spaced(text)
+        tokens = text.lower().split()
         distinct = set(tokens)
+        for run in spelled(tokens):
+            distinct.update(restore_stretch(run, model))
         for t in distinct:
             if t in raw:
                 continue
@@ -307,20 +397,18 @@ def fit(sample: Iterable[tuple[str, int]], model: np.ndarray) -> tuple[dict[str,
 
 def _scorer(model, evidence, weights):
     """Scores of texts; made once in each task."""
-    model, scores = model.value, _Scores(model.value, evidence.value)
+    scores = Scores(model.value, evidence.value)
 
     def score(texts: list[str | None]) -> np.ndarray:
         out = []
         for text in texts:
-            text = text or ""
-            tokens = text.split()
-            if closed := spaced(text):
-                tokens += closed
+            tokens = (text or "").lower().split()
             found = list(map(scores.__getitem__, tokens))
-            top = max(found, default=0.0)
             held = {}
-            if top > 0:
-                held = {restore(t, model): e for t, e in zip(tokens, found, strict=True) if e > 0}
+            if max(found, default=0.0) > 0:
+                held = {restore(t, scores.model): e for t, e in zip(tokens, found, strict=True) if e > 0}
+            if min(found, default=0.0) < 0:
+                held |= {w: scores.of(w) for w in scores.parted(tokens, found)}
             x = [*_summary(list(held.values()), len(tokens)), 1.0]
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(x, weights)))))))
         return np.array(out)
@@ -345,13 +433,13 @@ def toxicity(documents: DataFrame, labelled: DataFrame, labels: DataFrame) -> Da
     their score. Without labels of both classes every score is the same. An empty table gives an empty
     result. Columns other than doc_id and text are not read.
     """
-    out = scored_rows(documents, _fitted(documents, labelled, labels))
+    out = documents.select(F.col("doc_id").cast("long"), score_of(F.col("text"), _fitted(documents, labelled, labels)).alias("score"))
     return out.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns as they are, whose score is below TOXIC; fitted on labelled ones among them."""
-    return keep_rows(documents, _fitted(documents, documents, labels), below=TOXIC)
+    return documents.where(score_of(F.col("text"), _fitted(documents, documents, labels)) < TOXIC)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

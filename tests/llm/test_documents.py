@@ -1,5 +1,6 @@
 """Operators over documents: brute force, held-out accuracy, round trips and edge cases."""
 
+import itertools
 import random
 import zlib
 from array import array
@@ -18,7 +19,7 @@ from lexgrid.llm.line_crf import marginals, quality, without_bad
 from lexgrid.llm.minhash_dedup import keep_one, near_duplicates
 from lexgrid.llm.mixing import OP5_SQL, mix, mixed_documents, schedule
 from lexgrid.llm.ring_sharding import ring, shard, walk
-from lexgrid.llm.toxicity import character_model, restore, toxicity, without_toxic
+from lexgrid.llm.toxicity import CODES, Scores, character_model, decode, lattice, restore, restore_stretch, spelled, toxicity, without_toxic
 
 SF = "/root/testdata/sf0.01"
 CLASHING = "score double, node string, label int, size string, bin int, cell string, rank int, g int, _key string"
@@ -146,6 +147,45 @@ def test_restoring_digits_long_tokens_and_double_letters(spark):
         assert restore(kept, lm) == kept
 
 
+def test_viterbi_against_enumeration():
+    """Every path through a small lattice, white space among its edges, costs at least what the decoder's does."""
+    model = np.random.default_rng(8).uniform(0.1, 6.0, (64, 64, 64)).astype(np.float32)
+
+    def cost(path):
+        x = y = 0
+        total = 0.0
+        for letters, price in path:
+            total += price
+            for c in letters:
+                total += float(model[x, y, CODES.get(c, 0)])
+                x, y = (0, 0) if c == " " else (y, CODES.get(c, 0))
+        return total + float(model[x, y, 0])
+
+    for stretch in ("st up 1d", "m0r0n", "a b", "!d!*t", "l 0 s", "bb 8", "x.y z", "нн а", "2024"):
+        paths = list(itertools.product(*lattice(stretch)))
+        best = min(paths, key=cost)
+        assert decode(stretch, model) == "".join(letters for letters, _ in best), stretch
+
+
+def test_white_space_is_an_edge_of_the_lattice(spark):
+    lm = character_model(table(spark, "/root/testdata/sf0.1", "documents"))
+    for fragments, words in {"st upid": ["stupid"], "st u pid": ["stupid"], "i d i o t": ["idiot"], "wo rthless": ["worthless"], "dis gusting": ["disgusting"], "cl own": ["clown"], "in the house": ["in", "the", "house"]}.items():
+        assert restore_stretch(fragments.split(), lm) == words
+    assert "moron" in restore_stretch(list("youareamoron"), lm)
+    assert spelled("so i d\n i o  t, a b end".split()) == [["i", "d", "i", "o", "t,", "a", "b"]]
+
+
+def test_parted_words_are_found_in_texts(spark):
+    """The search for fragments that may hold evidence finds what decoding everything would."""
+    lm = character_model(table(spark, "/root/testdata/sf0.1", "documents"))
+    scores = Scores(lm, {"=stupid": 0.9, "stup": 0.9, "=idiot": 0.9, "idio": 0.9})
+    for text, found in {"so st upid, yes": ["stupid"], "an i  d\ni 0 t here": ["idiot"], "stup1d": [], "st ones": [], "s t u p i d and st u pid": ["stupid", "stupid"], "id iom": ["idiom"], "": [], "st": []}.items():
+        tokens = text.lower().split()
+        evidence = [scores[t] for t in tokens]
+        assert scores.parted(tokens, evidence) == found, text
+    assert scores["stup1d"] == scores["stuupid"] == scores["st.u.p.i.d"] == 0.9 and scores["stones"] == 0.0 and scores["st"] == -1.0
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
