@@ -11,12 +11,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch on its way to Python, where the session leaves Spark's default of 64 MB.
+BATCH_SETTING, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once per application, so that Python functions are found there.
 
-    The archive is made on the driver and travels by Spark's own file server.
+    The archive is made on the driver and travels by Spark's own file server. Batches to Python are bounded by
+    their bytes, as rows may hold very long texts; a bound that the session sets itself stays.
     """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH)
     if getattr(context, "_lexgrid_shipped", False):
         return
     root = Path(__file__).resolve().parent
