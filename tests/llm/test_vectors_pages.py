@@ -48,6 +48,22 @@ def test_searches_on_odd_rows(spark):
     assert nearest(df.limit(0)).count() == 0 and highest(df.limit(0)).count() == 0
 
 
+def test_every_row_of_a_query_id_is_answered(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (3, [2.0, 1.0]), (5, [1.0, 3.0]), (7, [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = [(0, 1, 3, 2), (0, 1, 5, 3), (0, 1, 5, 3), (0, 2, 5, 1), (0, 2, 7, 3), (0, 2, 7, 3), (0, 3, 3, 1), (0, 3, 3, 1), (0, 3, 7, 1)]
+    assert result(nearest(df)) == want
+    assert result(highest(df)) == [(q, r, v, s * 64 * 64) for q, r, v, s in want]
+
+
+def test_searches_of_huge_numbers(spark):
+    """Norms and multiples that overflow exclude nobody."""
+    rows = [(0, [1e200, 1.0]), (1, [1e100, 0.0]), (2, [2e100, 0.0]), (3, [-1e100, 5.0]), (20, [1e307, 1e307]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r[2] for r in result(nearest(df)) if r[0] == 0 and r[2] < 20] == [2, 1, 4, 3]
+    assert len(result(highest(df))) == 10
+
+
 def test_products_are_exact_at_every_size():
     rng = np.random.default_rng(3)
     for most in (60, 5_000, 1 << 24, 1 << 29):
