@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import textwrap
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -228,19 +230,63 @@ def test_licence_scan(spark):
     assert scan(docs.limit(0)).count() == 0
 
 
+def plain_paragraphs(text):
+    """(first line, lines, text) of the runs of lines up to an empty one or the end of a sentence."""
+    out, held, first = [], [], 0
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        held.append(line)
+        ends = re.search(r"[.!?][\"'”’)\]]{0,2}[ \t\r]{0,3}$", line)
+        if ends or not line.strip() or i + 1 == len(lines) or not lines[i + 1].strip():
+            out.append((first, len(held), "\n".join(held)))
+            held, first = [], i + 1
+    return out
+
+
 def test_licence_scan_against_plain_scores(spark):
-    from lexgrid.llm.licence_scan import grams, tokens
+    from lexgrid.llm.licence_scan import CUES, SURE, TEMPLATES, grams, tokens
 
     families, weights, bias, temperature = model()
     docs = table(spark, SF, "documents")
-    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
-    got = scan(docs).collect()
-    assert got
-    for r in got:
-        line = texts[r["doc_id"]].split("\n")[r["paragraph"]]
-        z = (bias + sum(weights[g] for g in set(grams(tokens(line))) if g in weights)) / temperature
-        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        assert families[p.argmax()] == r["family"] and abs(p.max() - r["probability"]) < 1e-6
+    got = {(r["doc_id"], r["paragraph"]): r for r in scan(docs).collect()}
+    want = 0
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        for first, lines, part in plain_paragraphs(text):
+            if not re.search(CUES, re.sub(r"\s+", " ", part)):
+                continue
+            want += 1
+            r, held = got[doc_id, first], set(grams(tokens(part)))
+            z = (bias + sum(weights[g] for g in held if g in weights)) / temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            assert r["lines"] == lines and abs(p.max() - r["probability"]) < 1e-6
+            assert r["family"] == (families[p.argmax()] if p.max() >= SURE else "unknown")
+            shares = [len(held & set(grams(tokens(t)))) / len(set(grams(tokens(t)))) for t in TEMPLATES.get(r["family"], ())]
+            assert r["similarity"] == (None if not any(shares) else pytest.approx(max(shares))) and r["confirmed"] == (max(shares, default=0) >= 0.6)
+    assert want == len(got) > 0
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    from lexgrid.llm.licence_scan import TEMPLATES
+
+    long = [(f, t) for f, ts in TEMPLATES.items() for t in ts if len(t) > 150]
+    rows = []
+    for i, (_, t) in enumerate(long):
+        for k, prefix in enumerate(("", "# ", " * ")):
+            rows.append((10 * i + k, "Some code.\n\n" + "\n".join(prefix + x for x in textwrap.wrap(t, 72)) + "\n\nMore code."))
+    got = {r["doc_id"]: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (f, t) in enumerate(long):
+        for k in range(3):
+            r = got[10 * i + k]
+            assert (r["family"], r["confirmed"], r["paragraph"]) == (f, True, 2) and r["lines"] >= 2 and r["similarity"] > 0.9, t
+
+
+def test_other_licences_are_unknown(spark):
+    notices = ["Licensed under the Boost Software License.", "Eclipse Public License 2.0", "Released under the Unlicense.", "Licensed under the zlib License.", "Distributed under the terms of the Eclipse Public License, version 2.0.", "This work is licensed under the Boost Software License, version 1.0.", "See the license for details."]
+    known = ["Released under the MIT license", "Licensed under the Apache License, Version 2.0", "licensed under GPL version 3", "This code is released under the BSD 3-Clause License.", "All rights reserved."]
+    rows = [(i, t) for i, t in enumerate(notices + known)]
+    got = {r["doc_id"]: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"family": F.lit("x"), "template": F.lit(1), "similarity": F.lit(0.5), "words": F.lit("w"), "lines": F.lit(2)})).collect()}
+    assert [got[i]["family"] for i in range(len(notices))] == ["unknown"] * len(notices)
+    assert [got[len(notices) + i]["family"] for i in range(len(known))] == ["MIT", "Apache-2.0", "GPL-3.0", "BSD", "Proprietary"]
 
 
 # --- mixing, sharding, packing ---------------------------------------------------------------------
