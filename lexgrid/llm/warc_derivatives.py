@@ -8,6 +8,12 @@ from a digest of what the record is, so reruns agree. Everything is a projection
 
 from __future__ import annotations
 
+import functools
+import gzip
+from html.entities import name2codepoint
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +24,31 @@ CRLF = "\r\n"
 LINES = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
 HIDDEN = ("head", "script", "style", "noscript", "template")
 _HIDDEN = "<(?:" + "|".join(rf"{name}(?:\s[^>]*)?>.*?</{name}" for name in HIDDEN) + r")\s*>"
-#: Named character references that are resolved; the ampersand comes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
+#: Named character references of HTML 4, with the apostrophe that came later; a no-break space is a blank.
+NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
+_REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_LINK = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+_REPLACEMENT = "\ufffd"
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; those that are none are replaced."""
+    bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.when(bad, _REPLACEMENT).when(code == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 32).otherwise(code)), 8, "0")), "UTF-32"))
 
 
 def _entities(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references by name, decimal or hexadecimal number, in one pass; unknown ones stay as they are."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def one(part: Column, i: Column) -> Column:
+        ref = F.regexp_extract(part, _REFERENCE, 1)
+        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2)))
+        char = F.when(ref.startswith("#"), _character(code.cast("long"))).when(ref != "", F.try_element_at(names, ref))
+        read = F.coalesce(F.concat(char, F.substr(part, F.length(ref) + 2)), F.concat(F.lit("&"), part))
+        return F.when(i == 0, part).otherwise(read)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -64,7 +87,8 @@ def derive(source: DataFrame) -> DataFrame:
     """
     conversion = _record_id("conversion", F.col("response_id"))
     title = F.trim(_entities(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title>", 1), r"[\r\n\t ]+", " ")))
-    links = F.regexp_extract_all("payload", F.lit(r"(?i)<a\s[^>]*href\s*=\s*[\"']([^\"'\r\n]*)[\"']"), 1)
+    bare = lambda u: F.regexp_replace(u, r"^[\"']|[\"']$|[\r\n\t]", "")
+    links = F.transform(F.regexp_extract_all("payload", F.lit(_LINK), 1), bare)
     with_parts = source.select("*", plain_text(F.col("payload")).alias("text"), _digest(F.col("payload")).alias("source_digest"), title.alias("title"), links.alias("links"), conversion.alias("conversion_id"))
     fields = F.concat(
         F.lit("refers-to: "), F.col("response_id"), F.lit(f"{CRLF}conversion: "), F.col("conversion_id"), F.lit(f"{CRLF}source-digest: "), F.col("source_digest"), F.lit(CRLF),
@@ -82,18 +106,80 @@ def derive(source: DataFrame) -> DataFrame:
 
 
 def serialise(records: DataFrame) -> Column:
-    """One WARC/1.1 record, header and block, without the two line ends that follow it."""
-    named = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
-    head = [F.concat(F.lit(f"{name}: "), records[col].cast("string"), F.lit(CRLF)) for name, col in named]
-    return F.concat(F.lit(f"WARC/1.1{CRLF}"), *head, F.lit(CRLF), records["block"])
+    """One WARC/1.1 record, header and block, without the two line ends that follow it. Null fields are left out."""
+    named = (("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", "warc_date"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
+    head = [F.coalesce(F.concat(F.lit(f"{name}: "), records[col].cast("string"), F.lit(CRLF)), F.lit("")) for name, col in named]
+    return F.concat(F.lit(f"WARC/1.1{CRLF}"), *head, F.lit(CRLF), F.coalesce(records["block"], F.lit("")))
+
+
+def _members(batches, root: str):
+    """Records to a file of one gzip member each, under a name of this attempt; gives the name and number of records."""
+    from pyarrow.fs import FileSystem
+
+    target, path = FileSystem.from_uri(root)
+    name, n, out = f"part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}.warc.gz", 0, None
+    for batch in batches:
+        for record in batch.column(0).to_pylist():
+            out = out or target.open_output_stream(f"{path}/{name}", compression=None)
+            out.write(gzip.compress(record.encode("utf-8", "surrogatepass") + b"\r\n\r\n"))
+            n += 1
+    if out:
+        out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
+
+
+def write_warc(records: DataFrame, path: str, members: bool = False) -> list[str]:
+    """Records as files of WARC/1.1, one a partition; an existing folder is an error, an empty table writes no records.
+
+    Without ``members`` Spark's text sink writes each file as one gzip stream, to any store that Spark reaches. With
+    it every record is a member of its own, as readers that seek want; tasks then write by pyarrow's file systems
+    (``path`` is a URI), and the names given back are those of attempts that counted: others may be deleted.
+    """
+    lines = records.select(serialise(records).alias("value"))
+    if not members:
+        lines.write.mode("errorifexists").option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+        return []
+    from pyarrow.fs import FileSystem, FileType
+
+    target, folder = FileSystem.from_uri(path)
+    if target.get_file_info(folder).type != FileType.NotFound:
+        raise ValueError(f"{path} is there already")
+    target.create_dir(folder)
+    return sorted(r["file"] for r in lines.mapInArrow(functools.partial(_members, root=path), "file string, records long").collect())
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """A file of records for each partition, in Spark's text sink; records end with two line ends."""
-    records.select(serialise(records).alias("value")).write.mode("errorifexists").option("lineSep", CRLF * 2).option("compression", compression).text(path)
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC/1.1 files: record_type, record_id, target_uri, warc_date, block, intact, by Spark's text source.
+
+    ``intact`` tells whether the block has its declared length in bytes; one that is no UTF-8, or that holds a
+    record's first line itself, has not. Field names are read in any case; missing fields are null. Files may be
+    plain or gzip, with one member or many.
+    """
+    raw = spark.read.option("lineSep", f"WARC/1.1{CRLF}").text(path).where("value <> ''")
+    at = F.instr("value", CRLF * 2)
+    head, rest = F.substr("value", F.lit(1), at + 1), F.substr("value", at + 4)
+    field = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+    length = field("Content-Length").cast("long")
+    block = F.when(rest.endswith(CRLF * 2), F.substr(rest, F.lit(1), F.length(rest) - 4)).otherwise(rest)
+    parts = raw.select(field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("warc_date"), block.alias("block"), length.alias("length"))
+    return parts.select("record_type", "record_id", "target_uri", "warc_date", "block", F.coalesce(F.octet_length("block") == F.col("length"), F.lit(False)).alias("intact"))
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """Response records -> rows for ``derive``: page_id (null), response_id, target_uri, warc_date, http_headers, payload.
+
+    Their own ids, dates and HTTP headers are kept; a block without an empty line is all headers. Records of other
+    types and those that are not intact are left out: count them before.
+    """
+    at = F.instr("block", CRLF * 2)
+    headers = F.when(at > 0, F.substr("block", F.lit(1), at + 1)).otherwise(F.col("block"))
+    payload = F.when(at > 0, F.substr("block", at + 4)).otherwise("")
+    some = records.where((F.col("record_type") == "response") & F.col("intact"))
+    return some.select(F.lit(None).cast("long").alias("page_id"), F.col("record_id").alias("response_id"), F.coalesce("target_uri", F.lit("")).alias("target_uri"), "warc_date", headers.alias("http_headers"), payload.alias("payload"))
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both derivatives of every page, taken as a response; as ``derive``."""
     return derive(responses(table(spark, sf_dir, "pages")))
 
 
@@ -102,10 +188,14 @@ def _sql() -> str:
         h = f"sha256('{kind}|' || {what})"
         return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
+    names = ", ".join(f"'{name}': chr({ord(char)})" for name, char in NAMED.items())
+
     def entities(x: str) -> str:
-        for name, char in ENTITIES:
-            x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-        return x
+        ref = f"regexp_extract(k, '{_REFERENCE}', 1)"
+        code = f"CASE WHEN {ref}[2] IN ('x', 'X') THEN CAST('0x' || {ref}[3:] AS BIGINT) ELSE CAST({ref}[2:] AS BIGINT) END"
+        char = f"CASE WHEN {ref}[1] = '#' THEN CASE WHEN {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN chr(65533) WHEN {code} = 160 THEN ' ' ELSE chr(CAST({code} AS INTEGER)) END ELSE names[{ref}] END"
+        each = f"lambda k, i: CASE WHEN i = 1 THEN k WHEN {char} IS NULL THEN '&' || k ELSE {char} || k[length({ref}) + 2:] END"
+        return f"array_to_string(list_transform(string_split({x}, '&'), {each}), '')"
 
     text = "regexp_replace(payload, '<!--.*?-->', '', 'gs')"
     text = f"regexp_replace({text}, '{_HIDDEN}', ' ', 'gis')"
@@ -113,13 +203,14 @@ def _sql() -> str:
     text = entities(f"regexp_replace({text}, '</?[a-zA-Z!][^>]*>', '', 'g')")
     text = rf"regexp_replace(regexp_replace({text}, ' *\n[\n ]*', chr(10), 'g'), '^[\n ]+|[\n ]+$', '', 'g')"
     return rf"""
-WITH r AS (
+WITH named AS (SELECT MAP {{{names}}} AS names),
+r AS (
   SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload,
          {uuid("response", "coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || sha256(coalesce(html, ''))")} AS response_id FROM pages),
 p AS (
   SELECT *, {text} AS text, 'sha256:' || sha256(payload) AS source_digest, {uuid("conversion", "response_id")} AS conversion_id,
          trim({entities(r"regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title>', 1), '[\r\n\t ]+', ' ', 'g')")}) AS title,
-         regexp_extract_all(payload, '(?i)<a\s[^>]*href\s*=\s*["'']([^"''\r\n]*)["'']', 1) AS links FROM r),
+         list_transform(regexp_extract_all(payload, '{_LINK.replace(chr(39), chr(39) * 2)}', 1), lambda u: regexp_replace(u, '^["'']|["'']$|[\r\n\t]', '', 'g')) AS links FROM r, named),
 f AS (
   SELECT *, 'refers-to: ' || response_id || e || 'conversion: ' || conversion_id || e || 'source-digest: ' || source_digest || e
          || CASE WHEN title <> '' THEN 'title: ' || title || e ELSE '' END

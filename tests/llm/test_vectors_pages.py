@@ -1,6 +1,8 @@
 """Vector searches and WARC derivatives: brute force, SQL, round trips and edge cases."""
 
+import gzip
 import math
+import zlib
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from lexgrid.llm.ann_int8 import nearest
 from lexgrid.llm.common import table
 from lexgrid.llm.exact_topk import highest, products
-from lexgrid.llm.warc_derivatives import OP8_SQL, derive, op8_warc_derivatives, responses, write_warc
+from lexgrid.llm.warc_derivatives import OP8_SQL, derive, op8_warc_derivatives, plain_text, read_warc, responses, responses_of, write_warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -105,15 +107,49 @@ def test_derivatives_on_odd_pages(spark):
     assert derive(responses(pages.limit(0))).count() == 0
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_character_references_and_links(spark):
+    html = "<p>&#65;&#x42;&#X1F600;&#160;&eacute;&apos; &amp;lt; &nosuch; &#0; &#xD800; &#1114112; AT&T; &</p>" + "x" * 60_000
+    text = spark.createDataFrame([(html,)], "h string").select(plain_text(F.col("h"))).first()[0]
+    assert text.startswith("AB\U0001f600 é' &lt; &nosuch; \ufffd \ufffd \ufffd AT&T; &") and text.endswith("x" * 60_000)
+    pages = spark.createDataFrame([(1, "u", "<a href=/bare>x</a><a class=b href = 'q?a=1&#38;b=2'>y</a><A HREF=\"one\ntwo\">z</A><a data-href='no'>n</a>")], "page_id long, url string, html string")
+    meta = derive(responses(pages)).where("record_type = 'metadata'").first()["block"]
+    assert [x for x in meta.split("\r\n") if x.startswith("outlink")] == ["outlink: /bare", "outlink: q?a=1&b=2", "outlink: onetwo"]
+
+
+def as_responses(spark, path):
+    """Two responses with headers of their own and a request, written by hand."""
+    records = []
+    for kind, uri, block in (("response", "http://a/é", "HTTP/1.1 404 Gone\r\nX-Own: 1\r\n\r\n<p>été</p>\r\n\r\nend"), ("request", "http://a/", "GET /"), ("response", "http://b/", "HTTP/1.1 204 None\r\n")):
+        raw = block.encode()
+        records.append(f"WARC/1.1\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uri}>\r\nWARC-Target-URI: {uri}\r\nWARC-Date: 2020-02-02T00:00:00Z\r\nContent-Length: {len(raw)}\r\n\r\n".encode() + raw + b"\r\n\r\n")
+    path.mkdir()
+    (path / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    return str(path)
+
+
+def test_derivatives_of_real_responses(spark, tmp_path):
+    records = read_warc(spark, as_responses(spark, tmp_path / "in"))
+    assert {(r["record_type"], r["intact"]) for r in records.collect()} == {("response", True), ("request", True)}
+    got = {(r["refers_to"], r["record_type"]): r for r in derive(responses_of(records)).collect()}
+    assert len(got) == 4
+    meta, text = got["<urn:uuid:http://a/é>", "metadata"], got["<urn:uuid:http://a/é>", "conversion"]
+    assert text["block"] == "été\nend" and text["target_uri"] == "http://a/é" and text["warc_date"] == "2020-02-02T00:00:00Z"
+    assert "source-header: HTTP/1.1 404 Gone\r\nsource-header: X-Own: 1\r\n" in meta["block"] and text["record_id"] in meta["block"]
+    assert got["<urn:uuid:http://b/>", "conversion"]["block"] == ""
+
+
+@pytest.mark.parametrize("members", [False, True])
+def test_warc_round_trip(spark, tmp_path, members):
     records = op8_warc_derivatives(spark, "/root/testdata/sf0.001")
-    write_warc(records, str(tmp_path / "warc"))
-    raw = spark.read.option("lineSep", "WARC/1.1\r\n").text(str(tmp_path / "warc")).where("value <> ''").collect()
-    read = set()
-    for (value,) in raw:
-        head, _, rest = value.partition("\r\n\r\n")
-        fields = dict(line.split(": ", 1) for line in head.split("\r\n"))
-        block = rest.encode()[: int(fields["Content-Length"])].decode()
-        assert rest == block + "\r\n\r\n"
-        read.add((fields["WARC-Record-ID"], fields["WARC-Refers-To"], fields["WARC-Block-Digest"], block))
-    assert read == {(r["record_id"], r["refers_to"], r["block_digest"], r["block"]) for r in records.collect()}
+    path = str(tmp_path / "warc")
+    files = write_warc(records, path, members=members)
+    read = read_warc(spark, path).collect()
+    assert all(r["intact"] for r in read)
+    want = {(r["record_type"], r["record_id"], r["block"]) for r in records.collect()}
+    assert {(r["record_type"], r["record_id"], r["block"]) for r in read} == want and len(read) == len(want)
+    if members:
+        data = (tmp_path / "warc" / files[0]).read_bytes()
+        one = zlib.decompressobj(31)
+        assert one.decompress(data).endswith(b"\r\n\r\n") and one.unused_data.startswith(b"\x1f\x8b")
+        with pytest.raises(ValueError, match="already"):
+            write_warc(records, path, members=True)
