@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from lexgrid.session import ship
 
@@ -25,7 +26,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir; set one only where there is none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,6 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of whole rows; maps, which have none, go in as text."""
+    return F.xxhash64(*[F.col(f.name).cast("string") if isinstance(f.dataType, MapType) else F.col(f.name) for f in rows.schema])
+
+
 def fold_of(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id written as text, modulo the number of folds; null ids have no fold."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -7,10 +7,14 @@ min(pi[sigma(x) + k mod D]). Bands of the signature propose, full shingle sets d
 How the work stays linear where a third of all rows are copies:
 
 * documents with equal sets are one node from the start (a grouped minimum with partial aggregation);
-* buckets and candidate clusters are cut into chunks of a fixed size and compared chunk by chunk in
-  tiles, each tile giving back a spanning forest, never its pairs;
-* shingle sets travel only for nodes that some signature comparison has paired, once per tile;
-* clusters of several chunks compare across chunks only while they still fall into several components.
+* buckets and candidate clusters are cut into chunks of a fixed size. Each chunk is compared within, in one
+  tile, which gives back a spanning forest and never its pairs; a node travels once;
+* only groups of several chunks that still fall into several components compare across chunks, and then nodes
+  outside a group's largest component with the rest: what is connected is not compared again;
+* shingle sets travel only for nodes that some signature comparison has paired.
+
+A group that is connected after the first step costs its size; one of many unconnected nodes costs their number
+times its size, a chunk of each at a time and never in one task.
 
 A pair at Jaccard 0.85 shares no band with probability 8e-7, one at 0.80 with 7e-5, and either falls below
 the signature filter with less; there is no cap on buckets or partners. The thin query links from 0.85 on,
@@ -24,16 +28,18 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import WordHashes, cut, mix, shingle_set, table
+from lexgrid.llm.common import WordHashes, cut, mix, row_hash, shingle_set, table
 from lexgrid.llm.components import components
 
 ROWS_PER_BAND, BANDS = 5, 24
 COORDINATES = ROWS_PER_BAND * BANDS
 POSITIONS = 1 << 20
-CHUNK = 1024
+CHUNK = 512
+#: Nodes with at least this share of all documents are joined by broadcast: there are at most 1 / HOT of them.
+HOT = 1 / 1000
 #: Ids broadcast to pick the texts of candidates: above this many (16 MB) they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -114,7 +120,7 @@ class _Forest:
 
 
 def _link(tile: dict, percent: int, floor: float) -> list[tuple[bytes, bytes]]:
-    """Spanning forest of a tile's links. Without sets, links are signatures that agree in ``floor`` of all places."""
+    """Forest of a tile's links that join what labels don't join already. Without sets, links are signatures that agree in ``floor`` of all places."""
     nodes, n, chunk = tile["node"], tile["n"], tile["chunk"]
     m = len(nodes)
     sig = np.frombuffer(b"".join(tile["sig"]), np.uint8).reshape(m, -1)
@@ -126,6 +132,9 @@ def _link(tile: dict, percent: int, floor: float) -> list[tuple[bytes, bytes]]:
         index = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)[1]
         flag = np.zeros(int(index.max()) + 1 if len(index) else 1, np.int32)
     forest, out = _Forest(m), []
+    if "label" in tile:
+        _, first, same = np.unique(np.array(tile["label"], object), return_index=True, return_inverse=True)
+        forest.up = first[same]
     for i in range(m - 1):
         roots = forest.roots()
         rest = np.arange(i + 1, m)
@@ -151,7 +160,7 @@ def _link(tile: dict, percent: int, floor: float) -> list[tuple[bytes, bytes]]:
 
 
 def _tiles(batches, percent: int, floor: float):
-    """Sorted rows (g, ti, tj, chunk, node, n, sig[, shingles]) -> edges (a, b) of each tile's forest."""
+    """Sorted rows (g, ti, tj, chunk, node, n, sig[, label][, shingles]) -> edges (a, b) of each tile's forest."""
     held, key = None, None
 
     def edges(rows):
@@ -184,18 +193,35 @@ def _edge_batch(found):
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.binary()), pa.array([e[1] for e in found], pa.binary())], ["a", "b"])
 
 
-def _dealt(rows: DataFrame, group: Column, size: Column, keep: list[str], across: bool | None = None) -> DataFrame:
-    """Rows copied to the tiles of their group: chunk c meets every chunk. across: only tiles of two chunks, or only of one."""
-    chunks = F.ceil(size / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    rows = rows.withColumns({"g": group, "chunks": chunks, "chunk": chunk})
-    if across is False:
-        other = F.array(F.col("chunk"))
-    else:
-        other = F.sequence(F.lit(0), F.col("chunks") - 1)
-        other = F.filter(other, lambda c: c != F.col("chunk")) if across else other
-    tiled = rows.withColumn("other", F.explode(other)).select("g", F.least("chunk", "other").alias("ti"), F.greatest("chunk", "other").alias("tj"), *keep)
-    return tiled.repartition("g", "ti", "tj").sortWithinPartitions("g", "ti", "tj", "node")
+def _placed(rows: DataFrame, keep: list[str]) -> DataFrame:
+    return rows.select("g", "ti", "tj", "chunk", *keep).repartition("g", "ti", "tj").sortWithinPartitions("g", "ti", "tj", "node")
+
+
+def _linked(rows: DataFrame, keep: list[str], percent: int, floor: float) -> DataFrame:
+    """rows (g, members, node, n, sig[, shingles]) -> components (node, root) of the links within groups ``g``; nodes without links are left out."""
+    find = functools.partial(_tiles, percent=percent, floor=floor)
+    edges = lambda tiles, cols: tiles.mapInArrow(find, "a binary, b binary")
+    part = lambda count, salt: F.pmod(F.xxhash64("g", "node", F.lit(salt)), count).cast("int")
+    own = part(F.ceil(F.col("members") / CHUNK), 1)
+    within = cut(edges(_placed(rows.withColumns({"ti": own, "tj": own, "chunk": own}), keep), keep))
+    found = components(within)
+    large = rows.where(F.col("members") > CHUNK)
+    if large.isEmpty():
+        return found
+    named = large.join(found.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = named.groupBy("g", "label").agg(F.count("*").alias("size"))
+    sizes = cut(sizes.groupBy("g").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("all"), F.count("*").alias("labels")).where("labels > 1").select(F.col("g").alias("g_"), F.col("most.label").alias("main"), F.ceil(F.col("most.size") / CHUNK).cast("int").alias("majors"), F.ceil((F.col("all") - F.col("most.size")) / CHUNK).cast("int").alias("minors")))
+    if sizes.isEmpty():
+        return found
+    apart = named.join(sizes, F.col("g") == F.col("g_")).withColumn("major", F.col("label") == F.col("main"))
+    other, number = lambda count: F.sequence(F.lit(0), count - 1), F.when(F.col("major"), part(F.col("majors"), 2)).otherwise(part(F.col("minors"), 3))
+    apart = apart.withColumn("number", number)
+    tile = lambda i, j: F.struct(i.alias("ti"), j.alias("tj"))
+    with_minors = F.transform(other(F.col("minors")), lambda k: tile(F.least("number", k), F.greatest("number", k)))
+    with_majors = F.transform(other(F.col("majors")), lambda k: tile(F.col("number"), -1 - k))
+    tiles = F.when(F.col("major"), F.transform(other(F.col("minors")), lambda k: tile(k, -1 - F.col("number")))).otherwise(F.concat(with_minors, with_majors))
+    across = apart.withColumn("t", F.explode(tiles)).withColumns({"ti": F.col("t.ti"), "tj": F.col("t.tj"), "chunk": F.when(F.col("major"), -1 - F.col("number")).otherwise(F.col("number"))})
+    return components(within.unionByName(cut(edges(_placed(across, [*keep, "label"]), keep))))
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -209,14 +235,14 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """
     cols = "doc_id long, text_hash long, n_shingles long, node binary, sig binary, bands array<long>"
     signed = cut(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(_sign, cols))
-    nodes = cut(signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"), F.max("bands").alias("bands")))
+    nodes = cut(signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"), F.max("bands").alias("bands")))
     floor = percent / 100 - 0.2
 
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = cut(banded.join(shared, "bucket"))
-    candidates = _dealt(met.join(nodes.select("node", "n", "sig"), "node"), F.col("bucket"), F.col("members"), ["chunk", "node", "n", "sig"])
-    clusters = cut(components(candidates.mapInArrow(functools.partial(_tiles, percent=percent, floor=floor), "a binary, b binary")))
+    keep = ["node", "n", "sig"]
+    clusters = cut(_linked(met.join(nodes.select(*keep), "node").withColumn("g", F.col("bucket").cast("string")), keep, percent, floor))
 
     sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("members")), "root")
     wanted = cut(sized.join(nodes.select("node", "n", "sig", "first_id"), "node"))
@@ -225,30 +251,39 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL").join(ids, "doc_id", "left_semi")
     sets = texts.select("text").mapInArrow(_sets, "node binary, shingles binary").dropDuplicates(["node"])
     full = cut(wanted.join(sets, "node"))
-    verify = functools.partial(_tiles, percent=percent, floor=floor)
-    keep = ["chunk", "node", "n", "sig", "shingles"]
-    links = cut(_dealt(full, F.col("root"), F.col("members"), keep, across=False).mapInArrow(verify, "a binary, b binary"))
-    linked = components(links)
-    large = full.where(F.col("members") > CHUNK)
-    if not large.isEmpty():
-        label = linked.select("node", F.col("root").alias("label"))
-        open_ = large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = open_.groupBy("root").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("root")
-        more = _dealt(large.join(several, "root"), F.col("root"), F.col("members"), keep, across=True).mapInArrow(verify, "a binary, b binary")
-        linked = components(links.unionByName(cut(more)))
-
-    named = nodes.join(linked.withColumnRenamed("root", "top"), "node", "left").select("node", "first_id", F.coalesce("top", "node").alias("top"))
+    linked = _linked(full.withColumn("g", F.hex("root")), [*keep, "shingles"], percent, floor)
+
+    named = nodes.join(linked.withColumnRenamed("root", "top"), "node", "left").select("node", "first_id", "copies", F.coalesce("top", "node").alias("top"))
     least = named.groupBy("top").agg(F.min("first_id").alias("component_id"))
-    found = cut(named.join(least, "top").select("node", "component_id"))
-    return signed.join(found, "node", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = cut(named.join(least, "top").select("node", "copies", "component_id"))
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "node")
+    hot = F.broadcast(found.where(F.col("copies") >= F.lit(HOT * rows.count())).select("node", "component_id"))
+    some = rows.where("node IS NOT NULL")
+    parts = [rows.where("node IS NULL").withColumn("component_id", F.col("doc_id")), some.join(hot, "node"), some.join(hot, "node", "left_anti").join(found.drop("copies"), "node", "left")]
+    out = functools.reduce(DataFrame.unionByName, parts)
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set and its component at Jaccard 0.85; as ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents, all columns as they are, without those that a smaller id of their component stands for."""
-    gone = cut(near_duplicates(documents, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 2 else gone
-    return documents.join(gone, (documents["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(documents["text"].cast("string")) == gone["_hash"]), "left_anti")
+    """The documents, all columns as they are, without those that a smaller id of their component stands for.
+
+    Of rows that repeat both id and text of a kept document, the one of the smallest row hash stays. Null and empty
+    texts are kept once per id, and all rows without doc_id. An empty table gives an empty one.
+    """
+    judged = cut(near_duplicates(documents, percent).where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")).where("NOT kept OR rows > 1"))
+    small = judged.count() <= BROADCAST_IDS // 2
+    side = judged.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept")
+    same = lambda other: (F.col("doc_id").cast("long") == other["_id"]) & (F.xxhash64(F.col("text").cast("string")) == other["_hash"])
+    sent = lambda some: F.broadcast(some) if small else some
+    out = documents.join(other := sent(side.drop("kept")), same(other), "left_anti")
+    repeated = side.where("kept")
+    if not repeated.isEmpty():
+        some = documents.join(other := sent(repeated.drop("kept")), same(other), "left_semi").withColumn("_row", row_hash(documents))
+        one = some.groupBy(F.col("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash")).agg(F.min_by(F.struct(*[F.col(c) for c in documents.columns]), "_row").alias("_kept"))
+        out = out.unionByName(one.select("_kept.*"))
+    return out

@@ -18,9 +18,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
-from lexgrid.llm.common import cut, table, word_count
+from lexgrid.llm.common import cut, row_hash, table, word_count
 
 WEIGHTS, SHARE, MOST, BLOCK, STRETCH = (5, 2, 1), 1.5, 2, 512, 1 << 16
 #: A source's documents are dealt into at least 16 ** 3 cells, and into more from so many rows a cell on.
@@ -82,11 +81,6 @@ class _Mix(NamedTuple):
     slots: int
 
 
-def _row_key(documents: DataFrame) -> Column:
-    """A hash of whole rows; maps, which have none, go in as text."""
-    return F.xxhash64(*[F.col(f.name).cast("string") if isinstance(f.dataType, MapType) else F.col(f.name) for f in documents.schema])
-
-
 def _each(rows: DataFrame) -> DataFrame:
     """A row for each of ``n`` equal ones, in lists of a bounded size however many there are."""
     lots = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {STRETCH}"))))
@@ -97,7 +91,7 @@ def _each(rows: DataFrame) -> DataFrame:
 def _mix(documents: DataFrame, weights: tuple[int, ...], share: float, most: int, block: int) -> _Mix:
     spark = documents.sparkSession
     text = F.col("text").cast("string")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), _digest().alias("mix_key"), _row_key(documents).alias("row_key"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), _digest().alias("mix_key"), row_hash(documents).alias("row_key"))
     rows = cut(rows.groupBy("source", "mix_key", "row_key", "doc_id", "size").agg(F.count("*").alias("n")))
     digits = max(3, math.ceil(math.log(max(1, rows.count()) / CELL_ROWS, 16)))
     rows = rows.withColumn("cell", F.substring("mix_key", 1, digits))
@@ -159,7 +153,7 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, sh
     """
     spark = documents.sparkSession
     placed, dealt, slots = _mix(documents, weights, share, most, block)
-    rows = documents.withColumns({"_mix_key": _digest(), "_row_key": _row_key(documents)})
+    rows = documents.withColumns({"_mix_key": _digest(), "_row_key": row_hash(documents)})
     repeated = placed.where("n > 1").select(F.col("mix_key").alias("_mix_key"), F.col("row_key").alias("_row_key"))
     if not repeated.isEmpty():  # one row stands for those that are equal
         key = ["_mix_key", "_row_key"]

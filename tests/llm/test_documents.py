@@ -106,7 +106,7 @@ def test_near_duplicates_on_odd_rows(spark):
     nobody = next(r for r in got if r["doc_id"] is None)
     assert nobody["component_id"] is None and nobody["kept"]
     kept = keep_one(odd_documents(spark))
-    assert kept.columns == odd_documents(spark).columns and kept.count() == 10
+    assert kept.columns == odd_documents(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 7, 8]
     assert near_duplicates(odd_documents(spark).limit(0)).count() == 0
 
 
