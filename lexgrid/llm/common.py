@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,10 +33,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or "/tmp/checkpoints")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Tasks for each core of the cluster in a stage that writes files, at most.
+TASKS_PER_CORE = 4
+
+
+def few(df: DataFrame, rows: int | None = None, rows_a_task: int = 50_000) -> DataFrame:
+    """The same rows in at most TASKS_PER_CORE partitions a core, and in no more than a known number of rows asks for.
+
+    Partitions beyond that are read one after another by one task: each file costs a task of its own otherwise, and
+    on local stores a process of the executor.
+    """
+    most = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(most if rows is None else max(1, min(most, math.ceil(rows / rows_a_task))))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The same rows read back from the shared checkpoint folder: lineage ends here and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return few(df, rows).checkpoint(eager=True)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nobody reads any more, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def row_hash(rows: DataFrame) -> Column:

@@ -27,11 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
     Nulls and self-loops are ignored; an empty edge table gives an empty result. Repeated edges count once.
     """
     now = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where(F.col("u") != F.col("v")).distinct())
-    before = None
+    before, rows = None, now.count()
     while True:
-        now = cut(_star(_star(now, True), False))
+        now = cut(_star(_star(now, True), False), rows)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, rows = state, state[0]
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
