@@ -11,7 +11,7 @@ LINE_TOLERANCE, GUTTER, BAND, SNAP, AGREE = 4.0, 30.0, (0.35, 0.70), 4.0, 2
 MATRIX_REACH, MATRIX_COLUMNS = 14.0, 5
 SUPERSCRIPT, RAISED_DIGITS = (0.8, 0.15), str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
 SYMBOLS = {"P", "SD", "DA", "SP", "C", "X", "A", "-", "•"}
-_ZONE, _LIST = re.compile(r"-?[A-Z]{1,5}(?:-\d+)?"), re.compile(r"[•\-–*]|\(?[a-z0-9]{1,3}[.)]")
+_ZONE, _LIST = re.compile(r"-?[A-Z]{1,5}(?:-\d+)?"), re.compile(r"\((?:[a-z]{1,3}|[A-Z]{1,3}|\d{1,3})\)\s*\S")
 _AMENDMENT = re.compile(r"[A-Z]{1,3}-\d+(?:\.\d+)+")
 _ROW = re.compile(r"\d+\.\d+(?:\([0-9a-zA-Z]+\))+")
 
@@ -77,47 +77,44 @@ def without_amendments(page: list[list[dict]]) -> tuple[list[list[dict]], list[s
     return [line for line in kept if line], list(found)
 
 
-def linearise(page: list[list[dict]], width: float) -> list[str]:
-    """Lines as text, two-column stretches left column first.
+def _column_start(line: list[dict], width: float) -> float | None:
+    """Where a line goes on after a gap as wide as a gutter, in the middle of the page."""
+    for before, w in zip(line, line[1:], strict=False):
+        if w["x0"] - before["x1"] >= GUTTER and BAND[0] * width <= w["x0"] <= BAND[1] * width:
+            return w["x0"]
+    return None
 
-    A gutter is a gap of at least GUTTER that ends within BAND of the width and that AGREE lines share to
-    within SNAP. Columns are taken apart only where two right-hand parts begin like list entries: labels
-    with their values on the same line stay together.
-    """
 
-    def gap_end(line):
-        return next((b["x0"] for a, b in zip(line, line[1:], strict=False) if b["x0"] - a["x1"] >= GUTTER and BAND[0] * width <= b["x0"] <= BAND[1] * width), None)
-
-    ends = [gap_end(line) for line in page]
-    votes = Counter(round(e / SNAP) * SNAP for e in ends if e is not None).most_common(1)
-    if not votes or votes[0][1] < AGREE:
-        return [text_of(line) for line in page]
-    edge = votes[0][0] - SNAP
-    out, at = [], 0
-    while at < len(page):
-        stop = at
-        while stop < len(page) and ends[stop] is not None and abs(ends[stop] - votes[0][0]) <= SNAP:
-            stop += 1
-        if stop == at:
-            out.append(text_of(page[at]))
-            at += 1
-            continue
-        left = [[w for w in line if w["x0"] < edge] for line in page[at:stop]]
-        right = [[w for w in line if w["x0"] >= edge] for line in page[at:stop]]
-        while stop < len(page) and (all(w["x0"] >= edge for w in page[stop]) or (all(w["x1"] < edge for w in page[stop]) and _LIST.match(page[stop][0]["text"]))):
-            (right if page[stop][0]["x0"] >= edge else left).append(page[stop])
-            stop += 1
-        if sum(bool(line) and bool(_LIST.match(line[0]["text"])) for line in right) >= 2:
-            out += [text_of(line) for line in left if line] + [text_of(line) for line in right if line]
-        else:
-            out += [text_of(line) for line in page[at:stop]]
-        at = stop
-    return out
+def _is_heading(line: list[dict], scheme: Scheme) -> bool:
+    text = text_of(line).strip()
+    return bool(line[0]["bold"]) and bool(re.match(scheme.clause, text) or re.match(scheme.parent, text))
+
+
+def linearise(page: list[list[dict]], width: float, scheme: Scheme) -> list[list[dict]]:
+    """Lines in reading order: the region of two columns left column first, all else as it stands.
+
+    AGREE lines must agree on where the second column starts, to within SNAP. The region reaches from the first to
+    the last line whose second part starts within GUTTER of that, and on over lines that keep to one side, up to a
+    heading. Its edge lies left of the leftmost start, so that hanging markers stay with their column. Columns are
+    taken apart only where AGREE right-hand parts begin with a list marker: values stay with their labels.
+    """
+    starts = {i: x for i, line in enumerate(page) if (x := _column_start(line, width)) is not None}
+    votes = Counter(round(x / SNAP) * SNAP for x in starts.values())
+    common = max(votes, key=votes.get, default=None)
+    region = [i for i, x in starts.items() if abs(x - common) <= GUTTER]
+    if common is None or votes[common] < AGREE or len(region) < AGREE:
+        return page
+    edge, top, end = min(starts[i] for i in region) - SNAP / 2, region[0], region[-1] + 1
+    while end < len(page) and not _is_heading(page[end], scheme) and (all(w["x1"] <= edge for w in page[end]) or all(w["x0"] >= edge for w in page[end])):
+        end += 1
+    left, right = ([part for line in page[top:end] if (part := [w for w in line if (w["x0"] >= edge) == beyond])] for beyond in (False, True))
+    listed = sum(bool(_LIST.match(text_of(part).strip())) for part in right)
+    return page[:top] + left + right + page[end:] if listed >= AGREE else page
 
 
 @dataclass
 class Matrix:
-    """Sentences of a matrix, the labels of its rows, and the lines of the page that are no part of it."""
+    """Sentences of a matrix, its legend first, the labels of its rows, and the lines of the page that are no part of it."""
 
     sentences: list[str] = field(default_factory=list)
     labels: list[str] = field(default_factory=list)
@@ -158,4 +155,8 @@ def matrix(page: list[list[dict]], legend: dict[str, str], scheme: Scheme) -> Ma
         said = "; ".join(f"{legend.get(c, c)}: {', '.join(z)}" for c, z in by.items()) or "no entry for any listed zone"
         out.labels.append(line[0]["text"])
         out.sentences.append(f"{category} {label}".strip() + f" - {said}.")
-    return out if out.sentences else Matrix(rest=page)
+    if not out.sentences:
+        return Matrix(rest=page)
+    if legend:
+        out.sentences.insert(0, "Legend: " + "; ".join(f"{symbol} = {meaning}" for symbol, meaning in legend.items()) + ".")
+    return out

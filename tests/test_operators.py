@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from lexgrid.functions.answer import client_key, context, disclaimer, frames, has_disclaimer, logged
 from lexgrid.functions.text import clause_pieces, clean_text, definition_term, names_section, section_hint, similarity, token_estimate, trigrams
 from lexgrid.operators.checks import cascade, violations
-from lexgrid.operators.assembly import Page, assemble, bilingual, bilingual_clauses, gutter_of, kind, page_facts, read_page
+from lexgrid.operators.assembly import NO_GUTTER, Page, assemble, bilingual_clauses, kind, page_facts, read_page
+from lexgrid.operators.bilingual import gutters, halves, pages_of
 from lexgrid.operators.layout import SCHEMES, cluster, linearise, matrix, text_of, without_amendments
 from lexgrid.operators.ordering import lines
 from lexgrid.operators.retrieval import fuse
@@ -152,18 +153,48 @@ def word(text, x0, top, bold=False):
 def test_lines_have_anchors(spark):
     words = [word("c", 100, 95), word("a", 60, 92), word("b", 80, 93), word("d", 60, 97)]
     assert [[w["text"] for w in line] for line in cluster(words)] == [["a", "b", "c"], ["d"]]
-    rows = spark.createDataFrame([(w["top"], w["x0"], w["x1"], w["text"], w["bold"]) for w in words], "top double, x0 double, x1 double, text string, bold boolean")
-    got = rows.agg(lines(F.collect_list(F.struct("top", "x0", "x1", "text", "bold"))).alias("x")).first()[0]
+    rows = spark.createDataFrame([(w["top"], w["x0"], w["x1"], w["text"], w["bold"], w["bottom"]) for w in words], "top double, x0 double, x1 double, text string, bold boolean, bottom double")
+    got = rows.agg(lines(F.collect_list(F.struct("top", "x0", "x1", "text", "bold", "bottom"))).alias("x")).first()[0]
     assert [[w["text"] for w in line] for line in got] == [["a", "b", "c"], ["d"]]
 
 
-def test_columns_are_taken_apart_only_for_lists():
-    uses = [[word("•", 143, t), word("left", 155, t), word("•", 358, t), word("right", 372, t)] for t in (308, 326, 344)]
-    assert linearise(uses, 612) == ["• left"] * 3 + ["• right"] * 3
-    standards = [[word("Height", 144, t), word("10", 388, t)] for t in (100, 120, 140)]
-    assert linearise(standards, 612) == ["Height 10"] * 3
-    prose = [[word("a", 60, 100), word("b", 70, 100)]]
-    assert linearise(prose, 612) == ["a b"]
+def line_of(text, x0, top, bold=False):
+    """Words of six points a character, a blank apart."""
+    out = []
+    for t in text.split():
+        out.append(word(t, x0, top, bold))
+        x0 += 6 * (len(t) + 1)
+    return out
+
+
+def read(words):
+    return [text_of(line) for line in linearise(cluster(words), 612, SCHEMES["paren"])]
+
+
+def use_list():
+    rows = [("(a) Permitted Uses", 143, 308), ("(b) Conditional Uses", 358, 308), ("(1) Day Care", 143, 326), ("(1) Kennel", 372, 326), ("(2) Home Work", 143, 343), ("(2) Studio", 372, 343), ("(3) House", 143, 361), ("(4) Hens", 143, 380)]
+    return [w for r in rows for w in line_of(*r)]
+
+
+def test_columns_are_taken_apart_for_lists():
+    """The left list runs on below the right one, and a marker that hangs left stays with its column."""
+    assert read(use_list()) == ["(a) Permitted Uses", "(1) Day Care", "(2) Home Work", "(3) House", "(4) Hens", "(b) Conditional Uses", "(1) Kennel", "(2) Studio"]
+    ended = use_list() + line_of("8.14(3) Standards", 143, 400, bold=True) + line_of("(z) last", 143, 420)
+    assert read(ended)[-4:] == ["(1) Kennel", "(2) Studio", "8.14(3) Standards", "(z) last"]
+    capital = [w for k, t in enumerate((100, 120)) for w in line_of(f"({'AB'[k]}) left", 143, t) + line_of(f"({'CD'[k]}) right", 358, t)]
+    assert read(capital) == ["(A) left", "(B) left", "(C) right", "(D) right"]
+
+
+def test_values_stay_with_their_labels():
+    rows = [("(a) Lot Area", 117, 473, True), ("(i) Interior Lot:", 144, 501), ("345 m", 388, 501), ("(ii) Corner Lot", 144, 521), ("480 m", 388, 521), ("(i) Interior", 144, 577), ("11.5 metres", 388, 577), ("(ii) Corner", 144, 590), ("14.0 metres", 388, 590), ("Yard", 144, 604), ("- none", 388, 604)]
+    assert read([w for r in rows for w in line_of(*r)]) == ["(a) Lot Area", "(i) Interior Lot: 345 m", "(ii) Corner Lot 480 m", "(i) Interior 11.5 metres", "(ii) Corner 14.0 metres", "Yard - none"]
+
+
+def test_prose_and_single_columns_stay():
+    prose = line_of("All uses shall comply with the rules that apply to all uses", 72, 432) + line_of("and to houses (Section 7).", 72, 446)
+    assert read(prose) == ["All uses shall comply with the rules that apply to all uses", "and to houses (Section 7)."]
+    assert read(line_of("(a) left", 143, 100) + line_of("(1) right", 358, 100)) == ["(a) left (1) right"]
+    assert read([]) == []
 
 
 def test_amendments_leave_the_text():
@@ -175,7 +206,7 @@ def test_matrix_cells_go_to_the_nearest_column():
     zones = ["LC", "NC", "DC", "RC", "OC", "RLF"]
     head = [word(z, 190 + 24 * i, 100) for i, z in enumerate(zones)]
     row = [word("6.4(2)(a)", 60, 120)] + [word("P", 192 + 24 * i, 120) for i in range(4)] + [word("SD", 190 + 24 * 5, 120)]
-    assert matrix([head, [word("SIGNS", 60, 110)], row, [word("6.4(2)(b)", 60, 140)]], {"P": "Permitted"}, SCHEMES["paren"]).sentences == ["SIGNS 6.4(2)(a) - Permitted: LC, NC, DC, RC; SD: RLF.", "SIGNS 6.4(2)(b) - no entry for any listed zone."]
+    assert matrix([head, [word("SIGNS", 60, 110)], row, [word("6.4(2)(b)", 60, 140)]], {"P": "Permitted"}, SCHEMES["paren"]).sentences == ["Legend: P = Permitted.", "SIGNS 6.4(2)(a) - Permitted: LC, NC, DC, RC; SD: RLF.", "SIGNS 6.4(2)(b) - no entry for any listed zone."]
 
 
 def test_clauses():
@@ -244,22 +275,52 @@ def test_legends_lose_banners_beside_them():
     zones = ["LC", "NC", "DC", "RC", "OC"]
     top = [word(t, 60 + 70 * i, 80) for i, t in enumerate(["P", "=", "Permitted", "LIMITED", "ZONES"])]
     page = read_page([*top, *(word(z, 190 + 24 * i, 100) for i, z in enumerate(zones)), word("6.4(1)", 60, 120), word("P", 192, 120)], 1, SCHEMES["paren"], 612)
-    assert page.table == ["6.4(1) - Permitted: LC."] and page.table_number == "6.4"
+    assert page.table == ["Legend: P = Permitted.", "6.4(1) - Permitted: LC."] and page.table_number == "6.4"
+    assert matrix(cluster([*(word(z, 190 + 24 * i, 100) for i, z in enumerate(zones)), word("6.4(1)", 60, 120)]), {}, SCHEMES["paren"]).sentences == ["6.4(1) - no entry for any listed zone."]
+
+
+WORDS = "document long, page int, text string, x0 double, x1 double, top double, bottom double, bold boolean"
+
+
+def placed(spark, *pages):
+    """(document, page, words) as a table of words."""
+    return spark.createDataFrame([(d, p, w["text"], w["x0"], w["x1"], w["top"], w["bottom"], w["bold"]) for d, p, some in pages for w in some], WORDS)
+
+
+def test_gutters(spark):
+    two = bilingual_page() + [word("far", 380, 400)] + [word("x", 40, 420), word("y", 280, 420)]
+    got = {r["document"]: r["gutter"] for r in gutters(pages_of(placed(spark, (1, 1, two), (1, 2, bilingual_page()), (2, 1, [word("alone", 60, 10)]), (3, 1, [word("a", 40, 10), word("b", 300, 10)]), (3, 2, [word("a", 40, 10), word("b", 350, 10)]))), 612).collect()}
+    assert got == {1: 326, 2: None, 3: 296}
 
 
-def test_bilingual_pages(spark):
-    words = bilingual_page()
-    assert gutter_of([words], 612) == 326
+def test_halves_of_pages(spark):
+    """Columns, lines of prose among others, and pages that both languages share."""
     table = [word(f"c{k}", 40 + 60 * k, 10) for k in range(9)]
-    left, right = bilingual([(1, words), (2, table)], SCHEMES["moncton"], 612)
-    assert all(t.startswith("l") for t, _ in left[0].lines) and all(t.startswith("r") for t, _ in right[0].lines)
-    assert left[1].standalone and right[1].lines == left[1].lines
-    with pytest.raises(ValueError, match="gutter"):
-        bilingual([(1, [word("alone", 60, 10)])], SCHEMES["moncton"], 612)
+    mixed = line_of("l0 l1 l2 l3", 40, 30) + line_of("r0 r1 r2 r3", 330, 30) + [word("wide", 40, 50), word("row", 250, 50), word("of", 340, 50), word("cells", 440, 50)]
+    hanging = [word("12", 10, 30), *mixed[:8]]
+    got = {(r["page"], r["language"]): r for r in halves(placed(spark, (1, 1, bilingual_page()), (1, 2, table), (1, 3, mixed), (1, 4, hanging)), 612, ("en", "fr")).collect()}
+    texts = lambda page, language: [w["text"] for w in got[page, language]["words"]]
+    assert set(texts(1, "en")) == {f"l{i}" for i in range(10)} and set(texts(1, "fr")) == {f"r{i}" for i in range(10)}
+    assert (got[1, "en"]["width"], got[1, "fr"]["width"], got[3, "en"]["width"]) == (326, 286, 612)
+    assert got[2, "en"]["shared"] and texts(2, "en") == texts(2, "fr") == [f"c{k}" for k in range(9)] and not got[3, "fr"]["shared"]
+    assert texts(3, "en") == ["l0", "l1", "l2", "l3", "wide", "row", "of", "cells"] and texts(3, "fr") == ["r0", "r1", "r2", "r3", "wide", "row", "of", "cells"]
+    assert texts(4, "en") == ["12", "l0", "l1", "l2", "l3"] and texts(4, "fr") == ["r0", "r1", "r2", "r3"]
+
+
+def test_bilingual_clauses(spark):
+    both = []
+    for i in range(12):
+        head = i % 4 == 0
+        both += line_of(f"10{i}.1 The left" if head else "left says more", 40, 20 * i, head) + line_of(f"10{i}.1 La droite" if head else "droite dit plus", 330, 20 * i, head)
+    rows = bilingual_clauses(placed(spark, (1, 1, both), (2, 1, [word("alone", 60, 10)]))).collect()
+    got = {(r["document"], r["language"], r["seq"]): (r["section_number"], r["text"], r["error"]) for r in rows}
+    assert got[1, "en", 0] == ("100.1", "The left\nleft says more\nleft says more\nleft says more", None) and got[1, "fr", 2][1].startswith("La droite\ndroite")
+    assert got[2, None, 0] == (None, None, NO_GUTTER) and len(got) == 7
 
 
 def test_words_without_text_or_place_are_left_out(spark):
     ddl = "document long, page int, text string, x0 double, x1 double, top double, bold boolean, extra string"
     rows = [(1, 1, None, 1.0, 2.0, 3.0, True, "x"), (1, 1, "a", None, 2.0, 3.0, True, "x"), (2, 1, "b", 1.0, 2.0, 3.0, None, "x")]
     assert [r["document"] for r in page_facts(spark.createDataFrame(rows, ddl)).collect()] == [2]
-    assert page_facts(spark.createDataFrame([], ddl)).count() == bilingual_clauses(spark.createDataFrame(rows, ddl)).count() == 0
+    assert page_facts(spark.createDataFrame([], ddl)).count() == bilingual_clauses(spark.createDataFrame([], ddl)).count() == 0
+    assert [(r["document"], r["error"]) for r in bilingual_clauses(spark.createDataFrame(rows, ddl)).collect()] == [(2, NO_GUTTER)]
