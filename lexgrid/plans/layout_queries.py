@@ -1,34 +1,61 @@
-"""Layout queries over word tables laid out from the driver's documents."""
+"""Layout queries over word tables laid out from the driver's documents, with the SQL they are checked against.
+
+Every text goes into them whole: its lines are broken into visual lines of eight words, forty to a page.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrid.operators.assembly import bilingual_clauses, clauses, matrices, page_facts, page_lines
 from lexgrid.session import ship
 from lexgrid.sources.tables import table
 
+PER_LINE, PER_PAGE = 8, 40
 
 
-def _words(spark: SparkSession, d: str, numbered: bool = False) -> DataFrame:
-    """Every line of every document as words of six points a character, forty lines to a page, headings in front if asked for."""
+def _visual(spark: SparkSession, d: str) -> DataFrame:
+    """document, v, w: the words of every visual line in order."""
     ship(spark)
-    lines = table(spark, d, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    if numbered:
-        head = F.format_string("%d.%d(%d) Clause %d", F.col("document") % 9 + 1, F.col("n") % 30, F.col("n") % 7 + 1, F.col("n"))
-        line = F.struct(F.col("line").alias("line"), F.lit(False).alias("bold"))
-        lines = lines.withColumn("l", F.explode(F.when(F.col("n") % 3 == 0, F.array(F.struct(head.alias("line"), F.lit(True).alias("bold")), line)).otherwise(F.array(line)))).select("document", (F.col("n") * 2 + (~F.col("l.bold")).cast("int")).alias("n"), "l.line", "l.bold")
-    else:
-        lines = lines.withColumn("bold", F.lit(False))
-    each = lines.select("document", "n", "bold", F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("k", "text"))
-    left = F.lit(60.0) + F.col("k") % 12 * 40 + F.when((F.col("k") % 12 >= 6) & (F.col("n") % 4 < 2), 40).otherwise(0)
-    top = F.col("n") % 40 * 14.0 + F.floor(F.col("k") / 12) * 0.01
-    return each.select("document", F.floor(F.col("n") / 40).cast("int").alias("page"), "text", left.alias("x0"), (left + F.least(F.length("text") * 6, F.lit(38))).alias("x1"), top.alias("top"), "bold")
+    lines = F.transform(F.split("text", "\n"), lambda line: F.filter(F.split(line, " "), lambda w: w != ""))
+    pieces = lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / PER_LINE) - 1), lambda i: F.slice(w, (i * PER_LINE + 1).cast("int"), F.lit(PER_LINE)))
+    broken = F.flatten(F.transform(F.filter(lines, lambda w: F.size(w) > 0), pieces))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("document"), F.posexplode(broken).alias("v", "w"))
+
+
+_VISUAL = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+k AS (SELECT doc_id, n, list_filter(string_split(line, ' '), lambda w: w <> '') AS w FROM l),
+c AS (SELECT doc_id, n, i, w[i * {PER_LINE} + 1 : i * {PER_LINE} + {PER_LINE}] AS w FROM (SELECT doc_id, n, w, unnest(range((len(w) + {PER_LINE - 1}) // {PER_LINE})) AS i FROM k)),
+v AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n, i) - 1 AS v FROM c)"""
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[ \t]+', ' ', 'g'), ' +([.,;:)])', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def _set(words: Column, left: float, pitch: float = 50.0, wide: float = 44.0) -> Column:
+    """Words in a row: text, x0, x1."""
+    return F.transform(words, lambda w, k: F.struct(w.alias("text"), (left + k * pitch).alias("x0"), (left + wide + k * pitch).alias("x1")))
+
+
+def _laid(lines: DataFrame, number: str, words: Column, bold: Column) -> DataFrame:
+    """Words of numbered lines on their pages."""
+    at = F.col(number)
+    return lines.select("document", F.floor(at / PER_PAGE).cast("int").alias("page"), (at % PER_PAGE * 14.0).alias("top"), bold.alias("bold"), F.inline(words))
 
 
 def q48_near_column_linearise(spark: SparkSession, d: str) -> DataFrame:
-    return page_lines(_words(spark, d)).select("document", "page", "n", F.sha2("line", 256).alias("digest"))
+    """Lines in two columns; in every other document the right one is a list, which is read after the left one."""
+    right = F.slice("w", F.lit(5), F.lit(4))
+    marker = F.concat(F.lit("("), (F.col("v") % 9 + 1).cast("string"), F.lit(")"))
+    listed = F.when((F.size(right) > 0) & (F.col("document") % 2 == 0), F.concat(F.array(marker), right)).otherwise(right)
+    words = _laid(_visual(spark, d), "v", F.concat(_set(F.slice("w", F.lit(1), F.lit(4)), 60.0), _set(listed, 316.0)), F.lit(False))
+    return page_lines(words).select("document", "page", "n", F.sha2("line", 256).alias("digest"))
+
+
+Q48 = f"""WITH {_VISUAL}, h AS (SELECT doc_id, v, v // {PER_PAGE} AS page, array_to_string(w[1:4], ' ') AS a, CASE WHEN len(w) > 4 THEN CASE WHEN doc_id % 2 = 0 THEN '(' || (v % 9 + 1) || ') ' ELSE '' END || array_to_string(w[5:8], ' ') END AS b FROM v),
+p AS (SELECT *, count(b) OVER g AS rights, min(CASE WHEN b IS NOT NULL THEN v END) OVER g AS top FROM h WINDOW g AS (PARTITION BY doc_id, page)),
+o AS (SELECT doc_id, page, v, 0 AS part, a || coalesce(' ' || b, '') AS line FROM p WHERE doc_id % 2 = 1 OR rights < 2 OR v < top
+  UNION ALL SELECT doc_id, page, v, 1, a FROM p WHERE doc_id % 2 = 0 AND rights >= 2 AND v >= top UNION ALL SELECT doc_id, page, v, 2, b FROM p WHERE doc_id % 2 = 0 AND rights >= 2 AND b IS NOT NULL)
+SELECT doc_id AS document, page::INTEGER AS page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY part, v) - 1)::INTEGER AS n, sha256(line) AS digest FROM o"""
 
 
 def q49_matrix_render(spark: SparkSession, d: str) -> DataFrame:
@@ -40,16 +67,32 @@ def q49_matrix_render(spark: SparkSession, d: str) -> DataFrame:
     heads = brands.select("document", F.inline(head)).select("document", F.lit(0).alias("page"), "text", "x0", (F.col("x0") + 12).alias("x1"), F.lit(100.0).alias("top"), F.lit(True).alias("bold"))
     label = brands.select("document", F.lit(0).alias("page"), F.col("p_brand").alias("text"), F.lit(60.0).alias("x0"), F.lit(120.0).alias("x1"), F.lit(120.0).alias("top"), F.lit(False).alias("bold"))
     cells = brands.select("document", F.explode("held").alias("h")).select("document", F.lit(0).alias("page"), F.when(F.col("h") % 2 == 0, "P").otherwise("SD").alias("text"), (F.lit(190.0) + 24 * F.col("h")).alias("x0"), (F.lit(202.0) + 24 * F.col("h")).alias("x1"), F.lit(121.0).alias("top"), F.lit(False).alias("bold"))
-    return matrices(heads.unionByName(label).unionByName(cells), {"P": "Permitted", "SD": "Sign Districts"}, "cbrm").select("sentence")
+    return matrices(heads.unionByName(label).unionByName(cells), {"P": "Permitted", "SD": "Sign Districts"}, "cbrm").select("n", "sentence")
+
+
+Q49 = """WITH h AS (SELECT p_brand, list_sort(list(DISTINCT p_size % 6)) AS held FROM part GROUP BY 1),
+z AS (SELECT *, list_transform(list_filter(held, lambda x: x % 2 = 0), lambda x: ['LC', 'NC', 'DC', 'RC', 'OC', 'RLF'][x + 1]) AS p, list_transform(list_filter(held, lambda x: x % 2 = 1), lambda x: ['LC', 'NC', 'DC', 'RC', 'OC', 'RLF'][x + 1]) AS sd FROM h),
+t AS (SELECT *, CASE WHEN len(p) > 0 THEN ['Permitted: ' || array_to_string(p, ', ')] ELSE [] END AS a, CASE WHEN len(sd) > 0 THEN ['Sign Districts: ' || array_to_string(sd, ', ')] ELSE [] END AS b FROM z)
+SELECT 0::INTEGER AS n, 'Legend: P = Permitted; SD = Sign Districts.' AS sentence FROM t UNION ALL SELECT 1, p_brand || ' - ' || array_to_string(CASE WHEN held[1] % 2 = 0 THEN a || b ELSE b || a END, '; ') || '.' FROM t"""
 
 
 def q50_clause_assembly(spark: SparkSession, d: str) -> DataFrame:
-    return clauses(_words(spark, d, numbered=True)).select("document", "seq", "section_number", "section_title", "page_number", F.sha2("text", 256).alias("digest"))
+    """A heading before every third visual line; clauses run on across pages."""
+    head = F.format_string("%d.%d(%d) Clause %d", F.col("document") % 9 + 1, F.col("v") % 30, F.col("v") % 7 + 1, F.col("v"))
+    line = lambda words, bold, up: F.struct(words.alias("w"), F.lit(bold).alias("bold"), F.lit(up).alias("up"))
+    both = F.when(F.col("v") % 3 == 0, F.array(line(F.split(head, " "), True, 0), line(F.col("w"), False, 1))).otherwise(F.array(line(F.col("w"), False, 1)))
+    each = _visual(spark, d).select("document", "v", F.inline(both)).withColumn("u", F.col("v") + F.floor(F.col("v") / 3) + F.col("up"))
+    found = clauses(_laid(each, "u", _set(F.col("w"), 60.0), F.col("bold")))
+    return found.select("document", "seq", "section_number", "section_title", "page_number", F.sha2("text", 256).alias("digest"))
+
+
+Q50 = f"""WITH {_VISUAL}, g AS (SELECT doc_id, v // 3 AS seq, string_agg(array_to_string(w, ' '), chr(10) ORDER BY v) AS body FROM v GROUP BY ALL)
+SELECT doc_id AS document, seq::INTEGER AS seq, (doc_id % 9 + 1) || '.' || (seq * 3 % 30) || '(' || (seq * 3 % 7 + 1) || ')' AS section_number, 'Clause ' || (seq * 3) AS section_title, ((seq * 4) // {PER_PAGE})::INTEGER AS page_number, sha256({_CLEAN.format("body")}) AS digest FROM g"""
 
 
 def q56_page_facts(spark: SparkSession, d: str) -> DataFrame:
     """Kinds, headers and labels of pages; every page gets a running header and a label."""
-    words = _words(spark, d)
+    words = _laid(_visual(spark, d), "v", _set(F.col("w"), 60.0), F.lit(False))
     pages = words.select("document", "page").distinct()
     word = lambda text, x, top: F.struct(F.lit(text).cast("string").alias("text") if isinstance(text, str) else text.alias("text"), F.lit(x).alias("x0"), F.lit(x + 30.0).alias("x1"), F.lit(top).alias("top"))
     extra = F.array(word("Section", 60.0, -20.0), word((F.col("page") + 1).cast("string"), 110.0, -20.0), word("Rules", 160.0, -20.0), word(F.concat((F.col("document") % 9).cast("string"), F.lit("-"), F.col("page").cast("string")), 300.0, 700.0))
@@ -57,16 +100,27 @@ def q56_page_facts(spark: SparkSession, d: str) -> DataFrame:
     return page_facts(words.unionByName(stamps)).drop("amendments")
 
 
+Q56 = rf"""WITH {_VISUAL}, t AS (SELECT doc_id, v // {PER_PAGE} AS page, array_to_string(w, ' ') AS t FROM v),
+n AS (SELECT doc_id, page, count(*) AS n, count(*) FILTER (WHERE regexp_matches(t, '\s\d+\s*[-–]\s*\d+$|\.{{4,}}\s*\d+\s*$')) AS toc,
+  count(*) FILTER (WHERE length(t) < 70 AND regexp_matches(t, '(?i)^(?:\d{{1,3}}(?:\.\d+)?(?:\s?\(\d+\))?\s+\S|Division\s+\d|Section\s+\d|PART(?:IE)?\s+\d|SCHEDULE\s|ANNEXE\s)')) AS contents,
+  count(*) FILTER (WHERE regexp_matches(t, '^[a-zà-ÿ][^–—.]{{1,44}}[–—][^–—.]{{1,44}}$')) AS terms, count(*) FILTER (WHERE regexp_matches(t, '^[A-Z][A-Za-z ,:&/-]{{3,60}}\s+\d{{1,2}}$')) AS divider FROM t GROUP BY ALL)
+SELECT doc_id AS document, page::INTEGER AS page, CASE WHEN toc >= greatest(3, n // 3) THEN 'toc' WHEN n >= 12 AND contents / n >= 0.5 THEN 'contents' WHEN n >= 12 AND terms / n >= 0.4 THEN 'term_index' WHEN n >= 8 AND divider / n >= 0.6 THEN 'divider' ELSE 'body' END AS kind,
+  (doc_id % 9) || '-' || page AS label, (page + 1)::VARCHAR AS part, 'Rules' AS part_title, false AS standalone, n::INTEGER AS n_lines FROM n"""
+
+
 def q57_bilingual_clauses(spark: SparkSession, d: str) -> DataFrame:
-    """Every document beside itself: the first half of a line in one language's column, the other in the other's."""
-    ship(spark)
-    lines = table(spark, d, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    words = F.slice(F.filter(F.split("line", " "), lambda w: w != ""), 1, 8)
-    head = F.array(F.concat((F.col("n") % 40 + 100).cast("string"), F.lit(".1")))
-    side = lambda left, part: F.transform(F.concat(head, part), lambda w, k: F.struct(w.alias("text"), (F.lit(left) + k * 44.0).alias("x0"), (F.lit(left) + k * 44.0 + 38.0).alias("x1")))
-    both = lines.withColumn("words", words).select("document", (F.col("n") / 40).cast("int").alias("page"), (F.col("n") % 40 * 14.0).alias("top"), (F.col("n") % 2 == 0).alias("bold"), F.inline(F.concat(side(40.0, F.slice("words", 1, 4)), side(330.0, F.slice("words", 5, 4)))))
-    return bilingual_clauses(both).select("document", "language", "seq", "section_number", "page_number", F.sha2("text", 256).alias("digest"))
+    """The first half of every visual line in one language's column, the second in the other's, both filled up to four words."""
+    filled = F.concat("w", F.array_repeat(F.lit("x"), F.lit(PER_LINE) - F.size("w")))
+    head = F.when(F.col("v") % 3 == 0, F.array(F.concat((F.col("v") % 40 + 100).cast("string"), F.lit(".1(2)")))).otherwise(F.array().cast("array<string>"))
+    side = lambda left, first: _set(F.concat(head, F.slice(filled, F.lit(first), F.lit(4))), left, 44.0, 38.0)
+    words = _laid(_visual(spark, d), "v", F.concat(side(40.0, 1), side(330.0, 5)), F.col("v") % 3 == 0)
+    return bilingual_clauses(words).select("document", "language", "seq", "section_number", "page_number", F.sha2("text", 256).alias("digest"), "error")
+
 
+Q57 = f"""WITH {_VISUAL}, f AS (SELECT doc_id, v, w || list_resize(['x', 'x', 'x', 'x', 'x', 'x', 'x'], {PER_LINE} - len(w)) AS w FROM v),
+s AS (SELECT doc_id, v, 'en' AS language, array_to_string(w[1:4], ' ') AS t FROM f UNION ALL SELECT doc_id, v, 'fr', array_to_string(w[5:8], ' ') FROM f),
+g AS (SELECT doc_id, language, v // 3 AS seq, string_agg(t, chr(10) ORDER BY v) AS body FROM s GROUP BY ALL)
+SELECT doc_id AS document, language, seq::INTEGER AS seq, (seq * 3 % 40 + 100) || '.1(2)' AS section_number, ((seq * 3) // {PER_PAGE})::INTEGER AS page_number, sha256({_CLEAN.format("body")}) AS digest, NULL::VARCHAR AS error FROM g"""
 
 QUERIES = [q56_page_facts, q57_bilingual_clauses, q48_near_column_linearise, q49_matrix_render, q50_clause_assembly]
-SQL: dict[str, str] = {}
+SQL = dict(zip([f.__name__ for f in QUERIES], [Q56, Q57, Q48, Q49, Q50], strict=True))
