@@ -11,7 +11,9 @@ import functools
 import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -310,17 +312,35 @@ def cover_rank(query: tuple[tuple[Term, ...], ...], title: str | None, body: str
         p = begin + 1
 
 
+def may_match(parsed: tuple[tuple[Term, ...], ...], text: Column) -> Column:
+    """Whether a text may match an English query: some alternative has the beginnings of all its words.
+
+    A word begins with its stem but for the stem's last letter; stems of fewer than four letters may come from
+    irregular words and are not asked for.
+    """
+    low = F.lower(text)
+    asked = [[x[:-1] for t in branch if not t.negated for x, _ in t.lexemes if len(x) > 3] for branch in parsed]
+    return reduce(or_, [reduce(and_, [F.contains(low, F.lit(x)) for x in words], F.lit(True)) for words in asked])
+
+
 def text_rank(title: Column, body: Column, query: str | None, french: bool = False) -> Column:
-    """Cover density of a title (null allowed) and a body; null without a match, and for queries without words."""
+    """Cover density of a title (null allowed) and a body; null without a match, and for queries without words.
+
+    English texts that cannot match do not go to Python.
+    """
     parsed = web_query(query, french)
     if not parsed:
         return F.lit(None).cast("double")
 
     @F.pandas_udf("double")
     def rank(titles: pd.Series, bodies: pd.Series) -> pd.Series:
-        return pd.Series([cover_rank(parsed, t, b, french) for t, b in zip(titles, bodies, strict=True)], dtype="float64")
+        return pd.Series([None if b is None else cover_rank(parsed, t, b, french) for t, b in zip(titles, bodies, strict=True)], dtype="float64")
 
-    return rank(title.cast("string"), body.cast("string"))
+    title, body = title.cast("string"), F.coalesce(body.cast("string"), F.lit(""))
+    if not french:
+        may = may_match(parsed, F.concat_ws(" ", title, body))
+        title, body = F.when(may, title), F.when(may, body)
+    return rank(title, body)
 
 
 def squashed(rank: Column) -> Column:

@@ -34,11 +34,12 @@ def names_section(section: Column, hint: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct trigrams of the lower-cased words, each padded by two spaces in front and one behind."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(padded, grams)))
+    """Distinct trigrams of the lower-cased words, each padded by two spaces in front and one behind.
+
+    Words stand three spaces apart, so one pattern reads every trigram and none that spans two words.
+    """
+    padded = F.concat(F.lit("  "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "   ")), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(r"(?=(  [^ ]| [^ ].|[^ ]{2}.))"), 1))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -64,15 +65,25 @@ def definition_term(body: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(quoted), F.lit("")), F.nullif(F.trim(means), F.lit("")), F.array_join(F.slice(F.split(F.trim(body), r"\s+"), 1, 6), " "))
 
 
-def _packed(parts: Column, limit: int, glue: str) -> Column:
-    """Parts joined greedily while they fit into ``limit`` characters; a single longer part stays whole."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+def _packed(parts: Column, limit: int, glue: str, least: int = 0) -> Column:
+    """Parts joined greedily while they fit into ``limit`` characters; a single longer part stays whole, a last piece shorter than ``least`` joins the one before.
+
+    The fold keeps where pieces start and how long the open one is; strings are joined once.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("now"), F.lit(0).alias("at"))
 
     def add(acc: Column, part: Column) -> Column:
-        over = (acc["now"] != "") & (F.length(acc["now"]) + len(glue) + F.length(part) > limit)
-        return F.when(over, F.struct(F.array_append(acc["done"], acc["now"]).alias("done"), part.alias("now"))).otherwise(F.struct(acc["done"].alias("done"), F.when(acc["now"] == "", part).otherwise(F.concat(acc["now"], F.lit(glue), part)).alias("now")))
+        n, opens = F.length(part), (acc["at"] == 0) | (acc["now"] + len(glue) + F.length(part) > limit)
+        return F.struct(F.when(opens, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"), F.when(opens, n).otherwise(acc["now"] + len(glue) + n).alias("now"), (acc["at"] + 1).alias("at"))
+
+    def joined(held: Column) -> Column:
+        starts, all_parts = held["f"]["starts"], held["p"]
+        stub = (F.size(starts) > 1) & (held["f"]["now"] < least)
+        begins = F.array_append(F.when(stub, F.slice(starts, F.lit(1), F.size(starts) - 1)).otherwise(starts), F.size(all_parts))
+        return F.zip_with(F.slice(begins, F.lit(1), F.size(begins) - 1), F.slice(begins, F.lit(2), F.size(begins) - 1), lambda a, b: F.array_join(F.slice(all_parts, a + 1, b - a), glue))
 
-    return F.aggregate(parts, start, add)
+    folded = lambda p: F.struct(p.alias("p"), F.aggregate(p, start, add).alias("f"))
+    return let(parts, lambda p: let(folded(p), joined))
 
 
 def sub_clauses(text: Column) -> Column:
@@ -89,19 +100,11 @@ def clause_pieces(text: Column, limit: int = MAX_CHUNK, least: int = MIN_CHUNK)
     """
 
     def block(b: Column) -> Column:
-        cut = _packed(F.split(b, r"(?<=[.;:])\s+(?=[A-Z(])"), limit, " ")
-        return F.when(F.length(b) <= limit, F.array(b)).otherwise(let(cut, lambda c: F.array_append(c["done"], c["now"])))
-
-    def ended(packed: Column) -> Column:
-        done, last = packed["done"], packed["now"]
-        stub = (F.size(done) > 0) & (F.length(last) < least)
-        joined = F.array_append(F.slice(done, 1, F.size(done) - 1), F.concat(F.element_at(done, -1), F.lit("\n"), last))
-        return F.when(stub, joined).otherwise(F.array_append(done, last))
+        return F.when(F.length(b) <= limit, F.array(b)).otherwise(_packed(F.split(b, r"(?<=[.;:])\s+(?=[A-Z(])"), limit, " "))
 
     def pieces(body: Column) -> Column:
-        parts = F.flatten(F.transform(sub_clauses(body), block))
         nothing = F.array().cast("array<string>")
-        return F.when(F.coalesce(body, F.lit("")) == "", nothing).when(F.length(body) <= limit, F.array(body)).otherwise(let(_packed(parts, limit, "\n"), ended))
+        return F.when(F.coalesce(body, F.lit("")) == "", nothing).when(F.length(body) <= limit, F.array(body)).otherwise(_packed(F.flatten(F.transform(sub_clauses(body), block)), limit, "\n", least))
 
     return let(strip(text), pieces)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.operators.store import decision
@@ -66,20 +66,20 @@ def failures(outcomes: DataFrame) -> DataFrame:
 
 
 def summary(outcomes: DataFrame) -> DataFrame:
-    """The report of a run as ordered lines (n, line): outcomes by id, language and status, then totals.
+    """The report of a run as lines (block, id, language, status, detail, k, line), in the order of these columns.
 
-    outcomes: id, language, status, clauses, chunks, upserted, deleted, detail. Reports are as long as the
-    registry, one or two lines a source, so they are numbered in a single partition.
+    outcomes: id, language, status, clauses, chunks, upserted, deleted, detail. Block 0 is the head, block 1 has a line
+    or two for every source, block 2 the totals. Lines carry the order instead of a number, so none needs a task of all.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
     row = F.format_string(ROW, text("id"), text("language"), text("status"), count("clauses"), count("chunks"), count("upserted"), count("deleted"))
     lines = F.when(F.coalesce("detail", F.lit("")) != "", F.array(row, F.concat(F.lit("    -> "), F.col("detail")))).otherwise(F.array(row))
-    order = Window.orderBy("id", "language", "status", "detail")
-    body = outcomes.select(F.row_number().over(order).alias("i"), lines.alias("lines")).select((F.col("i") + 10).alias("i"), F.posexplode("lines").alias("k", "line"))
+    named = ("id", "language", "status", "detail")
+    body = outcomes.select(F.lit(1).alias("block"), *[F.col(c).cast("string").alias(c) for c in named], F.posexplode(lines).alias("k", "line"))
+    framed = lambda df, block, lines: df.select(F.lit(block).alias("block"), *[F.lit(None).cast("string").alias(c) for c in named], F.posexplode(lines).alias("k", "line"))
     bar, rule = "=" * WIDTH, "-" * WIDTH
     total = F.format_string("%d source(s): %d chunks written, %d unchanged, %d failed", F.count("*"), F.coalesce(F.sum("upserted"), F.lit(0)), F.count_if(F.col("status") == "unchanged"), F.count_if(F.col("status").isin(*FAILED)))
-    last = outcomes.agg(total.alias("t")).select(F.lit(1 << 30).alias("i"), F.posexplode(F.array(F.lit(bar), "t")).alias("k", "line"))
-    top = outcomes.sparkSession.range(1).select(F.lit(0).alias("i"), F.posexplode(F.array(*[F.lit(x) for x in ("", bar, "INGESTION SUMMARY", bar, ROW % HEAD, rule)])).alias("k", "line"))
-    everything = top.unionByName(body).unionByName(last)
-    return everything.select(F.row_number().over(Window.orderBy("i", "k")).alias("n"), "line")
+    last = framed(outcomes.agg(total.alias("t")), 2, F.array(F.lit(bar), "t"))
+    top = framed(outcomes.sparkSession.range(1), 0, F.array(*[F.lit(x) for x in ("", bar, "INGESTION SUMMARY", bar, ROW % HEAD, rule)]))
+    return top.unionByName(body).unionByName(last)

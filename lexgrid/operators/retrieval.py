@@ -25,13 +25,16 @@ def match(chunks: DataFrame, vector: list[float], tenant: str, language: str | N
     return hits.where(F.col("similarity") > threshold).orderBy(F.col("similarity").desc(), "id").limit(count)
 
 
-def tier_scores(content: Column, section: Column, question: str, hint: str | None) -> Column:
-    """Best of the tiers exact section, section prefix and trigram similarity, in one pass over the row; null without a match."""
+def tier_scores(content: Column, section: Column, question: str, hint: str | None, more: Column | None = None) -> Column:
+    """Best of the tiers exact section (1.00), section prefix (0.90), ``more`` below 0.80 and trigram similarity, in one pass over the row.
+
+    Null without a match. Texts are looked at only where the section doesn't decide.
+    """
     sim = similarity(trigrams(content), trigrams(F.lit(question)))
-    tiers = [F.when(sim >= TRIGRAM_FLOOR, sim * 0.5)]
-    if hint:
-        tiers += [F.when(section == hint, F.lit(1.0)), F.when(names_section(section, F.lit(hint)) & (section != hint), F.lit(0.9))]
-    return F.greatest(*tiers, F.lit(None).cast("double"))
+    by_text = F.greatest(*([more] if more is not None else []), F.when(sim >= TRIGRAM_FLOOR, sim * 0.5), F.lit(None).cast("double"))
+    if not hint:
+        return by_text
+    return F.when(section == hint, F.lit(1.0)).when(names_section(section, F.lit(hint)), F.lit(0.9)).otherwise(by_text)
 
 
 def keyword_search(chunks: DataFrame, question: str, tenant: str, language: str | None = None, hint: str | None = None, count: int = COUNT, full_text: bool = False) -> DataFrame:
@@ -41,11 +44,11 @@ def keyword_search(chunks: DataFrame, question: str, tenant: str, language: str
     above the body. Blank questions leave the tiers of the hint.
     """
     hits = scoped(chunks, tenant, language)
-    rank = tier_scores(F.col("chunk_content"), F.col("section_number"), question, hint)
+    more = None
     if full_text:
         title = F.col("section_title") if "section_title" in chunks.columns else F.lit(None).cast("string")
-        rank = F.greatest(rank, squashed(text_rank(title, F.col("chunk_content"), question, language == "fr")))
-    hits = hits.withColumn("rank", rank)
+        more = squashed(text_rank(title, F.col("chunk_content"), question, language == "fr"))
+    hits = hits.withColumn("rank", tier_scores(F.col("chunk_content"), F.col("section_number"), question, hint, more))
     return hits.where(F.col("rank").isNotNull()).orderBy(F.col("rank").desc(), "section_number", "id").limit(count)
 
 

@@ -232,12 +232,15 @@ SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replac
 
 
 def q33_definition_term(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a definition: its first word in guillemets, before 'means', or neither."""
+    first = F.regexp_extract("text", r"([\p{L}\p{N}]{1,40})", 1)
     form = F.col("doc_id") % 3
-    body = F.when(form == 0, F.concat(F.lit("« "), F.substring("text", 1, 20), F.lit(" » "), F.col("text"))).when(form == 1, F.concat(F.substring("text", 1, 15), F.lit(" means "), F.col("text"))).otherwise(F.col("text"))
-    return table(spark, d, "documents").where(~F.substring("text", 1, 20).rlike("[\n»\"”]")).select("doc_id", definition_term(body).alias("term"))
+    body = F.when(form == 0, F.concat(F.lit("« "), first, F.lit(" » "), F.col("text"))).when(form == 1, F.concat(first, F.lit(" means "), F.col("text"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", definition_term(body).alias("term"))
 
 
-Q33 = r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '« ' || substr(text, 1, 20) || ' » ' || text WHEN 1 THEN substr(text, 1, 15) || ' means ' || text ELSE text END AS b FROM documents WHERE NOT regexp_matches(substr(text, 1, 20), '[\n»"”]'))
+Q33 = r"""WITH f AS (SELECT doc_id, text, regexp_extract(text, '([\p{L}\p{N}]{1,40})', 1) AS first FROM documents),
+t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '« ' || first || ' » ' || text WHEN 1 THEN first || ' means ' || text ELSE text END AS b FROM f)
 SELECT doc_id, coalesce(nullif(trim(regexp_extract(b, '^[«"“]\s*(.{1,80}?)\s*[»"”]', 1)), ''), nullif(trim(regexp_extract(b, '^(.{1,80}?)\s+means\b', 1)), ''), array_to_string(regexp_split_to_array(trim(b), '\s+')[1:6], ' ')) AS term FROM t"""
 
 

@@ -43,11 +43,11 @@ def q59_run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOP = ", ".join(f"({i}, '{line}')" for i, line in enumerate(["", "=" * WIDTH, "INGESTION SUMMARY", "=" * WIDTH, ROW % HEAD, "-" * WIDTH]))
-Q59 = f"""WITH {_OUTCOMES}, b AS (SELECT 10 + row_number() OVER (ORDER BY id, language, status, detail NULLS FIRST) AS i, * FROM o), l AS (
-  SELECT * FROM (VALUES {_TOP}) t(i, line) UNION ALL SELECT i, printf('{ROW}', id, language, status, clauses::VARCHAR, chunks::VARCHAR, upserted::VARCHAR, deleted::VARCHAR) FROM b
-  UNION ALL SELECT i + 0.5, '    -> ' || detail FROM b WHERE detail IS NOT NULL UNION ALL SELECT 1000000000, '{"=" * WIDTH}'
-  UNION ALL SELECT 1000000001, count(*) || ' source(s): ' || sum(upserted) || ' chunks written, ' || count(*) FILTER (WHERE status = 'unchanged') || ' unchanged, ' || count(*) FILTER (WHERE status IN ('error', 'source_gone', 'not_a_document')) || ' failed' FROM o)
-SELECT CAST(row_number() OVER (ORDER BY i) AS INTEGER) AS n, line FROM l"""
+Q59 = f"""WITH {_OUTCOMES}, t AS (SELECT count(*) || ' source(s): ' || sum(upserted) || ' chunks written, ' || count(*) FILTER (WHERE status = 'unchanged') || ' unchanged, ' || count(*) FILTER (WHERE status IN ('error', 'source_gone', 'not_a_document')) || ' failed' AS line FROM o)
+SELECT 0 AS block, NULL::VARCHAR AS id, NULL::VARCHAR AS language, NULL::VARCHAR AS status, NULL::VARCHAR AS detail, k, line FROM (VALUES {_TOP}) t(k, line)
+UNION ALL SELECT 1, id, language, status, detail, 0, printf('{ROW}', id, language, status, clauses::VARCHAR, chunks::VARCHAR, upserted::VARCHAR, deleted::VARCHAR) FROM o
+UNION ALL SELECT 1, id, language, status, detail, 1, '    -> ' || detail FROM o WHERE detail IS NOT NULL
+UNION ALL SELECT 2, NULL, NULL, NULL, NULL, 0, '{"=" * WIDTH}' UNION ALL SELECT 2, NULL, NULL, NULL, NULL, 1, line FROM t"""
 
 
 def q60_source_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -120,15 +120,14 @@ def _provider():
 
 
 def q64_embed_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of the first lines of documents: how many have one, and that they are of unit length."""
+    """Vectors of whole documents: how many have one, and that they are of unit length."""
     ship(spark)
-    line = F.regexp_extract("text", r"^([^\n]*)", 1)
-    rows = embed_documents(table(spark, d, "documents").select("lang", line.alias("line")), "line", _provider, 64)
+    rows = embed_documents(table(spark, d, "documents").select("lang", "text"), "text", _provider, 64)
     norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4)
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count("embedding").alias("embedded"), F.count_if(norm == 1).alias("unit"))
 
 
-Q64 = "SELECT lang, count(*) AS n, count(*) FILTER (WHERE trim(regexp_extract(text, '^([^\n]*)', 1)) <> '') AS embedded, count(*) FILTER (WHERE trim(regexp_extract(text, '^([^\n]*)', 1)) <> '') AS unit FROM documents GROUP BY 1"
+Q64 = "SELECT lang, count(*) AS n, count(*) FILTER (WHERE trim(text, E' \\n\\t\\r') <> '') AS embedded, count(*) FILTER (WHERE trim(text, E' \\n\\t\\r') <> '') AS unit FROM documents GROUP BY 1"
 
 
 def q65_store_layout(spark: SparkSession, d: str) -> DataFrame:

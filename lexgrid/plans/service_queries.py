@@ -88,13 +88,13 @@ def q41_context_block(spark: SparkSession, d: str) -> DataFrame:
     top = chunks(spark, d).withColumn("position", F.row_number().over(w)).where("position <= 3")
     citation = F.format_string("[%s - %s, Section %s]", "municipality_id", "language", "section_number")
     title = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Title "), F.col("id").cast("string")))
-    passage = F.struct("position", citation.alias("citation"), title.alias("title"), F.when(F.col("id") % 5 != 0, F.col("page_number")).alias("page"), F.left("chunk_content", F.lit(200)).alias("content"))
+    passage = F.struct("position", citation.alias("citation"), title.alias("title"), F.when(F.col("id") % 5 != 0, F.col("page_number")).alias("page"), F.col("chunk_content").alias("content"))
     return top.groupBy("municipality_id", "language").agg(context(F.collect_list(passage)).alias("context"))
 
 
 Q41 = f"""WITH {CHUNKS_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY municipality_id, language ORDER BY id) AS position FROM chunks QUALIFY position <= 3)
 SELECT municipality_id, language, string_agg('[Passage ' || position || '] CITE AS: [' || municipality_id || ' - ' || language || ', Section ' || section_number || ']' || CASE WHEN id % 2 = 0 THEN chr(10) || 'Section title: Title ' || id ELSE '' END
-  || CASE WHEN id % 5 <> 0 THEN chr(10) || 'Page: ' || page_number ELSE '' END || chr(10) || left(chunk_content, 200), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS context FROM t GROUP BY ALL"""
+  || CASE WHEN id % 5 <> 0 THEN chr(10) || 'Page: ' || page_number ELSE '' END || chr(10) || chunk_content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS context FROM t GROUP BY ALL"""
 
 
 def q42_prompt_disclaimer(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ def q42_prompt_disclaimer(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     verified = F.when(F.col("quality") == 1, F.to_date(F.lit("2024-05-01")))
     note = disclaimer(F.col("lang"), verified)
-    answer = F.when(F.col("doc_id") % 4 == 0, F.concat(F.left("text", F.lit(50)), note)).when(F.col("doc_id") % 4 == 1, F.when(F.col("lang") == "fr", FALLBACK["fr"]).otherwise(FALLBACK["en"])).otherwise(F.left("text", F.lit(50)))
+    answer = F.when(F.col("doc_id") % 4 == 0, F.concat(F.col("text"), note)).when(F.col("doc_id") % 4 == 1, F.when(F.col("lang") == "fr", FALLBACK["fr"]).otherwise(FALLBACK["en"])).otherwise(F.col("text"))
     full = F.when(has_disclaimer(answer), answer).otherwise(F.concat(answer, note))
     gate = F.when(F.col("quality").isNull(), 404).when(F.col("quality") == 0, 409).otherwise(200)
     return t.select("doc_id", F.sha2(full, 256).alias("digest"), has_disclaimer(answer).alias("had"), gate.alias("status"))
@@ -114,7 +114,7 @@ def _quote(x: str) -> str:
 
 _NOTE = f"CASE WHEN quality = 1 THEN replace(CASE WHEN lang = 'fr' THEN {_quote(VERIFIED['fr'])} ELSE {_quote(VERIFIED['en'])} END, '{{verified_on}}', '2024-05-01') WHEN lang = 'fr' THEN {_quote(UNVERIFIED['fr'])} ELSE {_quote(UNVERIFIED['en'])} END"
 Q42 = f"""WITH t AS (SELECT d.*, quality, {_NOTE} AS note FROM documents d LEFT JOIN labels USING (doc_id)),
-a AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN left(text, 50) || note WHEN 1 THEN CASE WHEN lang = 'fr' THEN {_quote(FALLBACK['fr'])} ELSE {_quote(FALLBACK['en'])} END ELSE left(text, 50) END AS answer FROM t)
+a AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN text || note WHEN 1 THEN CASE WHEN lang = 'fr' THEN {_quote(FALLBACK['fr'])} ELSE {_quote(FALLBACK['en'])} END ELSE text END AS answer FROM t)
 SELECT doc_id, sha256(CASE WHEN contains(answer, '*Disclaimer:') OR contains(answer, '*Avis :') THEN answer ELSE answer || note END) AS digest, contains(answer, '*Disclaimer:') OR contains(answer, '*Avis :') AS had,
 CASE WHEN quality IS NULL THEN 404 WHEN quality = 0 THEN 409 ELSE 200 END::INTEGER AS status FROM a"""
 

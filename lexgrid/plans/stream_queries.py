@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrid.functions.answer import logged
 from lexgrid.session import ship
 from lexgrid.streaming.streams import drain, event_frames, read_table, sliding_limiter, throttle
 
@@ -47,12 +48,14 @@ Q53 = "SELECT conv_id AS connection, role AS event, count(*) AS frames, sum(leng
 
 
 def q54_stream_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Questions appended to an audit table as they come, long ones cut."""
-    c = read_table(spark, d, "conversations").where("role = 'user'")
-    return drain(c.select("conv_id", "turn", F.left("text", F.lit(100)).alias("user_query"), (F.col("conv_id") % 3 == 0).alias("was_fallback")))
+    """Questions and answers appended to an audit table as they come; answers beyond the logged length are cut, and some are that long here."""
+    c = read_table(spark, d, "conversations")
+    answer = F.when(F.col("role") != "user", logged(F.repeat("text", 40)))
+    return drain(c.select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("user_query"), answer.alias("response_text"), (F.col("conv_id") % 3 == 0).alias("was_fallback")))
 
 
-Q54 = "SELECT conv_id, turn, left(text, 100) AS user_query, conv_id % 3 = 0 AS was_fallback FROM conversations WHERE role = 'user'"
+Q54 = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN text END AS user_query, CASE WHEN role <> 'user' THEN CASE WHEN length(text) * 40 > 20000 THEN left(repeat(text, 40), 20000) || '... [truncated]' ELSE repeat(text, 40) END END AS response_text,
+conv_id % 3 = 0 AS was_fallback FROM conversations"""
 
 QUERIES = [q51_stream_throttle, q52_stream_sliding_limiter, q53_stream_event_frames, q54_stream_audit]
 SQL = {"q51_stream_throttle": Q51, "q52_stream_sliding_limiter": Q52, "q53_stream_event_frames": Q53, "q54_stream_audit": Q54}

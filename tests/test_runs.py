@@ -63,7 +63,7 @@ def test_selection(spark):
 
 def test_summary_of_nothing(spark):
     none = spark.createDataFrame([], "id string, language string, status string, clauses long, chunks long, upserted long, deleted long, detail string")
-    assert summary(none).orderBy("n").collect()[-1]["line"] == "0 source(s): 0 chunks written, 0 unchanged, 0 failed"
+    assert summary(none).orderBy("block", "k").collect()[-1]["line"] == "0 source(s): 0 chunks written, 0 unchanged, 0 failed"
     assert failures(none).first()["exit_code"] == 0
     assert failures(none.sparkSession.createDataFrame([("error",), (None,)], "status string")).first().asDict() == {"sources": 2, "failed": 1, "exit_code": 1}
 
