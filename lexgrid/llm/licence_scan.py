@@ -54,8 +54,8 @@ OTHER = (
 #: Other licences, for the unknown class; drawn into the place of a family's own words.
 OTHER_NAMES = ("Artistic", "Open Font", "PostgreSQL", "Ruby", "Python", "Common Development", "Vim", "Sleepycat", "OpenSSL", "Academic Free", "Elastic", "Server Side Public", "Business Source", "Commons Clause", "Mulan", "Ms-PL", "WTFPL", "EUPL", "CDDL", "OFL", "company", "city", "vendor", "third party", "standard", "new", "same", "following")
 CUES = r"(?i)licen[cs]|copyright|all rights reserved|redistribut|permission|public domain|creative commons|without warrant|\bcc0|\bcc by|\bgpl|\bagpl|\blgpl|\bspdx"
-#: Every cue in lower case holds one of these, so texts without them are passed over by plain search.
-CUE_PARTS = ("licen", "copyright", "all rights reserved", "redistribut", "permission", "public domain", "creative commons", "without warrant", "cc0", "cc by", "gpl", "spdx")
+#: Every cue in lower case holds one of these, on whatever lines its words are, so texts without them are passed over by plain search.
+CUE_PARTS, CUE_PATTERN = ("licen", "copyright", "reserved", "redistribut", "permission", "domain", "commons", "warrant", "cc0", "gpl", "spdx"), r"cc\s+by"
 #: Line ends between paragraphs: after a sentence, before an empty line, after an empty line.
 _BREAK = r"(?<=[.!?][\"'”’)\]]{0,2}[ \t\r]{0,3})\n|\n(?=[ \t\r]*(?:\n|$))|(?<=\n[ \t\r]{0,9})\n"
 UNKNOWN, CONFIRMED, SURE, SEED = "unknown", 0.6, 0.5, 7
@@ -139,8 +139,8 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 def paragraphs(documents: DataFrame) -> DataFrame:
     """doc_id, paragraph (the number of its first line), lines, words of every paragraph with a cue."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    low = F.translate(F.lower("text"), "\n", " ")
-    rows = rows.where(functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(c)) for c in CUE_PARTS]))
+    cued_at_all = lambda low: functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(c)) for c in CUE_PARTS]) | low.rlike(CUE_PATTERN)
+    rows = rows.where(F.exists(F.array(F.lower("text")), cued_at_all))
     parts = rows.select("doc_id", F.split("text", _BREAK).alias("parts"))
     sizes = F.transform("parts", lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 1)
     cued = F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("i"), F.regexp_replace(p, r"\s+", " ").alias("text"))), lambda x: x["text"].rlike(CUES))

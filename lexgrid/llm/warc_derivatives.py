@@ -41,14 +41,14 @@ def _entities(text: Column) -> Column:
     """Character references by name, decimal or hexadecimal number, in one pass; unknown ones stay as they are."""
     names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
 
-    def one(part: Column, i: Column) -> Column:
-        ref = F.regexp_extract(part, _REFERENCE, 1)
+    def one(x: Column, i: Column) -> Column:
+        part, ref = x["part"], x["ref"]
         code = F.when(ref.rlike("^#[xX]"), F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2)))
-        char = F.when(ref.startswith("#"), _character(code.cast("long"))).when(ref != "", F.try_element_at(names, ref))
-        read = F.coalesce(F.concat(char, F.substr(part, F.length(ref) + 2)), F.concat(F.lit("&"), part))
-        return F.when(i == 0, part).otherwise(read)
+        char = F.when(ref.startswith("#"), _character(code.cast("long"))).otherwise(F.try_element_at(names, ref))
+        return F.when(i == 0, part).otherwise(F.coalesce(F.when(ref != "", F.concat(char, F.substr(part, F.length(ref) + 2))), F.concat(F.lit("&"), part)))
 
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
+    parts = F.transform(F.split(text, "&"), lambda p: F.struct(p.alias("part"), F.regexp_extract(p, _REFERENCE, 1).alias("ref")))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
