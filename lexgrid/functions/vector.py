@@ -17,3 +17,8 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Null where a vector is null or zero."""
     return F.try_divide(dot(a, b), norm(a) * norm(b))
+
+
+def filled(width: int, value: float, *first: float) -> Column:
+    """A constant vector that begins with other numbers: for checks of a store."""
+    return F.concat(F.array(*map(F.lit, map(float, first))).cast("array<float>"), F.array_repeat(F.lit(value).cast("float"), width - len(first)))

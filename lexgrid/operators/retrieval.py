@@ -57,12 +57,13 @@ def fuse(lists: DataFrame, weights: dict[int, float] | None = None, k: int = RRF
 
     Scores add up weight / (k + position) over all places. The row kept for an id is the first seen, unless
     a later one has a strictly stronger signal; then a missing or zero signal is filled from the row it
-    replaces. Order: score, strongest signal, first seen.
+    replaces. Order: score, strongest signal, first seen; both to 12 places. A list without a weight among ``weights`` is an error.
     """
     weight = F.lit(1.0)
     if weights is not None:
-        weight = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))]), F.col("list"))
-    raw = F.greatest(F.coalesce("similarity", F.lit(0.0)), F.coalesce("rank", F.lit(0.0)))
+        given = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
+        weight = F.coalesce(F.try_element_at(given, F.col("list")), F.raise_error(F.concat(F.lit("no weight for list "), F.col("list").cast("string"))).cast("double"))
+    raw = F.round(F.greatest(F.coalesce("similarity", F.lit(0.0)), F.coalesce("rank", F.lit(0.0))), 12)
     seen = F.sort_array(F.collect_list(F.struct("list", "position", raw.alias("raw"), "similarity", "rank")))
     or_ = lambda a, b: F.coalesce(F.nullif(a, F.lit(0.0)), b)
     best = F.aggregate(F.slice("seen", 2, F.size("seen")), F.element_at("seen", 1), lambda kept, new: F.when(new["raw"] > kept["raw"], F.struct(kept["list"].alias("list"), kept["position"].alias("position"), F.greatest(new["raw"], kept["raw"]).alias("raw"), or_(new["similarity"], kept["similarity"]).alias("similarity"), or_(new["rank"], kept["rank"]).alias("rank"))).otherwise(kept))

@@ -8,15 +8,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upsert(current: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """New rows replace current ones of equal key; columns in ``keep`` hold on to the current value where there is one."""
+def upsert(current: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = (), fill: tuple[str, ...] = ()) -> DataFrame:
+    """New rows replace current ones of equal key.
+
+    Columns in ``keep`` hold on to the current value where there is one; those in ``fill`` take the new value unless
+    it is null or empty, and then keep the current one.
+    """
     replaced = new
-    if keep:
-        old = current.select(*key, *[F.col(c).alias(f"_{c}") for c in keep])
-        replaced = new.join(old, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in keep}).drop(*[f"_{c}" for c in keep])
+    if keep or fill:
+        old = current.select(*key, *[F.col(c).alias(f"_{c}") for c in (*keep, *fill)])
+        merged = {c: F.coalesce(f"_{c}", c) for c in keep} | {c: F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c)), F.col(f"_{c}")) for c in fill}
+        replaced = new.join(old, key, "left").withColumns(merged).drop(*[f"_{c}" for c in (*keep, *fill)])
     return current.join(new.select(*key), key, "left_anti").unionByName(replaced)
 
 
+def replace_document(current: DataFrame, new: DataFrame, key: list[str], document: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """The store after a document was read anew: its rows upserted, then those of it that no longer come removed.
+
+    A document is named by the columns ``document``; without new rows nothing is removed, as nothing was read.
+    """
+    after = upsert(current, new, key, keep)
+    gone = orphans(current.join(new.select(*document).distinct(), document, "left_semi"), new, key)
+    return after.join(gone.select(*key), key, "left_anti")
+
+
 def insert_missing(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Seeds: rows whose key is there already change nothing."""
     return current.unionByName(new.join(current.select(*key), key, "left_anti"))

@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexgrid.functions.text import clause_pieces, clean_text, definition_term, token_estimate
+from lexgrid.operators.chunking import chunk_clauses
 from lexgrid.operators.store import decision, orphans, pending, upsert
+from lexgrid.sources.embedding import INPUTS, batch_budget
 from lexgrid.sources.tables import CHUNKS_SQL, chunks, table
 
 
+#: Ids of a stretch, and the tokens of a batch under the default rates.
+STRETCH, BUDGET = 9600, batch_budget(100_000, 10_000, 3)
+
+
 def _marked(text):
     """The driver's prose with clause markers before some of its lines, so that sub-clauses can be cut."""
     return F.regexp_replace(F.regexp_replace(text, r"\n([A-M])", "\n(a) $1"), r"\n([N-Z])", "\n  (iv)  $1")
@@ -49,32 +55,36 @@ def q17_chunk_split(spark: SparkSession, d: str) -> DataFrame:
 Q17 = f"WITH {_SPLIT} SELECT doc_id, len(pieces)::BIGINT AS n, i - 1 AS part, length(pieces[i])::BIGINT AS chars, sha256(pieces[i]) AS digest FROM (SELECT doc_id, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM pieces)"
 
 
+def _clauses(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as clauses: some with a part, a parent, a label, amendments."""
+    n, text = F.col("id"), lambda x: F.lit(x).cast("string")
+    some = lambda when, value: F.when(when, value)
+    c = chunks(spark, d).withColumns({"text": _marked(F.col("chunk_content")), "province_code": F.lit("NB"), "municipality_name": F.col("municipality_id"), "bylaw_name": F.col("language"), "section_title": text(None), "source_url": some(n % 2 == 0, text("https://x/\"a\"")), "document_version": text(None)})
+    return c.withColumns({"page_label": some(n % 5 == 0, F.concat(F.lit("8-"), n.cast("string"))), "part_number": some(n % 3 == 0, text("8")), "part_title": some(n % 3 == 0, text("Zones")), "parent_number": some(n % 7 == 0, text("8.1")), "parent_title": some(n % 7 == 0, text("Uses")), "amendments": some(n % 11 == 0, F.array(F.lit("Z-5.1"), F.lit("Z-5.2")))}).drop("chunk_content")
+
+
 def q18_chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     """Chunk contents with their header; chunk_index counts within (tenant, language, section)."""
-    c = chunks(spark, d).drop("chunk_content").join(_pieces(spark, d).select(F.col("doc_id").alias("id"), "pieces"), "id")
-    each = c.select("*", F.size("pieces").alias("n"), F.posexplode("pieces").alias("part", "piece"))
-    index = F.row_number().over(Window.partitionBy("municipality_id", "language", "section_number").orderBy("id", "part")) - 1
-    marker = F.when(F.col("n") > 1, F.format_string(" (part %d of %d)", F.col("part") + 1, F.col("n"))).otherwise("")
-    content = F.concat(F.format_string("[Province: NB] [Municipality: %s] [Bylaw: %s]\nSection %s", "municipality_id", "language", "section_number"), marker, F.lit(":\n"), F.col("piece"))
-    return each.select("id", F.col("part").cast("long").alias("part"), index.cast("long").alias("chunk_index"), F.sha2(content, 256).alias("fingerprint"))
+    made = chunk_clauses(_clauses(spark, d), order=("id",))
+    return made.select("id", (F.col("part") - 1).cast("long").alias("part"), F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("chunk_content", 256).alias("fingerprint"))
 
 
 Q18 = f"""WITH {CHUNKS_SQL}, {_SPLIT}, e AS (SELECT doc_id, len(pieces) AS n, i, pieces[i] AS piece FROM (SELECT doc_id, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM pieces))
 SELECT id, i - 1 AS part, row_number() OVER (PARTITION BY municipality_id, language, section_number ORDER BY id, i) - 1 AS chunk_index,
-       sha256('[Province: NB] [Municipality: ' || municipality_id || '] [Bylaw: ' || language || ']' || chr(10) || 'Section ' || section_number || CASE WHEN n > 1 THEN ' (part ' || i || ' of ' || n || ')' ELSE '' END || ':' || chr(10) || piece) AS fingerprint
+       sha256('[Province: NB] [Municipality: ' || municipality_id || '] [Bylaw: ' || language || ']' || CASE WHEN id % 3 = 0 THEN ' [Part 8: Zones]' ELSE '' END || CASE WHEN id % 7 = 0 THEN ' [8.1 Uses]' ELSE '' END || chr(10) || 'Section ' || section_number || CASE WHEN n > 1 THEN ' (part ' || i || ' of ' || n || ')' ELSE '' END || ':' || chr(10) || piece) AS fingerprint
 FROM chunks JOIN e ON id = doc_id"""
 
 
 def q19_chunk_metadata_json(spark: SparkSession, d: str) -> DataFrame:
-    """Metadata as JSON with optional keys only where they apply, read back by key."""
-    base = F.create_map(F.lit("page"), F.col("page_number").cast("string"), F.lit("language"), F.col("language"))
-    optional = F.map_filter(F.create_map(F.lit("part"), F.when(F.col("id") % 3 == 0, F.col("section_number")), F.lit("table"), F.when(F.col("id") % 7 == 0, F.lit("yes"))), lambda k, v: v.isNotNull())
-    json = F.to_json(F.map_concat(base, optional))
-    return chunks(spark, d).select("id", F.get_json_object(json, "$.page").alias("page"), F.get_json_object(json, "$.part").alias("part"), F.get_json_object(json, "$.table").alias("is_table"), F.size(F.json_object_keys(json)).cast("long").alias("n_keys"))
+    """Metadata as JSON, its nine keys there even if null and others only where they apply, read back by key."""
+    made = chunk_clauses(_clauses(spark, d), order=("id",))
+    read = lambda key: F.get_json_object("metadata", f"$.{key}").alias(key)
+    return made.select("id", F.col("part").cast("long").alias("n"), read("section"), read("page"), read("url"), read("part_title"), read("parent_section"), read("amendments"), read("page_label"), read("chunk_parts"), F.size(F.json_object_keys("metadata")).cast("long").alias("n_keys"))
 
 
-Q19 = f"""WITH {CHUNKS_SQL} SELECT id, CAST(page_number AS VARCHAR) AS page, CASE WHEN id % 3 = 0 THEN section_number END AS part, CASE WHEN id % 7 = 0 THEN 'yes' END AS is_table,
-(2 + (id % 3 = 0)::INT + (id % 7 = 0)::INT)::BIGINT AS n_keys FROM chunks"""
+Q19 = f"""WITH {CHUNKS_SQL}, {_SPLIT}, e AS (SELECT doc_id, len(pieces) AS parts, i FROM (SELECT doc_id, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM pieces))
+SELECT id, i AS n, section_number AS section, page_number::VARCHAR AS page, CASE WHEN id % 2 = 0 THEN 'https://x/"a"' END AS url, CASE WHEN id % 3 = 0 THEN 'Zones' END AS part_title, CASE WHEN id % 7 = 0 THEN '8.1' END AS parent_section, CASE WHEN id % 11 = 0 THEN '["Z-5.1","Z-5.2"]' END AS amendments,
+  CASE WHEN id % 5 = 0 THEN '8-' || id END AS page_label, CASE WHEN parts > 1 THEN parts::VARCHAR END AS chunk_parts, 9 + 2 * (id % 3 = 0)::BIGINT + 2 * (id % 7 = 0)::BIGINT + (id % 11 = 0)::BIGINT + (id % 5 = 0)::BIGINT + 2 * (parts > 1)::BIGINT AS n_keys FROM chunks JOIN e ON id = doc_id"""
 
 
 def q20_fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -245,27 +255,31 @@ SELECT doc_id, coalesce(nullif(trim(regexp_extract(b, '^[«"“]\s*(.{1,80}?)\s*
 
 
 def q34_token_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of a tenant packed in order under 16 inputs and 2833 estimated tokens a batch.
+    """Chunks of a tenant in slices of 96 in order, and every slice in batches of at most 2833 estimated tokens.
 
-    The fold runs inside a row per stretch of 256 chunks; a stretch starts its own batch, so no list grows with the tenant.
+    Slices are numbered within stretches of ids, so that no window holds a tenant; the fold runs inside a row per slice.
     """
-    c = chunks(spark, d).select("municipality_id", F.floor(F.col("id") / 256).alias("stretch"), "id", token_estimate(F.col("chunk_content")).alias("tokens"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("batches"), F.lit(0).cast("long").alias("most"))
+    of = Window.partitionBy("municipality_id", "stretch").orderBy("id")
+    c = chunks(spark, d).select("municipality_id", F.floor(F.col("id") / STRETCH).alias("stretch"), "id", token_estimate(F.col("chunk_content")).alias("tokens"))
+    sliced = c.withColumn("slice", F.floor((F.row_number().over(of) - 1) / INPUTS))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("batches"), F.lit(0).cast("long").alias("most"))
 
     def add(a, x):
-        new = ((a["n"] > 0) & (a["sum"] + x["tokens"] > 2833)) | (a["n"] >= 16)
+        new = (a["batches"] == 0) | (a["sum"] + x["tokens"] > BUDGET)
         total = F.when(new, x["tokens"]).otherwise(a["sum"] + x["tokens"])
-        return F.struct(F.when(new, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), total.alias("sum"), (a["batches"] + (new | (a["n"] == 0)).cast("long")).alias("batches"), F.greatest(a["most"], total).alias("most"))
+        return F.struct(total.alias("sum"), (a["batches"] + new.cast("long")).alias("batches"), F.greatest(a["most"], total).alias("most"))
 
-    folded = c.groupBy("municipality_id", "stretch").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("id", "tokens"))), start, add).alias("f"), F.sum("tokens").alias("tokens"))
-    return folded.select("municipality_id", "stretch", "tokens", F.col("f.batches").alias("batches"), F.col("f.most").alias("most"))
+    folded = sliced.groupBy("municipality_id", "stretch", "slice").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("id", "tokens"))), start, add).alias("f"), F.sum("tokens").alias("tokens"), F.count("*").alias("inputs"))
+    return folded.select("municipality_id", "stretch", "slice", "tokens", "inputs", F.col("f.batches").alias("batches"), F.col("f.most").alias("most"))
 
 
-Q34 = """WITH RECURSIVE c AS (SELECT source AS m, doc_id // 256 AS st, floor(length(text) / 3.5)::BIGINT + 1 AS t, row_number() OVER (PARTITION BY source, doc_id // 256 ORDER BY doc_id) AS i FROM documents),
-r AS (SELECT m, st, i, 1::BIGINT AS n, t AS s, 1::BIGINT AS b, t AS most FROM c WHERE i = 1
-  UNION ALL SELECT c.m, c.st, c.i, CASE WHEN s + t > 2833 OR n >= 16 THEN 1 ELSE n + 1 END, CASE WHEN s + t > 2833 OR n >= 16 THEN t ELSE s + t END, b + CASE WHEN s + t > 2833 OR n >= 16 THEN 1 ELSE 0 END, greatest(most, CASE WHEN s + t > 2833 OR n >= 16 THEN t ELSE s + t END)
-  FROM r JOIN c ON c.m = r.m AND c.st = r.st AND c.i = r.i + 1)
-SELECT m AS municipality_id, st AS stretch, (SELECT sum(t)::BIGINT FROM c WHERE c.m = r.m AND c.st = r.st) AS tokens, max(b) AS batches, max(most) AS most FROM r GROUP BY m, st"""
+Q34 = f"""WITH RECURSIVE n AS (SELECT source AS m, doc_id // {STRETCH} AS st, floor(length(text) / 3.5)::BIGINT + 1 AS t, row_number() OVER (PARTITION BY source, doc_id // {STRETCH} ORDER BY doc_id) - 1 AS i FROM documents),
+c AS (SELECT m, st, i // {INPUTS} AS sl, i % {INPUTS} AS i, t FROM n),
+r AS (SELECT m, st, sl, i, t AS s, 1::BIGINT AS b, t AS most FROM c WHERE i = 0
+  UNION ALL SELECT c.m, c.st, c.sl, c.i, CASE WHEN s + t > {BUDGET} THEN t ELSE s + t END, b + CASE WHEN s + t > {BUDGET} THEN 1 ELSE 0 END, greatest(most, CASE WHEN s + t > {BUDGET} THEN t ELSE s + t END)
+  FROM r JOIN c ON c.m = r.m AND c.st = r.st AND c.sl = r.sl AND c.i = r.i + 1),
+k AS (SELECT m, st, sl, max(b) AS batches, max(most) AS most FROM r GROUP BY ALL)
+SELECT k.m AS municipality_id, k.st AS stretch, k.sl AS slice, sum(t)::BIGINT AS tokens, count(*) AS inputs, batches, most FROM k JOIN c ON c.m = k.m AND c.st = k.st AND c.sl = k.sl GROUP BY ALL"""
 
 QUERIES = [q17_chunk_split, q18_chunk_rows, q19_chunk_metadata_json, q20_fingerprint, q21_change_decision, q22_upsert_natural_key, q23_orphans, q24_resume_pending, q25_source_sniff, q26_scheme_health, q27_mode_min_support, q28_nearest_column_join, q29_carry_forward, q30_segmentation, q31_line_page_classifier, q32_clean_text, q33_definition_term, q34_token_batches]
 SQL = dict(zip([f.__name__ for f in QUERIES], [Q17, Q18, Q19, Q20, Q21, Q22, Q23, Q24, Q25, Q26, Q27, Q28, Q29, Q30, Q31, Q32, Q33, Q34], strict=True))

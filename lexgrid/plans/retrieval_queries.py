@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lexgrid.functions.lexemes import squashed, text_rank
 from lexgrid.functions.text import names_section, section_hint, similarity, trigrams
 from lexgrid.functions.vector import cosine
+from lexgrid.operators.hybrid import retrieve, retrieve_for_each
 from lexgrid.operators.retrieval import fuse, keyword_search, match, ranked, scoped
 from lexgrid.session import ship
+from lexgrid.sources.embedding import Refused
 from lexgrid.sources.tables import CHUNKS_SQL, chunks, table
 
 QUESTION = "what does section 8.3 say about the setbacks of the and that"
@@ -130,12 +132,14 @@ UNION ALL SELECT lang, count(*), true FROM documents WHERE source = '{TENANT}' A
 
 
 def q10_tenant_isolation_check(spark: SparkSession, d: str) -> DataFrame:
-    hits = keyword_search(chunks(spark, d), QUESTION, TENANT, LANGUAGE, "8.3", 50)
-    return hits.agg(F.count("*").alias("hits"), F.count_if((F.col("municipality_id") != TENANT) | (F.col("language") != LANGUAGE)).alias("violations"))
+    """Hits of two tenants and languages by what they belong to: nothing but the tenant and language that were asked for."""
+    parts = [keyword_search(chunks(spark, d), QUESTION, t, x, "8.3", 50).select(F.lit(f"{t} {x}").alias("asked"), F.concat_ws(" ", "municipality_id", "language").alias("given")) for t, x in ((TENANT, LANGUAGE), ("src4", "fr"))]
+    return parts[0].unionByName(parts[1]).groupBy("asked", "given").agg(F.count("*").alias("hits"))
 
 
-Q10 = f"""WITH {CHUNKS_SQL}, t AS (SELECT *, {_GRAMS.format("chunk_content")} AS a, {_GRAMS.format(f"'{QUESTION}'")} AS b FROM chunks WHERE municipality_id = '{TENANT}' AND language = '{LANGUAGE}')
-SELECT least(50, count(*)) AS hits, 0::BIGINT AS violations FROM t WHERE (starts_with(section_number, '8.3') AND NOT regexp_matches(substr(section_number, 4, 1), '[0-9]')) OR {_SIM} >= 0.3"""
+Q10 = f"""WITH {CHUNKS_SQL}, t AS (SELECT *, {_GRAMS.format("chunk_content")} AS a, {_GRAMS.format(f"'{QUESTION}'")} AS b FROM chunks),
+h AS (SELECT municipality_id || ' ' || language AS given, count(*) AS n FROM t WHERE (municipality_id, language) IN (('{TENANT}', '{LANGUAGE}'), ('src4', 'fr')) AND ((starts_with(section_number, '8.3') AND NOT regexp_matches(substr(section_number, 4, 1), '[0-9]')) OR {_SIM} >= 0.3) GROUP BY 1)
+SELECT given AS asked, given, least(50, n) AS hits FROM h"""
 
 
 def q11_citation_join(spark: SparkSession, d: str) -> DataFrame:
@@ -171,8 +175,8 @@ k AS (SELECT id, section_number, greatest(CASE WHEN section_number = '8.3' THEN
 kl AS (SELECT id, rank, row_number() OVER (ORDER BY rank DESC, section_number, id) AS position FROM k WHERE rank IS NOT NULL QUALIFY position <= 20),
 f AS (
   SELECT coalesce(vl.id, kl.id) AS id, coalesce({w0}::DOUBLE / (60 + vl.position), 0) + coalesce({w1}::DOUBLE / (60 + kl.position), 0) AS score, similarity, rank,
-         coalesce(vl.position, 1000 + kl.position) AS seen, vl.id IS NOT NULL AS inv, coalesce(rank, 0) > coalesce(similarity, 0) AS stronger,
-         greatest(coalesce(similarity, 0), coalesce(rank, 0)) AS raw FROM vl FULL JOIN kl ON vl.id = kl.id)
+         coalesce(vl.position, 1000 + kl.position) AS seen, vl.id IS NOT NULL AS inv, round(coalesce(rank, 0), 12) > round(coalesce(similarity, 0), 12) AS stronger,
+         round(greatest(coalesce(similarity, 0), coalesce(rank, 0)), 12) AS raw FROM vl FULL JOIN kl ON vl.id = kl.id)
 SELECT id, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, raw DESC, seen) AS INTEGER) AS fused_rank, round(score, 6) AS score, round(similarity, 6) AS similarity,
        round(CASE WHEN inv AND NOT stronger THEN NULL ELSE rank END, 6) AS rank FROM f QUALIFY fused_rank <= {limit}"""
 
@@ -190,35 +194,70 @@ def q14_rrf_duplicate_merge(spark: SparkSession, d: str) -> DataFrame:
     return _fused(fuse(_lists(spark, d)))
 
 
+def _batch_sql(questions: str) -> str:
+    """Every question against the chunks of its tenant and language, pair by pair: vector and keyword lists of five, fused."""
+    return f"""WITH {CHUNKS_SQL}, q AS ({questions}),
+v0 AS (SELECT q.q, c.id, {_COS} AS sim FROM q JOIN chunks c ON c.municipality_id = q.municipality_id AND c.language = q.language WHERE c.embedding IS NOT NULL AND q.embedding IS NOT NULL),
+v AS (SELECT q, id, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS p FROM v0 WHERE sim > 0.3 QUALIFY p <= 5),
+qa AS (SELECT *, {_hint_sql("question")} AS hint, {_GRAMS.format("question")} AS b FROM q),
+ca AS (SELECT id, section_number, municipality_id, language, {_GRAMS.format("chunk_content")} AS a FROM chunks),
+t AS (SELECT qa.q, id, section_number, hint, a, b FROM qa JOIN ca ON ca.municipality_id = qa.municipality_id AND ca.language = qa.language),
+k0 AS (SELECT q, id, section_number, greatest(CASE WHEN section_number = hint THEN 1.0::DOUBLE END, CASE WHEN starts_with(section_number, hint) AND section_number <> hint AND NOT regexp_matches(substr(section_number, length(hint) + 1, 1), '[0-9]') THEN 0.9 END, CASE WHEN {_SIM} >= 0.3 THEN 0.5 * {_SIM} END) AS rank FROM t),
+k AS (SELECT q, id, rank, row_number() OVER (PARTITION BY q ORDER BY rank DESC, section_number, id) AS p FROM k0 WHERE rank IS NOT NULL QUALIFY p <= 5),
+f AS (
+  SELECT coalesce(v.q, k.q) AS q, coalesce(v.id, k.id) AS id, coalesce(1 / (60.0::DOUBLE + v.p), 0) + coalesce(1 / (60.0::DOUBLE + k.p), 0) AS score, sim AS similarity, rank, coalesce(v.p, 1000 + k.p) AS seen,
+         v.id IS NOT NULL AS inv, round(coalesce(rank, 0), 12) > round(coalesce(sim, 0), 12) AS stronger, round(greatest(coalesce(sim, 0), coalesce(rank, 0)), 12) AS raw FROM v FULL JOIN k ON v.q = k.q AND v.id = k.id),
+r AS (SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, raw DESC, seen) AS INTEGER) AS fused_rank, round(score, 6) AS score, round(similarity, 6) AS similarity, round(CASE WHEN inv AND NOT stronger THEN NULL ELSE rank END, 6) AS rank FROM f QUALIFY fused_rank <= 10)"""
+
+
 def q15_hybrid_batch_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Every user turn asks its own tenant: section tiers and the nearest vectors, fused per question.
+    """Every user turn asks its own tenant by section, text and vector, fused per question; those without a vector are degraded."""
+    c = table(spark, d, "conversations").where("role = 'user'")
+    n = F.col("conv_id")
+    asked = c.select((n * 100 + F.col("turn")).alias("q"), F.concat(F.lit("src"), (n % 20).cast("string")).alias("municipality_id"), F.lit(LANGUAGE).alias("language"), F.concat(F.coalesce("text", F.lit("")), F.lit(" section "), (n % 12 + 1).cast("string"), F.lit("."), (n % 40).cast("string")).alias("question"), (n * 3 + F.col("turn")).alias("vec_id"))
+    asked = asked.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
+    return _fused(retrieve_for_each(asked, chunks(spark, d, vectors=True)))
+
+
+Q15 = _batch_sql(f"SELECT conv_id * 100 + turn AS q, 'src' || (conv_id % 20) AS municipality_id, '{LANGUAGE}' AS language, coalesce(text, '') || ' section ' || (conv_id % 12 + 1) || '.' || (conv_id % 40) AS question, e.embedding FROM conversations LEFT JOIN embeddings e ON e.vec_id = conv_id * 3 + turn WHERE role = 'user'") + " SELECT r.*, q.embedding IS NULL AS degraded FROM r JOIN q ON r.q = q.q"
+
+
+def golden_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as questions of eight suites: each names a section and expects it, and some expect a text or, in a place that is not there, nothing."""
+    n = F.col("item_id")
+    section = F.concat((n % 12 + 1).cast("string"), F.lit("."), (n % 40).cast("string"))
+    nowhere = n % 11 == 0
+    items = table(spark, d, "benchmark").select(n.alias("q"), F.concat(F.lit("s"), (n % 8).cast("string")).alias("suite"), F.when(nowhere, "nowhere").otherwise(F.concat(F.lit("src"), (n % 20).cast("string"))).alias("municipality_id"), F.lit(LANGUAGE).alias("language"), F.concat(F.col("text"), F.lit(" section "), section).alias("question"), F.array(section, F.concat(section, F.lit("(1)"))).alias("expect_sections"), F.when(n % 5 == 0, F.array(F.left("text", F.lit(40)))).alias("expect_text"), F.when(n % 7 == 0, "all").otherwise("any").alias("match"), nowhere.alias("expect_fallback"))
+    return items.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("q"), "embedding"), "q", "left")
 
-    Questions meet the chunks of their tenant and hint only; neither side is ever paired as a whole.
-    """
-    q = table(spark, d, "conversations").where("role = 'user' AND turn = 0").select(F.col("conv_id").alias("q"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("municipality_id"), F.concat((F.col("conv_id") % 12 + 1).cast("string"), F.lit("."), (F.col("conv_id") % 40).cast("string")).alias("hint"))
-    c = chunks(spark, d).withColumn("hint", F.regexp_extract("section_number", r"^\d+\.\d+", 0))
-    hits = q.join(c, ["municipality_id", "hint"]).withColumn("rank", F.when(F.col("section_number") == F.col("hint"), 1.0).otherwise(0.9))
-    lists = ranked(hits, 0, [F.col("rank").desc(), F.col("section_number"), F.col("id")], ("q",)).unionByName(ranked(hits, 1, [F.length("chunk_content"), F.col("id")], ("q",)))
-    return _fused(fuse(lists, by=("q",)).where("fused_rank <= 5")).select("q", "id", "fused_rank", "score")
 
+GOLDEN_SQL = _batch_sql(f"SELECT item_id AS q, 's' || (item_id % 8) AS suite, CASE WHEN item_id % 11 = 0 THEN 'nowhere' ELSE 'src' || (item_id % 20) END AS municipality_id, '{LANGUAGE}' AS language, text || ' section ' || (item_id % 12 + 1) || '.' || (item_id % 40) AS question, [(item_id % 12 + 1) || '.' || (item_id % 40), (item_id % 12 + 1) || '.' || (item_id % 40) || '(1)'] AS expect_sections, CASE WHEN item_id % 5 = 0 THEN [left(text, 40)] ELSE [] END AS expect_text, CASE WHEN item_id % 7 = 0 THEN 'all' ELSE 'any' END AS match, item_id % 11 = 0 AS expect_fallback, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id")
 
-Q15 = f"""WITH {CHUNKS_SQL}, q AS (SELECT conv_id AS q, 'src' || (conv_id % 20) AS municipality_id, (conv_id % 12 + 1) || '.' || (conv_id % 40) AS hint FROM conversations WHERE role = 'user' AND turn = 0),
-h AS (SELECT q.q, c.id, c.section_number, length(chunk_content) AS n, CASE WHEN section_number = hint THEN 1.0 ELSE 0.9 END AS rank FROM q JOIN chunks c ON q.municipality_id = c.municipality_id AND q.hint = regexp_extract(section_number, '^\\d+\\.\\d+')),
-l AS (SELECT q, id, rank, row_number() OVER (PARTITION BY q ORDER BY rank DESC, section_number, id) AS p0, row_number() OVER (PARTITION BY q ORDER BY n, id) AS p1 FROM h),
-f AS (SELECT q, id, rank, CASE WHEN p0 <= 5 THEN 1 / (60.0::DOUBLE + p0) ELSE 0 END + CASE WHEN p1 <= 5 THEN 1 / (60.0::DOUBLE + p1) ELSE 0 END AS score, CASE WHEN p0 <= 5 THEN p0 ELSE 1000 + p1 END AS seen FROM l WHERE p0 <= 5 OR p1 <= 5)
-SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, rank DESC, seen) AS INTEGER) AS fused_rank, round(score, 6) AS score FROM f QUALIFY fused_rank <= 5"""
+
+def _spent(texts: list[str], kind: str) -> list[tuple[int, list[float]]]:
+    raise Refused(402, "quota")
 
 
 def q16_hybrid_degraded(spark: SparkSession, d: str) -> DataFrame:
-    """Without vectors the keyword list alone is fused, and the answer says so."""
-    words = ranked(keyword_search(chunks(spark, d), QUESTION, TENANT, hint="8.3"), 1, [F.col("rank").desc(), F.col("section_number"), F.col("id")])
-    return _fused(fuse(words)).select("id", "fused_rank", "score", F.lit(True).alias("degraded"))
+    """A provider that refuses: the keyword list alone is fused, and the answer says why."""
+    ship(spark)
+    found = retrieve(chunks(spark, d, vectors=True), QUESTION, TENANT, _spent, LANGUAGE, width=64)
+    return _fused(found.chunks).select("id", "fused_rank", "score", F.lit(found.degraded).alias("degraded"), F.lit(found.reason).alias("reason"))
+
+
+_ONE = f"SELECT 1 AS q, '{TENANT}' AS municipality_id, '{LANGUAGE}' AS language, '{QUESTION}' AS question, "
+Q16 = _batch_sql(_ONE + "NULL::FLOAT[] AS embedding") + " SELECT id, fused_rank, score, true AS degraded, 'QuotaExhausted: 402: quota' AS reason FROM r"
+
+
+def q67_hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """One question by both ways, with a provider that gives a stored vector."""
+    ship(spark)
+    vector = _vector(spark, d)
+    found = retrieve(chunks(spark, d, vectors=True), QUESTION, TENANT, lambda texts, kind: [(0, vector)], LANGUAGE, width=64)
+    return _fused(found.chunks).withColumn("degraded", F.lit(found.degraded))
 
 
-Q16 = f"""WITH {CHUNKS_SQL}, t AS (SELECT *, {_GRAMS.format("chunk_content")} AS a, {_GRAMS.format(f"'{QUESTION}'")} AS b FROM chunks WHERE municipality_id = '{TENANT}'),
-k AS (SELECT id, section_number, greatest(CASE WHEN section_number = '8.3' THEN 1.0::DOUBLE END, CASE WHEN starts_with(section_number, '8.3') AND section_number <> '8.3' AND NOT regexp_matches(substr(section_number, 4, 1), '[0-9]') THEN 0.9 END, CASE WHEN {_SIM} >= 0.3 THEN 0.5 * {_SIM} END) AS rank FROM t)
-SELECT id, CAST(row_number() OVER (ORDER BY rank DESC, section_number, id) AS INTEGER) AS fused_rank, round(1 / (60.0::DOUBLE + row_number() OVER (ORDER BY rank DESC, section_number, id)), 6) AS score, true AS degraded
-FROM k WHERE rank IS NOT NULL QUALIFY fused_rank <= 5"""
+Q67 = _batch_sql(_ONE + "(SELECT embedding FROM embeddings WHERE vec_id = 3) AS embedding") + " SELECT id, fused_rank, score, similarity, rank, false AS degraded FROM r"
 
-SQL = {"q01_vector_topk": Q01, "q02_vector_threshold_counts": Q02, "q03_section_exact_prefix": Q03, "q04_trigram_similarity": Q04, "q05_keyword_tiers_nofts": Q05, "q06_fulltext_simple_match": Q06, "q08_section_hint": Q08, "q09_optional_language_filter": Q09, "q10_tenant_isolation_check": Q10, "q11_citation_join": Q11, "q12_rrf_two_lists": _rrf_sql(1, 1, 10), "q13_rrf_weighted": _rrf_sql(10, 1, 10), "q14_rrf_duplicate_merge": _rrf_sql(1, 1, 1000), "q15_hybrid_batch_topk": Q15, "q16_hybrid_degraded": Q16}
-QUERIES = [q07_fulltext_stemmed_rank, q55_keyword_all_tiers, q01_vector_topk, q02_vector_threshold_counts, q03_section_exact_prefix, q04_trigram_similarity, q05_keyword_tiers_nofts, q06_fulltext_simple_match, q08_section_hint, q09_optional_language_filter, q10_tenant_isolation_check, q11_citation_join, q12_rrf_two_lists, q13_rrf_weighted, q14_rrf_duplicate_merge, q15_hybrid_batch_topk, q16_hybrid_degraded]
+SQL = {"q01_vector_topk": Q01, "q02_vector_threshold_counts": Q02, "q03_section_exact_prefix": Q03, "q04_trigram_similarity": Q04, "q05_keyword_tiers_nofts": Q05, "q06_fulltext_simple_match": Q06, "q08_section_hint": Q08, "q09_optional_language_filter": Q09, "q10_tenant_isolation_check": Q10, "q11_citation_join": Q11, "q12_rrf_two_lists": _rrf_sql(1, 1, 10), "q13_rrf_weighted": _rrf_sql(10, 1, 10), "q14_rrf_duplicate_merge": _rrf_sql(1, 1, 1000), "q15_hybrid_batch_topk": Q15, "q16_hybrid_degraded": Q16, "q67_hybrid_retrieve": Q67}
+QUERIES = [q07_fulltext_stemmed_rank, q55_keyword_all_tiers, q01_vector_topk, q02_vector_threshold_counts, q03_section_exact_prefix, q04_trigram_similarity, q05_keyword_tiers_nofts, q06_fulltext_simple_match, q08_section_hint, q09_optional_language_filter, q10_tenant_isolation_check, q11_citation_join, q12_rrf_two_lists, q13_rrf_weighted, q14_rrf_duplicate_merge, q15_hybrid_batch_topk, q16_hybrid_degraded, q67_hybrid_retrieve]

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgrid.functions.answer import FALLBACK, UNVERIFIED, VERIFIED, client_key, context, disclaimer, frames, has_disclaimer, logged
-from lexgrid.operators.checks import cascade, role_view, violations
+from lexgrid.functions.answer import FALLBACK, UNVERIFIED, VERIFIED, client_key, context, disclaimer, frames, has_disclaimer
+from lexgrid.operators.audit import audit_rows, fallback_rate
+from lexgrid.operators.checks import cascade, role_view
+from lexgrid.operators.evaluation import evaluate, suite_scores
+from lexgrid.operators.hybrid import retrieve_for_each
+from lexgrid.operators.registry import PROVINCES, STATES, gate, registry_errors
 from lexgrid.operators.store import insert_missing, upsert
+from lexgrid.operators.throttle import refusals
+from lexgrid.plans.retrieval_queries import GOLDEN_SQL, golden_questions
 from lexgrid.sources.tables import CHUNKS_SQL, chunks, table
 
 
@@ -23,29 +29,42 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999
 
 
 def q36_throttle_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """Requests per client key and day, against a limit of five; half of the clients send a session."""
+    """Requests per client key and day, and how many two limits refuse: two an hour, five a day; half of the clients send a session."""
     session = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(" s"), (F.col("event_id") % 2).cast("string"))).otherwise("  ")
-    key = client_key(F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")), session)
-    counted = table(spark, d, "events").groupBy(key.alias("client"), F.window(F.col("ts").cast("timestamp"), "1 day").alias("w")).agg(F.count("*").alias("n"))
-    return counted.select("client", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", F.greatest(F.col("n") - 5, F.lit(0)).alias("refused"))
+    keyed = table(spark, d, "events").select("event_id", "ts", client_key(F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")), session).alias("client"))
+    judged = refusals(keyed, "client", "ts", ("event_id",), ((2, "1 hour"), (5, "1 day")))
+    return judged.groupBy("client", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_if("refused").alias("refused"))
 
 
-Q36 = """WITH e AS (SELECT '10.0.0.' || user_id || CASE WHEN user_id % 2 = 0 THEN ':s' || (event_id % 2) ELSE '' END AS client, strftime(ts, '%Y-%m-%d') AS day FROM events)
-SELECT client, day, count(*) AS n, greatest(count(*) - 5, 0) AS refused FROM e GROUP BY ALL"""
+Q36 = """WITH e AS (SELECT '10.0.0.' || user_id || CASE WHEN user_id % 2 = 0 THEN ':s' || (event_id % 2) ELSE '' END AS client, ts, event_id FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY client, date_trunc('hour', ts) ORDER BY ts, event_id) AS h, row_number() OVER (PARTITION BY client, date_trunc('day', ts) ORDER BY ts, event_id) AS d FROM e)
+SELECT client, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE h > 2 OR d > 5) AS refused FROM n GROUP BY ALL"""
 
 
 def q37_registry_validation(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    rules = {
-        "language": ~F.col("lang").isin("en", "fr"), "too long": F.length("text") > 12000, "blank": F.trim("text") == "",
-        "bad quality": F.coalesce(F.col("quality"), F.lit(1)) == 0, "length": F.col("n_chars") != F.length("text"), "languages beyond": F.size(F.array_except(F.array("lang"), F.array(F.lit("en"), F.lit("fr"), F.lit("de")))) > 0,
-    }
-    return violations(t, "doc_id", rules)
+    """Nations as registry entries whose facts follow from their keys, held against the registry's rules."""
+    k = F.col("n_nationkey")
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
+    code = pick((*PROVINCES, "XX", ""), k)
+    name = F.when(k >= 23, "nb_twin").otherwise(F.concat(F.when(k % 6 == 0, "zz").otherwise(F.lower(code)), F.lit("_"), k.cast("string")))
+    languages = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.lit("en"))).when(k % 4 == 2, F.array(F.lit("en"), F.lit("fr"))).otherwise(F.array(F.lit("en"), F.lit("de")))
+    source = F.struct(F.when(k % 7 == 0, "fr").otherwise("en").alias("language"), F.lit("b").alias("bylaw_name"), F.when(k % 8 == 0, "http://x").otherwise("https://x").alias("source_url"), F.when(k % 9 == 0, "doc").otherwise("pdf").alias("source_type"), F.lit(None).cast("string").alias("document_version"))
+    entries = table(spark, d, "nation").select(name.alias("id"), code.alias("province_code"), languages.alias("languages"), (k % 2 == 0).alias("is_active"), pick((*STATES, "odd"), k).alias("status"), F.when(k % 10 == 0, "2024-01-01").alias("bylaw_last_verified_at"), F.when(k % 20 == 0, "someone").alias("verified_by"), F.when(k % 3 != 0, F.array(source)).alias("sources"))
+    return registry_errors(entries)
+
+
+def _literals(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
 
-Q37 = """WITH t AS (SELECT d.*, quality FROM documents d LEFT JOIN labels USING (doc_id))
-SELECT doc_id, 'language' AS error FROM t WHERE lang NOT IN ('en', 'fr') UNION ALL SELECT doc_id, 'too long' FROM t WHERE length(text) > 12000 UNION ALL SELECT doc_id, 'blank' FROM t WHERE trim(text) = ''
-UNION ALL SELECT doc_id, 'bad quality' FROM t WHERE quality = 0 UNION ALL SELECT doc_id, 'length' FROM t WHERE n_chars <> length(text) UNION ALL SELECT doc_id, 'languages beyond' FROM t WHERE lang NOT IN ('en', 'fr', 'de')"""
+Q37 = f"""WITH c AS (SELECT n_nationkey AS k, [{_literals((*PROVINCES, "XX", ""))}][n_nationkey % 15 + 1] AS code, [{_literals((*STATES, "odd"))}][n_nationkey % 5 + 1] AS status FROM nation),
+e AS (SELECT *, CASE WHEN k >= 23 THEN 'nb_twin' ELSE CASE WHEN k % 6 = 0 THEN 'zz' ELSE lower(code) END || '_' || k END AS id, CASE k % 4 WHEN 0 THEN [] WHEN 1 THEN ['en'] WHEN 2 THEN ['en', 'fr'] ELSE ['en', 'de'] END AS languages FROM c)
+SELECT id, 'province_code is no province' AS error FROM e WHERE code IN ('XX', '') UNION ALL SELECT id, 'id does not begin with its province' FROM e WHERE code <> '' AND NOT starts_with(id, lower(code) || '_')
+UNION ALL SELECT id, 'languages are empty' FROM e WHERE k % 4 = 0 UNION ALL SELECT id, 'languages beyond those stored' FROM e WHERE k % 4 = 3 UNION ALL SELECT id, 'status is unknown' FROM e WHERE status = 'odd'
+UNION ALL SELECT id, 'active without sources' FROM e WHERE k % 2 = 0 AND k % 3 = 0 UNION ALL SELECT id, 'active although blocked' FROM e WHERE k % 2 = 0 AND starts_with(status, 'blocked')
+UNION ALL SELECT id, 'source_url is not https' FROM e WHERE k % 3 <> 0 AND k % 8 = 0 UNION ALL SELECT id, 'source language is not declared' FROM e WHERE k % 3 <> 0 AND NOT list_contains(languages, CASE WHEN k % 7 = 0 THEN 'fr' ELSE 'en' END)
+UNION ALL SELECT id, 'source_type is neither pdf nor html' FROM e WHERE k % 3 <> 0 AND k % 9 = 0 UNION ALL SELECT id, 'verified without verified_by' FROM e WHERE k % 10 = 0 AND k % 20 <> 0
+UNION ALL SELECT id, 'id comes more than once' FROM e GROUP BY id HAVING count(*) > 1"""
 
 
 def q38_dedupe_by_host(spark: SparkSession, d: str) -> DataFrame:
@@ -64,9 +83,8 @@ def _audit(spark: SparkSession, d: str) -> DataFrame:
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user_query"))
     k = F.col("conv_id") + F.col("turn")
     ids = F.when(k % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("conv_id"), F.col("turn")))
-    override = F.when(k % 7 == 0, F.lit(False))
-    rows = q.join(a, ["conv_id", "turn"], "left").withColumn("ids", ids)
-    return rows.select("conv_id", "turn", "user_query", logged(F.coalesce(F.repeat("answer", 40), F.lit(""))).alias("response_text"), F.size("ids").cast("long").alias("retrieved"), F.coalesce(override, F.size("ids") == 0).alias("was_fallback"))
+    rows = q.join(a, ["conv_id", "turn"], "left").withColumns({"chunk_ids": ids, "was_fallback": F.when(k % 7 == 0, F.lit(False)), "response_text": F.coalesce(F.repeat("answer", 40), F.lit("")), "municipality_id": F.lit("m"), "language": F.lit("en")})
+    return audit_rows(rows, "conv_id", "turn")
 
 
 _AUDIT = """a AS (SELECT conv_id, turn - 1 AS turn, text AS answer FROM conversations), q AS (SELECT conv_id, turn, text AS user_query FROM conversations WHERE role = 'user'),
@@ -75,11 +93,11 @@ audit AS (SELECT conv_id, turn, user_query, CASE WHEN length(r) > 20000 THEN lef
 
 
 def q39_audit_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _audit(spark, d)
+    return _audit(spark, d).select("conv_id", "turn", "user_query", "response_text", F.size("retrieved_chunk_ids").cast("long").alias("retrieved"), "was_fallback")
 
 
 def q40_fallback_rate(spark: SparkSession, d: str) -> DataFrame:
-    return _audit(spark, d).agg(F.count_if("was_fallback").alias("fallbacks"), F.count("*").alias("total"))
+    return fallback_rate(_audit(spark, d))
 
 
 def q41_context_block(spark: SparkSession, d: str) -> DataFrame:
@@ -104,8 +122,7 @@ def q42_prompt_disclaimer(spark: SparkSession, d: str) -> DataFrame:
     note = disclaimer(F.col("lang"), verified)
     answer = F.when(F.col("doc_id") % 4 == 0, F.concat(F.col("text"), note)).when(F.col("doc_id") % 4 == 1, F.when(F.col("lang") == "fr", FALLBACK["fr"]).otherwise(FALLBACK["en"])).otherwise(F.col("text"))
     full = F.when(has_disclaimer(answer), answer).otherwise(F.concat(answer, note))
-    gate = F.when(F.col("quality").isNull(), 404).when(F.col("quality") == 0, 409).otherwise(200)
-    return t.select("doc_id", F.sha2(full, 256).alias("digest"), has_disclaimer(answer).alias("had"), gate.alias("status"))
+    return t.select("doc_id", F.sha2(full, 256).alias("digest"), has_disclaimer(answer).alias("had"), gate(F.col("quality").isNotNull(), F.col("quality") == 1).alias("status"))
 
 
 def _quote(x: str) -> str:
@@ -133,18 +150,19 @@ Q43 = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) -
 
 
 def q44_golden_eval(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as golden questions: their first forty characters are expected in some document; suites are scored."""
-    items = table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("expected"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("head"))
-    words = F.col("words")
-    split = table(spark, d, "documents").select("doc_id", "text", F.split(F.regexp_replace("text", "\n", " "), " ").alias("words"))
-    heads = split.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 4), " ")))).alias("head"))
-    found = heads.join(items, "head").where(F.contains(F.regexp_replace("text", "\n", " "), F.col("expected"))).groupBy("item_id").agg(F.count("*").alias("hits"))
-    scored = items.join(found, "item_id", "left").withColumn("passed", F.col("hits").isNotNull())
-    return scored.groupBy((F.col("item_id") % 8).alias("suite")).agg(F.count("*").alias("questions"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("score"), (F.avg(F.col("passed").cast("double")) >= 0.85).alias("good"))
-
-
-Q44 = """WITH i AS (SELECT item_id, left(text, 40) AS expected FROM benchmark), p AS (SELECT item_id, EXISTS (SELECT 1 FROM documents d WHERE contains(replace(d.text, chr(10), ' '), i.expected)) AS passed FROM i)
-SELECT item_id % 8 AS suite, count(*) AS questions, round(avg(passed::INT), 6) AS score, avg(passed::INT) >= 0.85 AS good FROM p GROUP BY 1"""
+    """Benchmark items as golden questions in eight suites, answered by hybrid retrieval and held against expected sections, texts and fallbacks."""
+    asked = golden_questions(spark, d)
+    chunked = chunks(spark, d, vectors=True)
+    found = retrieve_for_each(asked, chunked).join(chunked.select("id", "section_number", "chunk_content"), "id")
+    return suite_scores(evaluate(asked, found)).withColumn("score", F.round("score", 6))
+
+
+Q44 = f"""{GOLDEN_SQL},
+g AS (SELECT r.q, list(c.section_number ORDER BY fused_rank) AS sections, string_agg(c.chunk_content, chr(10) ORDER BY fused_rank) AS corpus FROM r JOIN chunks c ON r.id = c.id WHERE fused_rank <= 8 GROUP BY 1),
+e AS (SELECT q.suite, q.embedding IS NULL AND g.q IS NOT NULL AS degraded, CASE WHEN q.expect_fallback THEN g.q IS NULL ELSE
+  CASE WHEN q.match = 'any' THEN len(q.expect_sections) = 0 OR list_has_any(coalesce(g.sections, []), q.expect_sections) ELSE list_has_all(coalesce(g.sections, []), q.expect_sections) END
+  AND len(list_filter(q.expect_text, lambda x: NOT contains(coalesce(g.corpus, ''), x))) = 0 END AS passed FROM q LEFT JOIN g ON q.q = g.q)
+SELECT suite, count(*) AS questions, count(*) FILTER (WHERE passed) AS passed, round(avg(passed::INT), 6) AS score, bool_or(degraded) AS degraded, avg(passed::INT) >= 0.85 AS good FROM e GROUP BY 1"""
 
 
 def q45_role_views(spark: SparkSession, d: str) -> DataFrame:

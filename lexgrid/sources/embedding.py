@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 import time
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Attempts at failures, waits for the rate and their length, longest text in characters.
 ATTEMPTS, WAITS, WAIT, LONGEST = 5, 12, 61.0, 32_000 * 7 // 2
+#: Inputs and tokens of a batch, the share of a minute's tokens that a request may use, the window of rates in seconds.
+INPUTS, TOKENS, SAFETY, WINDOW = 96, 100_000, 0.85, 60.0
 Call = Callable[[list[str], str], list[tuple[int, list[float]]]]
 
 
@@ -94,26 +97,86 @@ def embed_query(text: str, call: Call, dimensions: int = 1024) -> list[float]:
     return aligned(patient(call, [text.strip()], "query"), [text], dimensions)[0]
 
 
-def embed_documents(rows: DataFrame, text: str, provider: Callable[[], Call], dimensions: int = 1024, batch: int = 96) -> DataFrame:
-    """The rows with a column ``embedding``, null for texts that are null or blank.
+def estimate(text: str) -> int:
+    """Tokens of a text, as functions.text.token_estimate says it of columns."""
+    return int(len(text) / 3.5) + 1
 
-    ``provider`` makes the call once in each task. Metered providers belong behind a store of texts already
-    embedded (operators.store.pending), as a lost executor repeats its tasks. Texts beyond LONGEST are an error.
+
+def batch_budget(requested: int, tokens_per_minute: int, requests_per_minute: int) -> int:
+    """Tokens of one request: its share of a minute, with some to spare; no limit of tokens leaves what was asked for."""
+    if tokens_per_minute <= 0:
+        return requested
+    return max(1, min(requested, int(tokens_per_minute / max(1, requests_per_minute) * SAFETY)))
+
+
+def batches(texts: list[str], inputs: int = INPUTS, tokens: int = TOKENS) -> Iterator[list[str]]:
+    """Texts in order, at most ``inputs`` and ``tokens`` to a batch; a longer text goes alone."""
+    now, spent = [], 0
+    for text in texts:
+        n = estimate(text)
+        if now and (spent + n > tokens or len(now) >= max(1, inputs)):
+            yield now
+            now, spent = [], 0
+        now.append(text)
+        spent += n
+    if now:
+        yield now
+
+
+class RateLimiter:
+    """Requests and tokens of the last minute; a limit of 0 or less is none."""
+
+    def __init__(self, requests: int, tokens: int):
+        self.requests, self.tokens = requests, tokens
+        self.sent: deque[tuple[float, int]] = deque()
+
+    def wait(self, tokens: int, now: float) -> float:
+        """Seconds until the oldest request leaves the window, 0 if this one may go now; ask again after waiting."""
+        while self.sent and now - self.sent[0][0] >= WINDOW:
+            self.sent.popleft()
+        full = 0 < self.requests <= len(self.sent) or (self.tokens > 0 and sum(n for _, n in self.sent) + tokens > self.tokens)
+        if not full:
+            return 0.0
+        return max(0.0, WINDOW - (now - (self.sent[0][0] if self.sent else now))) + 0.5
+
+    def pace(self, tokens: int, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> None:
+        """Wait as long as it takes, then count the request. One that is larger than a minute's tokens goes once the window is empty."""
+        while (left := self.wait(tokens, clock())) > 0 and self.sent:
+            sleep(left)
+        self.sent.append((clock(), tokens))
+
+
+def embed_documents(rows: DataFrame, text: str, provider: Callable[[], Call], dimensions: int = 1024, batch: int = INPUTS, tokens: int = TOKENS, rates: tuple[int, int] | None = None, blank: str = "error") -> DataFrame:
+    """The rows with a column ``embedding``; texts that are null or blank are an error, or null with ``blank="null"``.
+
+    ``provider`` makes the call once in each task, and ``rates`` (requests and tokens a minute) pace each task on its
+    own: metered providers get rows of one partition, behind a store of texts already embedded
+    (operators.store.pending), as a lost executor repeats its tasks. Texts beyond LONGEST are an error.
     """
+    if rates:
+        tokens = batch_budget(tokens, rates[1], rates[0])
 
     @F.pandas_udf("array<float>")
     def embed(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        call = provider()
+        call, limiter = provider(), RateLimiter(*rates) if rates else None
         for texts in series:
             out: list[list[float] | None] = [None] * len(texts)
             at = [i for i, t in enumerate(texts) if t and t.strip()]
-            for start in range(0, len(at), batch):
-                some = at[start : start + batch]
-                asked = [texts.iloc[i] for i in some]
-                if max(map(len, asked)) > LONGEST:
-                    raise EmbeddingError(f"a text of more than {LONGEST} characters")
-                for i, v in zip(some, aligned(patient(call, asked, "document"), asked, dimensions), strict=True):
-                    out[i] = v
+            if blank == "error" and len(at) < len(texts):
+                raise EmbeddingError(f"input {next(i for i, t in enumerate(texts) if not (t and t.strip()))} is empty")
+            if too_long := next((i for i in at if len(texts.iloc[i]) > LONGEST), None):
+                raise EmbeddingError(f"input {too_long} has more than {LONGEST} characters")
+            places = iter(at)
+            for asked in batches([texts.iloc[i] for i in at], batch, tokens):
+                if limiter:
+                    limiter.pace(sum(map(estimate, asked)))
+                for v in aligned(patient(call, asked, "document"), asked, dimensions):
+                    out[next(places)] = v
             yield pd.Series(out)
 
     return rows.withColumn("embedding", embed(F.col(text).cast("string")))
+
+
+def is_certificate_error(error: BaseException | str) -> bool:
+    """Whether a failure to connect is about the server's certificate."""
+    return "certificate" in str(error).lower()

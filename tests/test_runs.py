@@ -44,7 +44,7 @@ def test_vectors_follow_their_index():
 
 def test_embedding_of_rows(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, None), (3, " "), (4, "a b")], "id long, t string")
-    found = {r["id"]: r["embedding"] for r in embed_documents(rows, "t", lambda: hashed(4), 4, batch=1).collect()}
+    found = {r["id"]: r["embedding"] for r in embed_documents(rows, "t", lambda: hashed(4), 4, batch=1, blank="null").collect()}
     assert found[2] is found[3] is None and found[1] == found[4] and len(found[1]) == 4
 
 
