@@ -24,6 +24,8 @@ from lexgrid.llm.common import TASKS_PER_CORE, cut, row_hash, table, word_count
 WEIGHTS, SHARE, MOST, BLOCK, STRETCH = (5, 2, 1), 1.5, 2, 512, 1 << 16
 #: A source's documents are dealt into at least 16 ** 3 cells, and into more from so many rows a cell on.
 CELL_ROWS = 1 << 16
+#: Slots of a partition of the mixed table, at most: some 50 MB of text.
+STRETCH_SLOTS = 1 << 14
 
 
 def _digest() -> Column:
@@ -160,7 +162,7 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, sh
         one = rows.join(repeated, key, "left_semi").groupBy(*key).agg(*[F.first(c).alias(c) for c in documents.columns])
         rows = rows.join(repeated, key, "left_anti").unionByName(one)
     copies = dealt.select(F.col("mix_key").alias("_mix_key"), F.col("row_key").alias("_row_key"), F.col("time").alias("_time"), F.when(F.col("words") < F.col("size"), F.col("words")).alias("_words"))
-    parts = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    parts = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, math.ceil(slots / STRETCH_SLOTS))
     stretch = F.least(F.floor(F.col("_time") * parts / F.lit(1 << max(1, (slots - 1).bit_length()))), F.lit(parts - 1)).cast("int")
     out = rows.join(copies, ["_mix_key", "_row_key"]).repartitionById(parts, stretch).sortWithinPartitions("_time", "_mix_key", "_row_key")
     words = F.split(F.col("text").cast("string"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
