@@ -208,3 +208,41 @@ def test_two_limits(spark):
     at = [(1, i, f"2024-01-01 00:00:{i:02d}") for i in range(4)] + [(1, 9, "2024-01-01 00:02:00"), (1, 10, "2024-01-01 00:03:00"), (2, 11, "2024-01-01 00:03:00")]
     got = {r["e"]: r["refused"] for r in refusals(spark.createDataFrame(at, "c int, e int, ts string"), "c", "ts", ("e",), ((2, "1 minute"), (5, "1 day"))).collect()}
     assert got == {0: False, 1: False, 2: True, 3: True, 9: False, 10: True, 11: False}
+
+
+def test_extractors(spark):
+    """One word a byte here; a file that can't be read is a row of its own."""
+
+    def extract(content):
+        if content == b"bad":
+            raise ValueError("no pages")
+        return ((i + 1, chr(b), 0.0, 6.0, 10.0, 21.0, False) for i, b in enumerate(content))
+
+    files = spark.createDataFrame([(1, bytearray(b"abc")), (2, bytearray(b"bad")), (3, None)], "document long, content binary")
+    from lexgrid.sources.extract import words_of
+
+    got = words_of(files, extract, 2).collect()
+    assert sorted((r["document"], r["page"], r["text"], r["error"]) for r in got if r["document"] == 1) == [(1, 2, "b", None), (1, 3, "c", None)]
+    assert [(r["document"], r["error"]) for r in got if r["error"]] == [(2, "ValueError: no pages")] and words_of(files.limit(0), extract).count() == 0
+
+
+def test_views_stay_fresh(spark):
+    from lexgrid.sources.fresh import FRESH, FreshViews
+
+    now, reads = [0.0], []
+
+    def read(name):
+        reads.append(name)
+        if len(reads) == 1:
+            raise OSError("once")
+        return spark.range(3)
+
+    views = FreshViews(read, 5, lambda: now[0])
+    assert len(views.get("a")) == len(views.get("a")) == 3 and reads == ["a", "a"]
+    now[0] = FRESH
+    views.get("a")
+    views.refresh("a")
+    views.get("a")
+    assert len(reads) == 4
+    with pytest.raises(ValueError, match="more than 2"):
+        FreshViews(lambda name: spark.range(3), 2).get("b")
