@@ -235,7 +235,7 @@ def pack(documents: DataFrame, tokenizer: str, size: int = SEQUENCE, nearly: int
     are not read. An empty table gives an empty result. ``tokenizer`` is a file readable on every executor.
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    level = cut(rows.mapInArrow(functools.partial(_first, path=tokenizer, size=size, nearly=nearly), _SCHEMA))
+    level = cut(rows.mapInArrow(functools.partial(_first, path=tokenizer, size=size, nearly=nearly), _SCHEMA), spread=True)
     rest = level.where("NOT final").drop("bin", "offset")
     counts = cut(rest.groupBy("part", "length").agg(F.count("*").alias("n")))
     plan = best_fit_counts(dict(counts.groupBy("length").agg(F.sum("n")).collect()), size)
@@ -254,4 +254,5 @@ def tokenizer_path() -> str:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces with their places in sequences of 2048 tokens; as ``pack``."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())

@@ -47,10 +47,13 @@ def few(df: DataFrame, rows: int | None = None, rows_a_task: int = 50_000) -> Da
     return df.coalesce(most if rows is None else max(1, min(most, math.ceil(rows / rows_a_task))))
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """The same rows read back from the shared checkpoint folder: lineage ends here and survives lost executors."""
+def cut(df: DataFrame, rows: int | None = None, spread: bool = False) -> DataFrame:
+    """The same rows read back from the shared checkpoint folder: lineage ends here and survives lost executors.
+
+    ``spread`` leaves the partitions as they are, where much work goes into each and a lost one should cost no more.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return few(df, rows).checkpoint(eager=True)
+    return (df if spread else few(df, rows)).checkpoint(eager=True)
 
 
 def forget(spark: SparkSession, path: str) -> None:

@@ -232,5 +232,6 @@ def without_bad(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score; as ``quality``."""
     documents = table(spark, sf_dir, "documents")
     return quality(documents, documents, table(spark, sf_dir, "labels"))

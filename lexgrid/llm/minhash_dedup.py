@@ -234,7 +234,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     Columns other than doc_id and text are neither read nor returned. An empty table gives an empty one.
     """
     cols = "doc_id long, text_hash long, n_shingles long, node binary, sig binary, bands array<long>"
-    signed = cut(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(_sign, cols))
+    signed = cut(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).mapInArrow(_sign, cols), spread=True)
     nodes = cut(signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"), F.max("bands").alias("bands")))
     floor = percent / 100 - 0.2
 

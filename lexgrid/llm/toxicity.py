@@ -443,5 +443,6 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity score; as ``toxicity``."""
     documents = table(spark, sf_dir, "documents")
     return toxicity(documents, documents, table(spark, sf_dir, "labels"))
