@@ -162,6 +162,7 @@ def keyword_for_each(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     held = chunks.where(F.col("chunk_content").isNotNull()).select("id", "section_number", *where, trigrams(F.col("chunk_content")).alias("b")).where(F.size("b") * TRIGRAM_FLOOR <= longest)
     sized = lambda df, grams: df.withColumn("n", F.size(grams)).withColumn("gram", F.explode(grams)).drop(grams)
     pairs = sized(asked.drop("hint"), "a").withColumnRenamed("n", "na").join(sized(held, "b").withColumnRenamed("n", "nb"), ["gram", *where])
+    pairs = pairs.where((F.col("nb") * TRIGRAM_FLOOR <= F.col("na")) & (F.col("na") * TRIGRAM_FLOOR <= F.col("nb")))
     shared = pairs.groupBy("q", "id", "section_number", "na", "nb").agg(F.count("*").alias("both"))
     sim = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     by_text = shared.where(sim >= TRIGRAM_FLOOR).select("q", "id", "section_number", (sim * 0.5).alias("rank"))
