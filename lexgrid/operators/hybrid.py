@@ -2,8 +2,9 @@
 
 Only a failure to embed degrades a search to its keyword list, and the result says so; any other error ends it.
 
-Many questions meet the chunks by equi-joins: sections by the prefixes that a hint may name, texts by trigrams, vectors
-by blocks of a tenant and language, of which pairs become matrix products that give back top lists only.
+Many questions meet the chunks by equi-joins: sections by the prefixes that a hint may name; texts and vectors by blocks
+of a tenant and language. A pair of blocks becomes a matrix product that gives back top lists, or a count of shared
+trigrams that gives back what reaches the floor. The blocks of a large tenant are spread over parts.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from lexgrid.operators.retrieval import TRIGRAM_FLOOR, fuse, keyword_search, mat
 from lexgrid.settings import Settings
 from lexgrid.sources.embedding import Call, EmbeddingError, embed_query
 
-#: Rows of a block of questions and of chunks.
-QUESTIONS, CHUNKS = 256, 2048
+#: Rows of a block of questions and of chunks, and trigrams of either.
+QUESTIONS, CHUNKS, GRAMS = 256, 2048, 1 << 18
 
 
 def hint_of(question: str) -> str | None:
@@ -130,6 +131,13 @@ def _products(batches, count: int, threshold: float):
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["q", "id", "similarity"])
 
 
+def _met(questions: DataFrame, chunks: DataFrame, on: list[str]) -> DataFrame:
+    """Blocks of questions with those of chunks; every part of a tenant's chunks gets the questions, which are the few."""
+    parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    everywhere = questions.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return everywhere.join(chunks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")), [*on, "part"])
+
+
 def nearest_for_each(questions: DataFrame, chunks: DataFrame, count: int, threshold: float) -> DataFrame:
     """questions (q, municipality_id, language, embedding) x chunks (id, the same, embedding) -> q, id, similarity of the nearest; no ranks yet.
 
@@ -138,10 +146,55 @@ def nearest_for_each(questions: DataFrame, chunks: DataFrame, count: int, thresh
     ddl = "municipality_id string, language string, width int, ids array<long>, unit binary"
     block = lambda df, key, rows: df.where("embedding IS NOT NULL AND municipality_id IS NOT NULL AND language IS NOT NULL").select("municipality_id", "language", F.col(key).cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(functools.partial(_blocks, rows=rows), ddl)
     q = block(questions, "q", QUESTIONS).withColumnsRenamed({"ids": "qs", "unit": "q"})
-    pairs = q.join(block(chunks, "id", CHUNKS), ["municipality_id", "language", "width"]).select("width", "qs", "q", "ids", "unit")
+    pairs = _met(q, block(chunks, "id", CHUNKS), ["municipality_id", "language", "width"]).select("width", "qs", "q", "ids", "unit")
     return pairs.mapInArrow(functools.partial(_products, count=count, threshold=threshold), "q long, id long, similarity double")
 
 
+def _gram_blocks(batches, rows: int, most: int):
+    """(municipality_id, language, id, name, distinct trigrams) -> blocks of one tenant and language; sets that are empty or above ``most`` are left out."""
+    wait: dict[tuple, list] = {}
+    held: dict[tuple, int] = {}
+
+    def out(key, parts):
+        ids, names, grams = zip(*parts, strict=True)
+        row = (*key, list(ids), list(names), [len(g) for g in grams], np.concatenate(grams).tobytes())
+        types = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], ["municipality_id", "language", "ids", "names", "sizes", "grams"])
+
+    for batch in batches:
+        sets = batch.column(4)
+        for r, (tenant, language, i, name) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+            if not sets[r].is_valid or not 0 < len(grams := sets[r].values.to_numpy()) <= most:
+                continue
+            key = (tenant, language)
+            wait.setdefault(key, []).append((i, name, grams.copy()))
+            held[key] = held.get(key, 0) + len(grams)
+            if len(wait[key]) == rows or held[key] >= GRAMS:
+                yield out(key, wait.pop(key))
+                del held[key]
+    for key, parts in wait.items():
+        yield out(key, parts)
+
+
+def _shared(batches, floor: float):
+    """Pairs of blocks -> q, id, section_number and half the similarity of what reaches the floor, by the places of each trigram in the chunks."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            qs, na, a, ids, names, nb, grams = (batch.column(k)[r].as_py() for k in range(7))
+            nb, grams = np.array(nb), np.frombuffer(grams, np.int64)
+            order = np.argsort(grams, kind="stable")
+            grams, owner = grams[order], np.repeat(np.arange(len(nb)), nb)[order]
+            found = []
+            for q, own in zip(qs, np.split(np.frombuffer(a, np.int64), np.cumsum(na)[:-1]), strict=True):
+                first = np.searchsorted(grams, own, "left")
+                count = np.searchsorted(grams, own, "right") - first
+                places = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+                both = np.bincount(owner[places], minlength=len(nb))
+                sim = both / (len(own) + nb - both)
+                found += [(q, ids[j], names[j], 0.5 * float(sim[j])) for j in np.flatnonzero(sim >= floor)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))], ["q", "id", "section_number", "rank"])
+
+
 def _prefixes(section: Column) -> Column:
     """The beginnings of a section number that a hint may name: those after which no digit follows."""
     ends = F.filter(F.sequence(F.lit(1), F.length(section)), lambda i: F.substr(section, i, F.lit(1)).rlike(r"[0-9)]") & ~F.substr(section, i + 1, F.lit(1)).rlike("[0-9]"))
@@ -152,20 +205,18 @@ def keyword_for_each(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """questions (q, municipality_id, language, question) x chunks -> q, id, section_number, rank by section and trigram tiers.
 
     A chunk of n trigrams reaches the floor only for questions of 0.3 n trigrams or more, so longer ones than any
-    question allows are left out before their trigrams are dealt; those left share a trigram with the question.
+    question allows are left out. Trigrams are compared by 64-bit hashes.
     """
     where = ["municipality_id", "language"]
     asked = questions.select("q", *where, section_hint(F.col("question")).alias("hint"), trigrams(F.col("question")).alias("a"))
     named = chunks.select("id", "section_number", *where, F.explode(_prefixes(F.col("section_number"))).alias("hint"))
     by_section = asked.where("hint IS NOT NULL").select("q", "hint", *where).join(named, ["hint", *where]).select("q", "id", "section_number", F.when(F.col("section_number") == F.col("hint"), 1.0).otherwise(0.9).alias("rank"))
     longest = asked.agg(F.coalesce(F.max(F.size("a")), F.lit(0))).first()[0]
-    held = chunks.where(F.col("chunk_content").isNotNull()).select("id", "section_number", *where, trigrams(F.col("chunk_content")).alias("b")).where(F.size("b") * TRIGRAM_FLOOR <= longest)
-    sized = lambda df, grams: df.withColumn("n", F.size(grams)).withColumn("gram", F.explode(grams)).drop(grams)
-    pairs = sized(asked.drop("hint"), "a").withColumnRenamed("n", "na").join(sized(held, "b").withColumnRenamed("n", "nb"), ["gram", *where])
-    pairs = pairs.where((F.col("nb") * TRIGRAM_FLOOR <= F.col("na")) & (F.col("na") * TRIGRAM_FLOOR <= F.col("nb")))
-    shared = pairs.groupBy("q", "id", "section_number", "na", "nb").agg(F.count("*").alias("both"))
-    sim = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    by_text = shared.where(sim >= TRIGRAM_FLOOR).select("q", "id", "section_number", (sim * 0.5).alias("rank"))
+    ddl = "municipality_id string, language string, ids array<long>, names array<string>, sizes array<int>, grams binary"
+    block = lambda df, key, name, grams, rows, most: df.where("municipality_id IS NOT NULL AND language IS NOT NULL").select(*where, F.col(key).cast("long"), name.alias("name"), F.transform(grams, lambda g: F.xxhash64(g)).alias("grams")).mapInArrow(functools.partial(_gram_blocks, rows=rows, most=most), ddl)
+    q = block(asked, "q", F.lit(None).cast("string"), F.col("a"), QUESTIONS, longest).drop("names").withColumnsRenamed({"ids": "qs", "sizes": "na", "grams": "a"})
+    c = block(chunks, "id", F.col("section_number"), trigrams(F.col("chunk_content")), CHUNKS, int(longest / TRIGRAM_FLOOR) + 1)
+    by_text = _met(q, c, where).select("qs", "na", "a", "ids", "names", "sizes", "grams").mapInArrow(functools.partial(_shared, floor=TRIGRAM_FLOOR), "q long, id long, section_number string, rank double")
     return by_section.unionByName(by_text).groupBy("q", "id", "section_number").agg(F.max("rank").alias("rank"))
 
 
