@@ -1,7 +1,8 @@
 """Full text: stemmed lexemes with positions, web-style queries, and ranks by cover density.
 
-Built-in functions have no stemmer, so texts pass through one Arrow function that gives the rank straight
-away; lexemes of words are remembered in the worker, so stemming is paid once a word and not once a place.
+Built-in functions have no stemmer, so texts pass through one Arrow function, at the write of a store that keeps
+their lexemes (``text_vector``) or else at the search; lexemes of words are remembered in the worker, so stemming
+is paid once a word and not once a place.
 The stemmers follow the published Snowball descriptions of English (Porter2) and French.
 """
 
@@ -273,13 +274,25 @@ def cover_rank(query: tuple[tuple[Term, ...], ...], title: str | None, body: str
     Every shortest stretch that satisfies the query adds the harmonic mean of its weights over one plus the
     number of its words that are not in the query. Chunks that match by negation alone rank 0.
     """
+    index, last = _index(title, body, french)
+    return _density(query, {x: index[x] for x in _asked(query) if x in index}, last)
+
+
+def _index(title: str | None, body: str | None, french: bool) -> tuple[dict[str, list[int]], int]:
+    """The places of every lexeme, and the last place of the title."""
     head, last = vector(title, french)
-    tail, _ = vector(body, french, last)
-    asked = {x for b in query for t in b for x, _ in t.lexemes}
     index: dict[str, list[int]] = {}
-    for x, p in head + tail:
-        if x in asked:
-            index.setdefault(x, []).append(p)
+    for x, p in head + vector(body, french, last)[0]:
+        index.setdefault(x, []).append(p)
+    return index, last
+
+
+def _asked(query: tuple[tuple[Term, ...], ...]) -> set[str]:
+    return {x for b in query for t in b for x, _ in t.lexemes}
+
+
+def _density(query: tuple[tuple[Term, ...], ...], index: dict[str, list[int]], last: int) -> float | None:
+    """Cover density by the places of the query's lexemes."""
     ways = []
     for branch in query:
         if any(t.negated and _places(t, index) for t in branch):
@@ -343,6 +356,38 @@ def text_rank(title: Column, body: Column, query: str | None, french: bool = Fal
     return rank(title, body)
 
 
+def text_vector(title: Column, body: Column, language: Column) -> Column:
+    """What a store keeps of a title and a body: the places of every lexeme, and the last place of the title. Nulls count as empty.
+
+    French rows have French lexemes, all others English ones.
+    """
+
+    @F.pandas_udf("last int, places array<struct<lexeme string, at array<int>>>")
+    def made(titles: pd.Series, bodies: pd.Series, french: pd.Series) -> pd.DataFrame:
+        found = [_index(t, b, bool(f)) for t, b, f in zip(titles, bodies, french, strict=True)]
+        return pd.DataFrame({"last": [last for _, last in found], "places": [[{"lexeme": x, "at": at} for x, at in index.items()] for index, _ in found]})
+
+    words = made(title.cast("string"), F.coalesce(body.cast("string"), F.lit("")), F.coalesce(language == "fr", F.lit(False)))
+    return F.struct(words["last"].alias("last"), F.map_from_entries(words["places"]).alias("places"))
+
+
+def stored_rank(stored: Column, query: str | None, french: bool = False) -> Column:
+    """As ``text_rank``, over what ``text_vector`` keeps: nothing is stemmed but the query, and only matches go to Python."""
+    parsed = web_query(query, french)
+    if not parsed:
+        return F.lit(None).cast("double")
+    places = stored["places"]
+    may = reduce(or_, [reduce(and_, [F.map_contains_key(places, x) for t in branch if not t.negated for x, _ in t.lexemes], F.lit(True)) for branch in parsed])
+    asked = sorted(_asked(parsed))
+
+    @F.pandas_udf("double")
+    def rank(last: pd.Series, found: pd.Series) -> pd.Series:
+        index = ({x: list(at) for x, at in zip(asked, row, strict=True) if at is not None} if row is not None else None for row in found)
+        return pd.Series([None if i is None else _density(parsed, i, int(n)) for n, i in zip(last, index, strict=True)], dtype="float64")
+
+    return rank(F.when(may, stored["last"]), F.when(may, F.array(*[F.try_element_at(places, F.lit(x)) for x in asked])))
+
+
 def squashed(rank: Column) -> Column:
     """A rank below 0.80, whatever its size."""
     return rank / (rank + 1) * 0.80

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.functions.text import SECTION_PATTERNS, section_hint, trigrams
-from lexgrid.operators.retrieval import TRIGRAM_FLOOR, fuse, keyword_search, match, ranked
+from lexgrid.operators.retrieval import TRIGRAM_FLOOR, fuse, grams_of, keyword_search, match, ranked
 from lexgrid.settings import Settings
 from lexgrid.sources.embedding import Call, EmbeddingError, embed_query
 
@@ -215,7 +215,7 @@ def keyword_for_each(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     ddl = "municipality_id string, language string, ids array<long>, names array<string>, sizes array<int>, grams binary"
     block = lambda df, key, name, grams, rows, most: df.where("municipality_id IS NOT NULL AND language IS NOT NULL").select(*where, F.col(key).cast("long"), name.alias("name"), F.transform(grams, lambda g: F.xxhash64(g)).alias("grams")).mapInArrow(functools.partial(_gram_blocks, rows=rows, most=most), ddl)
     q = block(asked, "q", F.lit(None).cast("string"), F.col("a"), QUESTIONS, longest).drop("names").withColumnsRenamed({"ids": "qs", "sizes": "na", "grams": "a"})
-    c = block(chunks, "id", F.col("section_number"), trigrams(F.col("chunk_content")), CHUNKS, int(longest / TRIGRAM_FLOOR) + 1)
+    c = block(chunks, "id", F.col("section_number"), grams_of(chunks), CHUNKS, int(longest / TRIGRAM_FLOOR) + 1)
     by_text = _met(q, c, where).select("qs", "na", "a", "ids", "names", "sizes", "grams").mapInArrow(functools.partial(_shared, floor=TRIGRAM_FLOOR), "q long, id long, section_number string, rank double")
     return by_section.unionByName(by_text).groupBy("q", "id", "section_number").agg(F.max("rank").alias("rank"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrid.functions.lexemes import squashed, text_rank
+from lexgrid.functions.lexemes import squashed, stored_rank, text_rank
 from lexgrid.functions.text import names_section, similarity, trigrams
 from lexgrid.functions.vector import cosine
 
@@ -25,12 +25,17 @@ def match(chunks: DataFrame, vector: list[float], tenant: str, language: str | N
     return hits.where(F.col("similarity") > threshold).orderBy(F.col("similarity").desc(), "id").limit(count)
 
 
-def tier_scores(content: Column, section: Column, question: str, hint: str | None, more: Column | None = None) -> Column:
+def grams_of(chunks: DataFrame) -> Column:
+    """The trigrams of chunks, as they are kept or else as their texts have them."""
+    return F.col("content_grams") if "content_grams" in chunks.columns else trigrams(F.col("chunk_content"))
+
+
+def tier_scores(grams: Column, section: Column, question: str, hint: str | None, more: Column | None = None) -> Column:
     """Best of the tiers exact section (1.00), section prefix (0.90), ``more`` below 0.80 and trigram similarity, in one pass over the row.
 
     Null without a match. Texts are looked at only where the section doesn't decide.
     """
-    sim = similarity(trigrams(content), trigrams(F.lit(question)))
+    sim = similarity(grams, trigrams(F.lit(question)))
     by_text = F.greatest(*([more] if more is not None else []), F.when(sim >= TRIGRAM_FLOOR, sim * 0.5), F.lit(None).cast("double"))
     if not hint:
         return by_text
@@ -41,14 +46,16 @@ def keyword_search(chunks: DataFrame, question: str, tenant: str, language: str
     """The best chunks by their best tier; ``full_text`` adds the tier of cover density, squashed below 0.80.
 
     The language decides the stemmer of that tier, French or else English; a column section_title counts
-    above the body. Blank questions leave the tiers of the hint.
+    above the body. Blank questions leave the tiers of the hint. Columns that ``store.indexed`` keeps are read
+    in place of the texts.
     """
     hits = scoped(chunks, tenant, language)
     more = None
     if full_text:
         title = F.col("section_title") if "section_title" in chunks.columns else F.lit(None).cast("string")
-        more = squashed(text_rank(title, F.col("chunk_content"), question, language == "fr"))
-    hits = hits.withColumn("rank", tier_scores(F.col("chunk_content"), F.col("section_number"), question, hint, more))
+        french = language == "fr"
+        more = squashed(stored_rank(F.col("content_tsv"), question, french) if "content_tsv" in chunks.columns else text_rank(title, F.col("chunk_content"), question, french))
+    hits = hits.withColumn("rank", tier_scores(grams_of(chunks), F.col("section_number"), question, hint, more))
     return hits.where(F.col("rank").isNotNull()).orderBy(F.col("rank").desc(), "section_number", "id").limit(count)
 
 

@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrid.functions.lexemes import text_vector
+from lexgrid.functions.text import trigrams
+
 
 def upsert(current: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = (), fill: tuple[str, ...] = ()) -> DataFrame:
     """New rows replace current ones of equal key.
@@ -51,6 +54,15 @@ def decision(previous: Column, current: Column, forced: Column) -> Column:
     return F.when(forced, "forced").when(previous.isNull(), "new").when(previous != current, "content_changed").otherwise("unchanged")
 
 
+def indexed(chunks: DataFrame) -> DataFrame:
+    """Chunks with what searches read of their texts, to be written with them: content_tsv, the places of lexemes, and content_grams.
+
+    Columns of these names are made anew. Null texts have no trigrams, and the lexemes of their titles.
+    """
+    title = F.col("section_title") if "section_title" in chunks.columns else F.lit(None).cast("string")
+    return chunks.withColumns({"content_tsv": text_vector(title, F.col("chunk_content"), F.col("language")), "content_grams": trigrams(F.col("chunk_content"))})
+
+
 def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that come more than once: none may, before a write."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

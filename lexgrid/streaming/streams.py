@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import uuid
@@ -59,14 +60,35 @@ def throttle(requests: DataFrame, client: str, ts: str, limit: int, every: str,
     return counted.select(client, F.col("w.start").alias("start"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("refused"))
 
 
-def sliding_limiter(requests: DataFrame, client: str, at: str, limit: int, seconds: float) -> DataFrame:
+def throttles(requests: DataFrame, client: str, ts: str, limits: dict[str, int], late: str = "1 day") -> DataFrame:
+    """``throttle`` under several limits at once, such as so many a minute and so many a day; ``every`` names the limit.
+
+    For append mode: a window comes out when the watermark has passed it, and its state goes.
+    """
+    each = [throttle(requests, client, ts, limit, every, late).withColumn("every", F.lit(every)) for every, limit in limits.items()]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def _timeout(idle: int | None) -> str:
+    """Streams over what is there must not wait for the clock, which would give them empty batches without end."""
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def sliding_limiter(requests: DataFrame, client: str, at: str, limit: int, seconds: float, idle: int | None = None) -> DataFrame:
     """Per request (client, at in seconds, event_id): allowed, and how many allowed ones the last ``seconds`` hold.
 
-    The state of a client is the times of its allowed requests that are not yet ``seconds`` old.
+    The state of a client is the times of its allowed requests that are not yet ``seconds`` old; with
+    ``idle``, for streams that run on, it goes when the client has sent nothing for so many milliseconds of the
+    cluster's clock, which must not be less than ``seconds``.
     """
+    if idle is not None and idle < 1000 * seconds:
+        raise ValueError("states must outlive the limiter's seconds")
     schema = f"{client} long, event_id long, allowed boolean, held int"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         out = []
         rows = pd.concat(list(batches)).sort_values([at, "event_id"])
@@ -77,9 +99,11 @@ def sliding_limiter(requests: DataFrame, client: str, at: str, limit: int, secon
                 held.append(float(now))
             out.append((key[0], event, allowed, len(held)))
         state.update((held,))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=[client, "event_id", "allowed", "held"])
 
-    return requests.select(client, "event_id", at).groupBy(client).applyInPandasWithState(step, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return requests.select(client, "event_id", at).groupBy(client).applyInPandasWithState(step, schema, "held array<double>", "append", _timeout(idle))
 
 
 _END = re.compile(r"\r?\n\r?\n")
@@ -99,13 +123,22 @@ def cut_frames(buffer: str) -> tuple[list[tuple[str, str]], str]:
     return found, rest
 
 
-def event_frames(pieces: DataFrame) -> DataFrame:
-    """pieces (connection long, seq long, piece string) -> connection, event, data; a frame may span pieces and batches."""
+def event_frames(pieces: DataFrame, idle: int | None = None) -> DataFrame:
+    """pieces (connection long, seq long, piece string) -> connection, event, data; a frame may span pieces and batches.
+
+    With ``idle``, for streams that run on, what is left of a connection that was silent for so many milliseconds
+    is a frame cut off, and goes.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("seq")
         found, rest = cut_frames((state.get[0] if state.exists else "") + "".join(rows["piece"]))
         state.update((rest,))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame([(key[0], e, d) for e, d in found], columns=["connection", "event", "data"])
 
-    return pieces.groupBy("connection").applyInPandasWithState(step, "connection long, event string, data string", "buffer string", "append", GroupStateTimeout.NoTimeout)
+    return pieces.groupBy("connection").applyInPandasWithState(step, "connection long, event string, data string", "buffer string", "append", _timeout(idle))

@@ -6,6 +6,7 @@ import pytest
 
 from lexgrid.functions.lexemes import BODY, TITLE, cover_rank, english_stem, french_stem, text_rank, vector, web_query
 from lexgrid.operators.retrieval import keyword_search
+from lexgrid.operators.store import indexed
 
 
 @pytest.mark.parametrize("word, stem", [("consignment", "consign"), ("knightly", "knight"), ("happily", "happili"), ("generously", "generous"), ("national", "nation"), ("ponies", "poni"), ("ties", "tie"), ("hopping", "hop"), ("hoping", "hope"), ("agreed", "agre"), ("zoning", "zone"), ("skies", "sky"), ("by", "by"), ("communication", "communic"), ("fences", "fenc")])
@@ -65,3 +66,15 @@ def test_ranks_over_rows(spark):
     assert [(r["id"], round(r["rank"], 6)) for r in found] == [(1, round(0.8 * 1.0 / 2.0, 6)), (2, round(0.8 * 0.4 / 1.4, 6))]
     assert keyword_search(chunks, "  ", "a", "en", full_text=True).count() == 0
     assert chunks.select(text_rank(chunks.section_title, chunks.chunk_content, "the")).distinct().collect()[0][0] is None
+
+
+@pytest.mark.parametrize("question", ["fencing or fences", '"low fence" -walls', "about walls near fences", "-walls", "the", ""])
+@pytest.mark.parametrize("language", ["en", "fr"])
+def test_kept_lexemes_and_trigrams_give_the_same_hits(spark, question, language):
+    ddl = "id long, municipality_id string, language string, section_number string, section_title string, chunk_content string"
+    rows = [(1, "a", "en", "1.1", "Fences", "About walls"), (2, "a", "en", "1.2", None, "A low fence is low, a fence is"), (3, "a", "en", "1.3", "Fences", None), (4, "b", "en", "1.4", "Fences", "x"), (5, "a", "fr", "1.5", None, "about walls, fences"), (6, "a", "en", "1.6", "", "")]
+    chunks = spark.createDataFrame(rows, ddl)
+    kept = indexed(chunks)
+    assert [r["id"] for r in kept.where("content_grams IS NULL").collect()] == [3]
+    hits = lambda some: [(r["id"], round(r["rank"], 9)) for r in keyword_search(some, question, "a", language, full_text=True).collect()]
+    assert hits(kept) == hits(chunks)

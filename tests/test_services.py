@@ -246,3 +246,20 @@ def test_views_stay_fresh(spark):
     assert len(reads) == 4
     with pytest.raises(ValueError, match="more than 2"):
         FreshViews(lambda name: spark.range(3), 2).get("b")
+
+
+def test_two_limits_in_one_stream(spark, tmp_path):
+    from lexgrid.streaming.streams import drain, throttles
+
+    at = [*(f"2024-01-01 00:00:{s:02d}" for s in range(4)), "2024-01-01 09:00:00", "2024-01-09 00:00:00"]
+    spark.createDataFrame([(1, t) for t in at], "client long, ts string").coalesce(1).write.parquet(f"{tmp_path}/r")
+    requests = spark.readStream.schema("client long, ts string").parquet(f"{tmp_path}/r")
+    found = drain(throttles(requests, "client", "ts", {"1 minute": 3, "1 day": 4}, "1 hour")).where("refused > 0").collect()
+    assert sorted((r["every"], r["n"], r["refused"]) for r in found) == [("1 day", 5, 1), ("1 minute", 4, 1)]
+
+
+def test_limiter_states_outlive_its_seconds(spark):
+    from lexgrid.streaming.streams import sliding_limiter
+
+    with pytest.raises(ValueError, match="outlive"):
+        sliding_limiter(spark.range(1), "id", "id", 1, 60.0, idle=1000)
