@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from lexgrid.llm.best_fit_packing import tokenizer_path
-from lexgrid.llm.common import table
+from lexgrid.llm.common import TASKS_PER_CORE, table
 from lexgrid.llm.line_crf import quality
 from lexgrid.llm.minhash_dedup import near_duplicates
 from lexgrid.llm.mixing import mix
@@ -96,3 +96,12 @@ def test_dedup_stage_drops_copies_from_jaccard_080_on(spark):
     docs = spark.createDataFrame([(1, copy(0)), (2, copy(10)), (10, "y " + copy(0).replace("w", "v")), (11, "y " + copy(12).replace("w", "v"))], "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, SF).collect()} == {1, 10, 11}
     assert near_duplicates(docs, percent=85).where("kept").count() == 4
+
+
+def test_stages_write_few_files(spark):
+    """A start of a store's process, which every file costs, counts an executor's memory twice."""
+    docs = table(spark, SF, "documents").repartition(100).cache()
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, SF)
+        assert out.rdd.getNumPartitions() <= TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    docs.unpersist()
