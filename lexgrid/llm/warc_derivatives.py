@@ -38,7 +38,10 @@ def _character(code: Column) -> Column:
 
 
 def _entities(text: Column) -> Column:
-    """Character references by name, decimal or hexadecimal number, in one pass; unknown ones stay as they are."""
+    """Character references by name, decimal or hexadecimal number, in one pass; unknown ones stay as they are.
+
+    The text is bound by a lambda: what computes it would run again for each mention of it otherwise.
+    """
     names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
 
     def one(x: Column, i: Column) -> Column:
@@ -47,8 +50,11 @@ def _entities(text: Column) -> Column:
         char = F.when(ref.startswith("#"), _character(code.cast("long"))).otherwise(F.try_element_at(names, ref))
         return F.when(i == 0, part).otherwise(F.coalesce(F.when(ref != "", F.concat(char, F.substr(part, F.length(ref) + 2))), F.concat(F.lit("&"), part)))
 
-    parts = F.transform(F.split(text, "&"), lambda p: F.struct(p.alias("part"), F.regexp_extract(p, _REFERENCE, 1).alias("ref")))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    def whole(bound: Column) -> Column:
+        parts = F.transform(F.split(bound, "&"), lambda p: F.struct(p.alias("part"), F.regexp_extract(p, _REFERENCE, 1).alias("ref")))
+        return F.when(F.contains(bound, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(bound)
+
+    return F.transform(F.array(text), whole)[0]
 
 
 def plain_text(html: Column) -> Column:
@@ -58,7 +64,7 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, r"[\r\n\t ]+", " "), rf"(?i)</?({LINES})(\s[^>]*)?/?>", "\n")
     text = _entities(F.regexp_replace(text, r"</?[a-zA-Z!][^>]*>", ""))
     text = F.regexp_replace(text, r" *\n[\n ]*", "\n")
-    return F.regexp_replace(text, r"^[\n ]+|[\n ]+$", "")
+    return F.trim(text, F.lit("\n "))
 
 
 def _digest(block: Column) -> Column:

@@ -116,6 +116,17 @@ def test_character_references_and_links(spark):
     assert [x for x in meta.split("\r\n") if x.startswith("outlink")] == ["outlink: /bare", "outlink: q?a=1&b=2", "outlink: onetwo"]
 
 
+def test_text_is_computed_once_and_only_blanks_are_trimmed(spark, tmp_path):
+    plan = spark.createDataFrame([], "h string").select(plain_text(F.col("h")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("<!--") == 1
+    pages = spark.createDataFrame([(1, "u", " \n a&amp; \u0085"), (2, "u", "b \u2028"), (3, "u", "&nbsp; c &#32;\n")], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, op8_warc_derivatives(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(OP8_SQL).fetchall())
+
+
 def as_responses(spark, path):
     """Two responses with headers of their own and a request, written by hand."""
     records = []
