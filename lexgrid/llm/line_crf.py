@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import fold_of, labelled_sample, score_of, table
+from lexgrid.llm.common import few, fold_of, labelled_sample, score_of, table
 from lexgrid.llm.toxicity import fit_logistic
 
 #: Bounds of the sample that the field is fitted on: rows, and characters of a text in it.
@@ -232,6 +232,6 @@ def without_bad(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its quality score; as ``quality``."""
+    """Every document with its quality score; as ``quality``, in few files."""
     documents = table(spark, sf_dir, "documents")
-    return quality(documents, documents, table(spark, sf_dir, "labels"))
+    return few(quality(documents, documents, table(spark, sf_dir, "labels")))

@@ -14,10 +14,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexgrid.llm.best_fit_packing import Encoder, best_fit, best_fit_counts, pack, tokenizer_path
-from lexgrid.llm.common import WordHashes, shingle_set, table
+from lexgrid.llm.common import TASKS_PER_CORE, WordHashes, shingle_set, table
 from lexgrid.llm.components import components
 from lexgrid.llm.licence_scan import model, scan
-from lexgrid.llm.line_crf import marginals, quality, without_bad
+from lexgrid.llm.line_crf import marginals, op4_quality, quality, without_bad
 from lexgrid.llm.minhash_dedup import keep_one, near_duplicates
 from lexgrid.llm.mixing import OP5_SQL, mix, mixed_documents, schedule
 from lexgrid.llm.ring_sharding import ring, shard, walk
@@ -211,6 +211,23 @@ def test_marginals_against_enumeration():
         assert np.allclose(agree[s + 1 : e], ((labels[:, 1:] == labels[:, :-1]) * w[:, None]).sum(axis=0) / w.sum())
 
 
+def test_quality_query_writes_few_files(spark, tmp_path):
+    """A start of a store's process, which every file costs, counts an executor's memory twice."""
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    docs.repartition(100).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    small = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        out = op4_quality(spark, str(tmp_path))
+        assert out.rdd.getNumPartitions() <= TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+        assert out.count() == docs.count()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+
+
 @pytest.mark.parametrize("scorer, keeper, label", [(toxicity, without_toxic, "toxic"), (quality, without_bad, "quality")])
 def test_classifiers_on_odd_rows(spark, scorer, keeper, label):
     docs = odd_documents(spark)
