@@ -122,7 +122,7 @@ def _provider():
 def q64_embed_documents(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of whole documents: how many have one, and that they are of unit length."""
     ship(spark)
-    rows = embed_documents(table(spark, d, "documents").select("lang", "text"), "text", _provider, 64, blank="null")
+    rows = embed_documents(table(spark, d, "documents").select("lang", "text"), "text", _provider, 64, blank="null", long="parts")
     norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4)
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count("embedding").alias("embedded"), F.count_if(norm == 1).alias("unit"))
 

@@ -146,12 +146,32 @@ class RateLimiter:
         self.sent.append((clock(), tokens))
 
 
-def embed_documents(rows: DataFrame, text: str, provider: Callable[[], Call], dimensions: int = 1024, batch: int = INPUTS, tokens: int = TOKENS, rates: tuple[int, int] | None = None, blank: str = "error") -> DataFrame:
+def parts_of(text: str, most: int = LONGEST) -> list[str]:
+    """A text in order as parts of at most ``most`` characters, which end behind white space where there is some; blank ones are left out."""
+    out, at = [], 0
+    while len(text) - at > most:
+        end = next((i + 1 for i in range(at + most - 1, at, -1) if text[i].isspace()), at + most)
+        out.append(text[at:end])
+        at = end
+    return [p for p in [*out, text[at:]] if p.strip()]
+
+
+def joined(vectors: list[list[float]], parts: list[str]) -> list[float]:
+    """The unit vector of a text from those of its parts, each weighed by its length; the first one's where they cancel out."""
+    if len(vectors) == 1:
+        return vectors[0]
+    v = np.average(vectors, axis=0, weights=[len(p) for p in parts])
+    norm = np.linalg.norm(v)
+    return (v / norm).tolist() if norm else vectors[0]
+
+
+def embed_documents(rows: DataFrame, text: str, provider: Callable[[], Call], dimensions: int = 1024, batch: int = INPUTS, tokens: int = TOKENS, rates: tuple[int, int] | None = None, blank: str = "error", long: str = "error") -> DataFrame:
     """The rows with a column ``embedding``; texts that are null or blank are an error, or null with ``blank="null"``.
 
     ``provider`` makes the call once in each task, and ``rates`` (requests and tokens a minute) pace each task on its
     own: metered providers get rows of one partition, behind a store of texts already embedded
-    (operators.store.pending), as a lost executor repeats its tasks. Texts beyond LONGEST are an error.
+    (operators.store.pending), as a lost executor repeats its tasks. Texts beyond LONGEST are an error, or embedded whole in
+    parts with ``long="parts"``.
     """
     if rates:
         tokens = batch_budget(tokens, rates[1], rates[0])
@@ -164,14 +184,18 @@ def embed_documents(rows: DataFrame, text: str, provider: Callable[[], Call], di
             at = [i for i, t in enumerate(texts) if t and t.strip()]
             if blank == "error" and len(at) < len(texts):
                 raise EmbeddingError(f"input {next(i for i, t in enumerate(texts) if not (t and t.strip()))} is empty")
-            if too_long := next((i for i in at if len(texts.iloc[i]) > LONGEST), None):
+            too_long = next((i for i in at if len(texts.iloc[i]) > LONGEST), None)
+            if long == "error" and too_long is not None:
                 raise EmbeddingError(f"input {too_long} has more than {LONGEST} characters")
-            places = iter(at)
-            for asked in batches([texts.iloc[i] for i in at], batch, tokens):
+            parts = {i: parts_of(texts.iloc[i]) for i in at}
+            vectors: list[list[float]] = []
+            for asked in batches([p for i in at for p in parts[i]], batch, tokens):
                 if limiter:
                     limiter.pace(sum(map(estimate, asked)))
-                for v in aligned(patient(call, asked, "document"), asked, dimensions):
-                    out[next(places)] = v
+                vectors += aligned(patient(call, asked, "document"), asked, dimensions)
+            given = iter(vectors)
+            for i in at:
+                out[i] = joined([next(given) for _ in parts[i]], parts[i])
             yield pd.Series(out)
 
     return rows.withColumn("embedding", embed(F.col(text).cast("string")))

@@ -7,7 +7,7 @@ from lexgrid.operators.answering import CUT_SHORT, bodies, events, readiness
 from lexgrid.operators.ingest import failures, selected, summary
 from lexgrid.operators.store import replace_table
 from lexgrid.settings import Settings, settings
-from lexgrid.sources.embedding import ATTEMPTS, WAITS, EmbeddingError, QuotaExhausted, Refused, aligned, embed_documents, embed_query, hashed, patient
+from lexgrid.sources.embedding import ATTEMPTS, LONGEST, WAITS, EmbeddingError, QuotaExhausted, Refused, aligned, embed_documents, embed_query, hashed, joined, parts_of, patient
 
 
 def replies(*steps):
@@ -48,6 +48,16 @@ def test_embedding_of_rows(spark):
     assert found[2] is found[3] is None and found[1] == found[4] and len(found[1]) == 4
 
 
+def test_long_texts_are_embedded_whole(spark):
+    rows = spark.createDataFrame([(1, "front " * 20_000 + "yard " * 20_000), (2, "x" * (2 * LONGEST + 1)), (3, "yard")], "id long, t string").coalesce(1)
+    found = {r["id"]: r["embedding"] for r in embed_documents(rows, "t", lambda: hashed(64), 64, long="parts").collect()}
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-5 for v in found.values())
+    assert all(sum(a * b for a, b in zip(found[1], v, strict=True)) > 0.4 for v in (found[3], embed_query("front", hashed(64), 64)))
+    with pytest.raises(Exception, match="input 0 has more than"):  # the first row of a batch, too
+        embed_documents(rows.where("id = 1"), "t", lambda: hashed(64), 64).collect()
+    assert parts_of("ab cd  ef", 4) == ["ab ", "cd  ", "ef"] and parts_of("abcde    ", 3) == ["abc", "de "] and joined([[1.0, 0.0], [-1.0, 0.0]], ["a", "b"]) == [1.0, 0.0]
+
+
 REGISTRY = "id string, is_active boolean, status string, interleaved boolean, sources array<struct<language:string,bylaw_name:string,source_url:string>>, source_url string, languages array<string>, source_bylaw_name string"
 
 
