@@ -212,11 +212,12 @@ r AS (SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score,
 
 def q15_hybrid_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     """Every user turn asks its own tenant by section, text and vector, fused per question; those without a vector are degraded."""
+    ship(spark)
     c = table(spark, d, "conversations").where("role = 'user'")
     n = F.col("conv_id")
     asked = c.select((n * 100 + F.col("turn")).alias("q"), F.concat(F.lit("src"), (n % 20).cast("string")).alias("municipality_id"), F.lit(LANGUAGE).alias("language"), F.concat(F.coalesce("text", F.lit("")), F.lit(" section "), (n % 12 + 1).cast("string"), F.lit("."), (n % 40).cast("string")).alias("question"), (n * 3 + F.col("turn")).alias("vec_id"))
     asked = asked.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
-    return _fused(retrieve_for_each(asked, chunks(spark, d, vectors=True)))
+    return _fused(retrieve_for_each(asked, chunks(spark, d), vectors=chunks(spark, d, vectors=True)))
 
 
 Q15 = _batch_sql(f"SELECT conv_id * 100 + turn AS q, 'src' || (conv_id % 20) AS municipality_id, '{LANGUAGE}' AS language, coalesce(text, '') || ' section ' || (conv_id % 12 + 1) || '.' || (conv_id % 40) AS question, e.embedding FROM conversations LEFT JOIN embeddings e ON e.vec_id = conv_id * 3 + turn WHERE role = 'user'") + " SELECT r.*, q.embedding IS NULL AS degraded FROM r JOIN q ON r.q = q.q"

@@ -14,6 +14,7 @@ from lexgrid.operators.registry import PROVINCES, STATES, gate, registry_errors
 from lexgrid.operators.store import insert_missing, upsert
 from lexgrid.operators.throttle import refusals
 from lexgrid.plans.retrieval_queries import GOLDEN_SQL, golden_questions
+from lexgrid.session import ship
 from lexgrid.sources.tables import CHUNKS_SQL, chunks, table
 
 
@@ -151,9 +152,10 @@ Q43 = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) -
 
 def q44_golden_eval(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items as golden questions in eight suites, answered by hybrid retrieval and held against expected sections, texts and fallbacks."""
+    ship(spark)
     asked = golden_questions(spark, d)
-    chunked = chunks(spark, d, vectors=True)
-    found = retrieve_for_each(asked, chunked).join(chunked.select("id", "section_number", "chunk_content"), "id")
+    chunked = chunks(spark, d)
+    found = retrieve_for_each(asked, chunked, vectors=chunks(spark, d, vectors=True)).join(chunked.select("id", "section_number", "chunk_content"), "id")
     return suite_scores(evaluate(asked, found)).withColumn("score", F.round("score", 6))
 
 

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexgrid.functions.answer import answer_blocks, citation_url, cited, province_name, system_prompt
@@ -10,7 +11,7 @@ from lexgrid.functions.vector import cosine, filled
 from lexgrid.operators.audit import audit_rows, fallback_rate, record
 from lexgrid.operators.chunking import chunk_clauses, chunk_counts
 from lexgrid.operators.evaluation import evaluate, read_suites, suite_scores
-from lexgrid.operators.hybrid import hint_of, keyword_for_each, match_chunks, municipality, nearest_for_each, retrieve, retrieve_for_each, search_chunks
+from lexgrid.operators.hybrid import PARTS, _met, _spread, hint_of, keyword_for_each, match_chunks, municipality, nearest_for_each, retrieve, retrieve_for_each, search_chunks
 from lexgrid.operators.registry import UNVERIFIED, choices, gate, mark_verified, oldest_source, read_registry, record_fetch, registry_errors, request_errors, sync_registry, verification_label
 from lexgrid.operators.retrieval import fuse
 from lexgrid.operators.store import replace_document
@@ -74,6 +75,23 @@ def test_many_questions_equal_one_by_one(spark):
     assert retrieve_for_each(asked.limit(0), corpus(spark)).count() == 0
 
 
+def test_batch_searches_move_a_bounded_number_of_copies(spark):
+    """Copies of questions don't grow with the shuffle partitions, and the first few of a question are the first of all."""
+    texts = [f"fences of lot {i % 7} and {i % 5} yards" for i in range(60)]
+    chunks = spark.createDataFrame([(i, "a" if i % 4 else "b", "en", f"{i % 3}.{i % 4}" + "(1)" * (i % 2), t) for i, t in enumerate(texts)], "id long, municipality_id string, language string, section_number string, chunk_content string")
+    asked = spark.createDataFrame([(i, "ab"[i % 2], "en", f"{t} section {i % 5}.{i % 6}" if i % 3 else t) for i, t in enumerate(texts)], "q long, municipality_id string, language string, question string")
+    order = lambda df: [tuple(r) for r in df.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.col("rank").desc(), "section_number", "id"))).where("at <= 3").orderBy("q", "at").collect()]
+    assert order(keyword_for_each(asked, chunks, 3)) == order(keyword_for_each(asked, chunks))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        spread = _spread(asked, chunks)
+        blocks = lambda key: spark.createDataFrame([(t, "en", [k], key) for k in range(20) for t in "ab"], f"municipality_id string, language string, ids array<long>, {key} string")
+        met = _met(blocks("a").withColumnRenamed("ids", "qs"), blocks("b"), spread, ["municipality_id", "language"])
+        assert {r["parts"] for r in spread.collect()} == {PARTS} and met.count() == 2 * 20 * 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_golden_evaluation(spark, tmp_path):
     suite = {"municipality_id": "a", "questions": [{"id": "x", "question": "q", "expect_sections": ["1", "2"], "expect_text": ["low\nWall"]}, {"id": "y", "question": "q", "expect_sections": ["9", "2"], "match": "any"}, {"id": "z", "question": "q", "expect_fallback": True}]}
     (tmp_path / "b.en.json").write_text(json.dumps(suite, indent=1))
